@@ -72,17 +72,20 @@ def terms_of(folded: str) -> set[str]:
     return out
 
 
+def phrases_at(folded: str, start: int) -> list[str]:
+    """The word after ``start`` with its left and its right neighbour, as far
+    as these stand within 60 characters."""
+    end = folded.find(" ", start + 1)
+    end = len(folded) if end < 0 else end
+    word = folded[start + 1 : end]
+    left = folded[max(0, start - 60) : start].split()[-1:]
+    right = folded[end : end + 60].split()[:1]
+    return [f" {x} {word} " for x in left] + [f" {word} {x} " for x in right]
+
+
 def phrases_of(folded: str, automaton) -> set[str]:
-    """A term's word with its left and its right neighbour."""
-    out = set()
-    for start in starts_of(folded, automaton):
-        end = folded.index(" ", start + 1)
-        left = folded[:start].rsplit(None, 1)[-1:]
-        right = folded[end : end + 60].split(None, 1)[:1]
-        word = folded[start + 1 : end]
-        out.update(f" {x} {word} " for x in left)
-        out.update(f" {word} {x} " for x in right)
-    return out
+    """The phrases of all words that terms match."""
+    return {p for start in starts_of(folded, automaton) for p in phrases_at(folded, start)}
 
 
 def starts_of(folded: str, automaton) -> dict[int, float]:
@@ -118,9 +121,7 @@ class Lexicon:
         found = starts_of(folded, automaton)
         if found and self.exceptions:
             for start in list(found):
-                around = phrases_of(folded[max(0, start - 60) : start + 120], automaton)
-                word = folded[start + 1 : folded.index(" ", start + 1)]
-                if any(p in self.exceptions and f" {word} " in p for p in around):
+                if not self.exceptions.isdisjoint(phrases_at(folded, start)):
                     del found[start]
         return sum(found.values()), words
 
