@@ -2,5 +2,69 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scripts, segments, text
+from ..operators import engines, glossary, greedy, regions, tasks
+from ..relation import Relation
+from ..sources import imports
+from ..sources.frames import ansi_sources, frame
+from ..streaming import queue
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(relation: Relation, inputs: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return relation(spark, **{name: frame(spark, sf_dir, inputs.get(name, name)) for name in relation.frames})
+
+    run.__doc__ = f"Covers {relation.ids}."
+    return run
+
+
+def _register(queries: dict) -> None:
+    sources = ansi_sources()
+    for name, entry in queries.items():
+        relation, inputs = entry if isinstance(entry, tuple) else (entry, {})
+        QUERIES[name] = _query(relation, inputs)
+        ORACLE_SQL[name] = relation.ansi({**sources, **{to: sources[of] for to, of in inputs.items() if of in sources}})
+
+
+for _module in (regions, scripts, text, tasks, glossary):
+    _register(_module.QUERIES)
+
+
+def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(frame(spark, sf_dir, name))
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    grouped = rows.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
+    parsed = segments.parsed(segments.numbered(F.col("texts")), F.size("texts"))
+    return grouped.select("grp", F.size("texts").alias("n"), F.coalesce(F.size(parsed), F.lit(-1)).alias("n_parsed"))
+
+
+#: Order-dependent passes, strict parsing and streams: SQL can't state them (or
+#: RE2 lacks the pattern), so unit tests hold them to worked cases.
+QUERIES |= {
+    "q_merge_boxes": _over("regions", greedy.merge_boxes),
+    "q_nms": _over("regions", greedy.suppress),
+    "q_assign_detections": _over("regions", greedy.assign_detections),
+    "q_group_regions": _over("regions", greedy.group_regions),
+    "q_match_ground_truth": _over("regions", greedy.match_ground_truth),
+    "q_chunk_pack": _over("lines", greedy.pack_chunks),
+    "q_json_import_rows": _over("imports", imports.import_rows),
+    "q_json_import_errors": _over("imports", imports.import_report),
+    "q_segment_parse": _over("lines", _segments),
+    "q_ocr_normalize": _over("samples", lambda rows: rows.select("id", segments.normalized(F.col("text"), F.lit("zh")).alias("text"))),
+    "q_translate_chain": _over("lines", lambda rows: engines.translated(rows.select("grp", "ord", "text"), ["silent", "echo"])),
+    "q_stream_windows": lambda spark, sf_dir: queue.event_windows(spark, sf_dir),
+}
+
+ORACLE_SQL["q_json_import_errors"] = "SELECT * FROM (VALUES ('ok', 2::BIGINT, 0::BIGINT, 0::BIGINT), ('bad', 0, 0, 1), ('object', 0, 0, 1), ('mixed', 1, 1, 3), ('empty', 0, 0, 0)) AS t(doc, imported, skipped, errors)"
+ORACLE_SQL["q_stream_windows"] = "SELECT date_trunc('day', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL"
+ORACLE_SQL["q_translate_chain"] = "SELECT conv_id AS grp, turn AS ord, text, CASE WHEN trim(text) = '' THEN text ELSE '[zh] ' || text END AS result, CASE WHEN trim(text) = '' THEN 'keep' ELSE 'echo' END AS backend FROM conversations"
