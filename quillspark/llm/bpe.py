@@ -4,9 +4,10 @@ The distinct words of a slice are walked in sorted order, which is a
 depth-first walk of their trie; the stack holds, for each prefix on the path,
 the last token of the prefix's encoding. A prefix that words share is
 encoded once. The last token of a prefix is the one among its suffixes that
-are tokens which may follow the last token of what stands before it; a pair
-of tokens may stand side by side if merging their joined symbols gives the
-pair back. A word's ids follow from the last tokens, from its end backwards.
+are tokens which may follow the last token of what stands before it. Two
+tokens may stand side by side if no merge across their border would come
+before the merges that make them. A word's ids follow from the last tokens,
+from its end backwards.
 
 Normalising and splitting into pre-tokens follow the tokenizer's file;
 ASCII words take a short way with the same result.
@@ -18,6 +19,7 @@ columns are dropped. Repeated rows are encoded each for itself.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -37,7 +39,7 @@ from .common import raw, slices, table
 TOKENIZER = "word_bpe_49k.json"
 #: Encoded words, pre-tokens and token pairs that a worker remembers. When a
 #: store is full, what the last full store didn't use is dropped.
-KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS = 400_000, 300_000, 1_000_000
+KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS = 250_000, 200_000, 300_000
 
 _ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0da-z0-9]+").findall
 #: For words below U+0250, which are all in normal form C.
@@ -64,6 +66,22 @@ class Store(dict):
         return [k for k in keys if k not in self and k not in self.old]
 
 
+class Sizes(dict):
+    """The last three characters of a prefix (or all, if it has fewer) -> the
+    sizes of the tokens that it may end with, longest first. The single
+    character is always one."""
+
+    def __init__(self, tokens):
+        super().__init__()
+        self.known: dict[str, set[int]] = {}
+        for t in tokens:
+            self.known.setdefault(t[-3:], set()).add(len(t))
+
+    def __missing__(self, ending: str) -> tuple[int, ...]:
+        sizes = self[ending] = tuple(sorted({1}.union(*(self.known.get(ending[i:], ()) for i in range(len(ending)))), reverse=True))
+        return sizes
+
+
 class WordPieces:
     """The encoder of one tokenizer file, for words without ASCII white space."""
 
@@ -79,8 +97,16 @@ class WordPieces:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.special_pattern = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or "(?!)")
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.longest = max(len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        cut = len(self.end)
+        self.inside = Sizes(t for t in self.vocab if not t.endswith(self.end))
+        self.closing = Sizes(t[:-cut] for t in self.vocab if t.endswith(self.end) and len(t) > cut)
+        self.packed = {i: i.to_bytes(4, "little") for i in self.vocab.values()}
+        self.pairs: dict[int, bool] = {}  # a << 16 | b -> whether they fit
+        self.size_of = {i: len(t) - cut * (t.endswith(self.end) and len(t) > cut) for t, i in self.vocab.items()}
+        #: token -> the tokens it is merged from, and the merge's rank
+        self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], r) for (a, b), r in self.ranks.items()}
+        self.ends: dict[int, list] = {}
+        self.starts: dict[int, list] = {}
         self.tokens = Store(KEPT_TOKENS)  # pre-token -> packed ids
         self.words = Store(KEPT_WORDS)  # word -> packed ids
 
@@ -113,62 +139,78 @@ class WordPieces:
 
     # -- the model ---------------------------------------------------------
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Plain BPE, for token pairs only."""
-        while len(symbols) > 1:
-            ranked = [self.ranks.get(p, 1 << 30) for p in zip(symbols, symbols[1:])]
-            least = min(ranked)
-            if least == 1 << 30:
-                break
-            i = ranked.index(least)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-        return symbols
-
-    def _symbols(self, token: str) -> list[str]:
-        if self.end and token.endswith(self.end) and len(token) > len(self.end):
-            body = token[: -len(self.end)]
-            return [*body[:-1], body[-1] + self.end]
-        return list(token)
-
-    def fits(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            ok = self.pairs[a, b] = self.merged(self._symbols(a) + self._symbols(b)) == [a, b]
+    def _spine(self, token: int, right: bool) -> list[tuple[str, int]]:
+        """The parts at one end of a token, from the token down to a symbol,
+        each with the rank of the merge that uses it up."""
+        out, until = [], 1 << 30
+        while True:
+            out.append((self.names[token], until))
+            pair = self.parts.get(token)
+            if pair is None:
+                return out
+            until, token = pair[2], pair[1 if right else 0]
+
+    def fits(self, key: int) -> bool:
+        """Whether two tokens (a << 16 | b) may stand side by side: no merge
+        across their border comes before both sides of it are used up. Of
+        equal merges the left one comes first."""
+        a, b = key >> 16, key & 0xFFFF
+        left, right = self.ends.get(a), self.starts.get(b)
+        if left is None:
+            left = self.ends[a] = self._spine(a, True)
+        if right is None:
+            right = self.starts[b] = self._spine(b, False)
+        ranks = self.ranks
+        ok = True
+        for x, until_x in left:
+            for y, until_y in right:
+                m = ranks.get((x, y))
+                if m is not None and m < until_x and m <= until_y:
+                    ok = False
+        self.pairs[key] = ok
         return ok
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of sorted distinct pre-tokens."""
-        vocab, longest, end = self.vocab, self.longest, self.end
-        last: list[str] = [""]  # the last token of each prefix on the path
-        before = ""
-        pairs = self.pairs
+        vocab, end, pairs, fits = self.vocab, self.end, self.pairs, self.fits
+        inside, closing, size_of = self.inside, self.closing, self.size_of
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
+        last = [0]  # the last token of each prefix on the path
+        before = ""
         for word in words:
             n = len(word)
             shared, most = 0, min(len(before), n - 1, len(last) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for i in range(shared + 1, n + 1):
-                tail = end if i == n else ""
-                for start in range(i - longest if i > longest else 0, i):
-                    token = word[start:i] + tail
-                    if token in vocab:
-                        if not start:
+            for i in range(shared + 1, n):
+                for size in inside[word[i - 3 : i] if i > 3 else word[:i]]:
+                    if size <= i:
+                        token = vocab.get(word[i - size : i])
+                        if token is not None:
+                            if size == i:
+                                break
+                            key = last[i - size] << 16 | token
+                            fit = pairs.get(key)
+                            if fit or fit is None and fits(key):
+                                break
+                last.append(token)
+            for size in closing[word[n - 3 :] if n > 3 else word]:
+                if size <= n:
+                    token = vocab.get(word[n - size :] + end)
+                    if token is not None:
+                        if size == n:
                             break
-                        fit = pairs.get((last[start], token))
-                        if fit or fit is None and self.fits(last[start], token):
+                        key = last[n - size] << 16 | token
+                        fit = pairs.get(key)
+                        if fit or fit is None and fits(key):
                             break
-                else:
-                    raise ValueError(f"no encoding of {word[:i]!r}")
-                last.append(token)
-            token = last.pop()
-            out, at = [vocab[token]], n - len(token) + len(end)
+            out, at = [token], n - size
             while at:
                 token = last[at]
-                out.append(vocab[token])
-                at -= len(token)
+                out.append(token)
+                at -= size_of[token]
             out.reverse()
             before = word
             yield word, out
@@ -177,18 +219,26 @@ class WordPieces:
         """Make sure that ``self.words`` has every word."""
         self.words.turn()
         self.tokens.turn()
-        split = {w: self.pretokens(w) for w in self.words.lacking(words)}
-        fresh = self.tokens.lacking(set(chain.from_iterable(split.values())))
-        fresh.sort()
-        for token, ids in self.encode_sorted(fresh):
-            self.tokens[token] = np.array(ids, "<u4").tobytes()
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.tokens[p] for p in parts])
+        # Many small lists live at once here; none is part of a cycle.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            split = {w: self.pretokens(w) for w in self.words.lacking(words)}
+            fresh = self.tokens.lacking(set(chain.from_iterable(split.values())))
+            fresh.sort()
+            packed = self.packed
+            for token, ids in self.encode_sorted(fresh):
+                self.tokens[token] = b"".join([packed[i] for i in ids])
+            for w, parts in split.items():
+                self.words[w] = b"".join([self.tokens[p] for p in parts])
+        finally:
+            if collecting:
+                gc.enable()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
         split = [self._parts(t) for t in texts]
-        self.learn({w for parts in split for p in parts if isinstance(p, list) for w in p})
+        self.learn(set().union(*[p for parts in split for p in parts if isinstance(p, list)]))
         return [b"".join([self._join(p) for p in parts]) for parts in split]
 
     def _parts(self, text: bytes) -> list[list[bytes] | int]:
