@@ -57,6 +57,25 @@ def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_partition * parts, 4)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Hand Python at most ``rows`` rows at once: texts are long, and both
+    sides hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def six_bytes(h: np.ndarray) -> bytes:
+    """The upper six bytes of 64-bit numbers; sorted ones stay sorted."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id's decimal text; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))

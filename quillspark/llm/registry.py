@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from . import bpe, class_lm, cover_tree, near_dup, packing, quality_knn, quality_rules, suffix_dedup, toxicity, url_filter
+from .common import bound_batches
 
-QUERIES = {
+def _bounded(query):
+    def run(spark, sf_dir):
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    run.__doc__ = query.__doc__
+    return run
+
+
+_QUERIES = {
     "op1_topk_search": cover_tree.op1_topk_search,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_minhash_dedup": near_dup.op3_minhash_dedup,
@@ -17,6 +27,8 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
+QUERIES = {name: _bounded(query) for name, query in _QUERIES.items()}
+
 #: The others hash, learn or walk texts in ways that SQL can't express, or
 #: can't on whole tables; tests hold them against brute force.
 ORACLE_SQL = {

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, buckets_for, mix, range_bucket, raw, slices, split_by
+from .common import Bitmap, buckets_for, from_six, mix, range_bucket, raw, six_bytes, slices, split_by
 
 LENGTH, GRAM = 50, 24
 #: Bits of the marks' bitmap: 32 MB at any size of input.
@@ -143,17 +143,6 @@ def equal_windows(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndar
     return [live, begin]
 
 
-def packed(marks: np.ndarray) -> bytes:
-    """The upper six bytes of each mark: a filter needs no more."""
-    return marks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _marks(docs: DataFrame, key: str, text: str, length: int, n: int) -> Bitmap:
     def send(batches):
         for b in slices(batches, text):
@@ -170,10 +159,10 @@ def _marks(docs: DataFrame, key: str, text: str, length: int, n: int) -> Bitmap:
             third[2:] = m[2:] == m[:-2]
             m = m[~third]
             for bucket, at in split_by(range_bucket(m, n)):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(m[at])], pa.binary())], ["bucket", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([six_bytes(m[at])], pa.binary())], ["bucket", "marks"])
 
     def meet(t: pa.Table) -> pa.Table:
-        m = np.sort(unpacked(b"".join(t["marks"].to_pylist())))
+        m = np.sort(from_six(b"".join(t["marks"].to_pylist())))
         twice = np.unique(m[1:][m[1:] == m[:-1]])
         at = twice >> np.uint64(64 - MARK_BITS)
         byte, first = np.unique(at >> np.uint64(3), return_index=True)
