@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import near_dup, packing, quality_rules, suffix_dedup, toxicity
-from quillspark.llm.common import written
+from quillspark.llm.common import bound_batches, written
 from quillspark.llm.labelled import labelled_sample
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bound_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the lexicon is learned from the
     labelled training rows of what came in."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn(labelled_sample(docs, labels, "toxic", toxicity.train_rows, toxicity.SAMPLE))
     return toxicity.keep_clean(docs, lexicon)
@@ -30,17 +32,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8."""
+    bound_batches(spark)
     return near_dup.keep_first(docs, width=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that an earlier one has; n_chars follows."""
+    bound_batches(spark)
     out = suffix_dedup.remove_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 
