@@ -6,6 +6,9 @@ Also the packing of texts into chunks, which is a fold over an ordered array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,70 +142,74 @@ def grouped(boxes: list[tuple[Box, str | None]]) -> list[int]:
     return out
 
 
-def _boxes(page: pd.DataFrame) -> list[Box]:
-    return list(page[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
+#: Column numbers of a region in the rows that a pass gets.
+_COLUMNS = ("page", "lang", "ord", "x0", "y0", "x1", "y1", "conf", "direction")
 
 
-def merge_boxes(regions: DataFrame) -> DataFrame:
-    """Page, x0, y0, x1, y1 of merged boxes."""
+def _by_page(regions: DataFrame, keys: tuple[str, ...], one: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``one`` to each page's rows in list order. Pages are dealt into
+    buckets, several to a bucket, so that a call handles many pages."""
+    n = 16 * int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(merged_boxes(_boxes(page.sort_values("ord"))), columns=["x0", "y0", "x1", "y1"])
-        return out.assign(page=page["page"].iloc[0])[["page", "x0", "y0", "x1", "y1"]]
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part[list(_COLUMNS)].sort_values([*keys, "ord"])
+        key = [_COLUMNS.index(k) for k in keys]
+        out: list[tuple] = []
+        for _, rows in groupby(part.itertuples(index=False, name=None), lambda r: tuple(r[k] for k in key)):
+            out.extend(one(list(rows)))
+        frame = pd.DataFrame(out, columns=names)
+        return frame.astype({c: "Int32" for c in names if f"{c} int" in schema})
 
-    return regions.groupBy("page").applyInPandas(run, "page long, x0 long, y0 long, x1 long, y1 long")
+    dealt = regions.select(*_COLUMNS).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(n)))
+    return dealt.groupBy("bucket").applyInPandas(run, schema)
 
 
-def suppress(regions: DataFrame) -> DataFrame:
-    """Page, ord of the boxes kept. Boxes of different languages don't suppress one another."""
+def _box(row: tuple) -> Box:
+    return row[3:7]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        kept = suppressed(list(zip(page["ord"], _boxes(page), page["conf"])))
-        return pd.DataFrame({"page": page["page"].iloc[0], "lang": page["lang"].iloc[0], "ord": kept})
 
-    return regions.groupBy("page", "lang").applyInPandas(run, "page long, lang string, ord int")
+def merge_boxes(regions: DataFrame) -> DataFrame:
+    """Page, x0, y0, x1, y1 of merged boxes."""
+    return _by_page(regions, ("page",), lambda rows: [(rows[0][0], *b) for b in merged_boxes([_box(r) for r in rows])], "page long, x0 long, y0 long, x1 long, y1 long")
+
+
+def suppress(regions: DataFrame) -> DataFrame:
+    """Page, lang, ord of the boxes kept. Boxes of different languages don't suppress one another."""
+    return _by_page(regions, ("page", "lang"), lambda rows: [(*rows[0][:2], n) for n in suppressed([(r[2], _box(r), r[7]) for r in rows])], "page long, lang string, ord int")
 
 
 def assign_detections(regions: DataFrame) -> DataFrame:
     """Page, detection, target (null if left over); horizontal boxes are the
     detections, vertical ones the targets."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord")
-        d, t = page[page["direction"] == "h"], page[page["direction"] == "v"]
-        got = assigned(_boxes(d), _boxes(t))
-        target = pd.array([None if g is None else int(t["ord"].iloc[g]) for g in got], dtype="Int32")
-        return pd.DataFrame({"page": page["page"].iloc[0], "detection": d["ord"].to_numpy(), "target": target})
+    def one(rows: list[tuple]) -> list[tuple]:
+        found, targets = [r for r in rows if r[8] == "h"], [r for r in rows if r[8] == "v"]
+        got = assigned([_box(r) for r in found], [_box(r) for r in targets])
+        return [(r[0], r[2], None if g is None else targets[g][2]) for r, g in zip(found, got)]
 
-    return regions.groupBy("page").applyInPandas(run, "page long, detection int, target int")
+    return _by_page(regions, ("page",), one, "page long, detection int, target int")
 
 
 def group_regions(regions: DataFrame) -> DataFrame:
     """Page, ord, grp."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord")
-        return pd.DataFrame({"page": page["page"].iloc[0], "ord": page["ord"].to_numpy(), "grp": grouped(list(zip(_boxes(page), page["direction"])))})
-
-    return regions.groupBy("page").applyInPandas(run, "page long, ord int, grp int")
+    return _by_page(regions, ("page",), lambda rows: [(r[0], r[2], g) for r, g in zip(rows, grouped([(_box(r), r[8]) for r in rows]))], "page long, ord int, grp int")
 
 
 def match_ground_truth(regions: DataFrame, least: float = 0.5) -> DataFrame:
     """Greedy one-to-one matches of vertical (truth) and horizontal (found)
     boxes by overlap, per page: matched, found, truth."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord")
-        truth, found = _boxes(page[page["direction"] == "v"]), _boxes(page[page["direction"] == "h"])
-        taken, hits = set(), 0
+    def one(rows: list[tuple]) -> list[tuple]:
+        truth, found = [_box(r) for r in rows if r[8] == "v"], [_box(r) for r in rows if r[8] == "h"]
+        taken: set[int] = set()
         for t in truth:
             hit = next((i for i, f in enumerate(found) if i not in taken and iou(t, f) > least), None)
             if hit is not None:
                 taken.add(hit)
-                hits += 1
-        return pd.DataFrame({"page": [page["page"].iloc[0]], "matched": [hits], "found": [len(found)], "truth": [len(truth)]})
+        return [(rows[0][0], len(taken), len(found), len(truth))]
 
-    return regions.groupBy("page").applyInPandas(run, "page long, matched long, found long, truth long")
+    return _by_page(regions, ("page",), one, "page long, matched long, found long, truth long")
 
 
 def pack_chunks(lines: DataFrame, most_items: int = 24, most_chars: int = 6000) -> DataFrame:
