@@ -37,9 +37,11 @@ from tokenizers import Tokenizer
 from .common import raw, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words, pre-tokens and token pairs that a worker remembers. When a
+#: Encoded words, pre-tokens, token pairs and automaton moves that a worker remembers. When a
 #: store is full, what the last full store didn't use is dropped.
-KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS = 250_000, 200_000, 300_000
+KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS, KEPT_MOVES = 250_000, 200_000, 300_000, 300_000
+#: Stands before a word, as no token.
+START = 0xFFFF
 
 _ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0da-z0-9]+").findall
 #: For words below U+0250, which are all in normal form C.
@@ -66,20 +68,58 @@ class Store(dict):
         return [k for k in keys if k not in self and k not in self.old]
 
 
-class Sizes(dict):
-    """The last three characters of a prefix (or all, if it has fewer) -> the
-    sizes of the tokens that it may end with, longest first. The single
-    character is always one."""
+class State(dict):
+    """A state of the automaton over the vocabulary: character -> the next
+    state. ``text`` is the longest ending of what was read that some token
+    begins with; ``inside`` and ``closing`` are the tokens that end here,
+    within a word and at its end, as (size, id), longest first."""
 
-    def __init__(self, tokens):
+    __slots__ = ("closing", "inside", "machine", "text")
+
+    def __init__(self, machine: "Automaton", text: str):
+        super().__init__()
+        endings = [text[i:] for i in range(len(text))]
+        self.machine, self.text = machine, text
+        self.inside = tuple((len(x), machine.inside[x]) for x in endings if x in machine.inside)
+        self.closing = tuple((len(x), machine.closing[x]) for x in endings if x in machine.closing)
+
+    def __missing__(self, character: str) -> "State":
+        state = self[character] = self.machine.state(self.text + character)
+        self.machine.moves += 1
+        return state
+
+
+class Automaton:
+    """States are made when they are first reached."""
+
+    def __init__(self, inside: dict[str, int], closing: dict[str, int]):
+        self.inside, self.closing = inside, closing
+        self.begun = {t[:i] for t in chain(inside, closing) for i in range(1, len(t) + 1)}
+        self.reset()
+
+    def reset(self) -> None:
+        self.moves, self.states = 0, {}
+        self.start = self.state("")
+
+    def state(self, read: str) -> State:
+        while read and read not in self.begun:
+            read = read[1:]
+        found = self.states.get(read)
+        if found is None:
+            found = self.states[read] = State(self, read)
+        return found
+
+
+class Fits(dict):
+    """A pair of tokens (a << 16 | b) -> whether they may stand side by side."""
+
+    def __init__(self, judge):
         super().__init__()
-        self.known: dict[str, set[int]] = {}
-        for t in tokens:
-            self.known.setdefault(t[-3:], set()).add(len(t))
+        self.judge = judge
 
-    def __missing__(self, ending: str) -> tuple[int, ...]:
-        sizes = self[ending] = tuple(sorted({1}.union(*(self.known.get(ending[i:], ()) for i in range(len(ending)))), reverse=True))
-        return sizes
+    def __missing__(self, key: int) -> bool:
+        fit = self[key] = self.judge(key)
+        return fit
 
 
 class WordPieces:
@@ -98,10 +138,12 @@ class WordPieces:
         self.special_pattern = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or "(?!)")
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         cut = len(self.end)
-        self.inside = Sizes(t for t in self.vocab if not t.endswith(self.end))
-        self.closing = Sizes(t[:-cut] for t in self.vocab if t.endswith(self.end) and len(t) > cut)
+        self.automaton = Automaton(
+            {t: i for t, i in self.vocab.items() if not t.endswith(self.end)},
+            {t[:-cut]: i for t, i in self.vocab.items() if t.endswith(self.end) and len(t) > cut},
+        )
         self.packed = {i: i.to_bytes(4, "little") for i in self.vocab.values()}
-        self.pairs: dict[int, bool] = {}  # a << 16 | b -> whether they fit
+        self.pairs = Fits(self.fits)
         self.size_of = {i: len(t) - cut * (t.endswith(self.end) and len(t) > cut) for t, i in self.vocab.items()}
         #: token -> the tokens it is merged from, and the merge's rank
         self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], r) for (a, b), r in self.ranks.items()}
@@ -114,11 +156,11 @@ class WordPieces:
 
     def pretokens(self, word: bytes) -> list[str]:
         """Pre-tokens in the byte alphabet of the vocabulary."""
+        if word.isalpha():  # of ASCII letters
+            return [word.lower().decode()]
         text = word.decode()
         if text.isascii():
             text = text.lower()
-            if text.isalpha():
-                return [text]
             found = _ASCII_PRETOKEN(text)
             return found if text.isprintable() else [self._bytes(x) for x in found]
         if max(text) < "\u0250" and "\x85" not in text and "\xa0" not in text and min(text) > " ":
@@ -155,57 +197,49 @@ class WordPieces:
         across their border comes before both sides of it are used up. Of
         equal merges the left one comes first."""
         a, b = key >> 16, key & 0xFFFF
+        if a == START:
+            return True
         left, right = self.ends.get(a), self.starts.get(b)
         if left is None:
             left = self.ends[a] = self._spine(a, True)
         if right is None:
             right = self.starts[b] = self._spine(b, False)
         ranks = self.ranks
-        ok = True
         for x, until_x in left:
             for y, until_y in right:
                 m = ranks.get((x, y))
                 if m is not None and m < until_x and m <= until_y:
-                    ok = False
-        self.pairs[key] = ok
-        return ok
+                    return False
+        return True
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of sorted distinct pre-tokens."""
-        vocab, end, pairs, fits = self.vocab, self.end, self.pairs, self.fits
-        inside, closing, size_of = self.inside, self.closing, self.size_of
+        pairs, size_of = self.pairs, self.size_of
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
-        last = [0]  # the last token of each prefix on the path
+        if self.automaton.moves > KEPT_MOVES:
+            self.automaton.reset()
+        # for each prefix on the path: its last token, and the automaton's state
+        last, path = [START], [self.automaton.start]
         before = ""
         for word in words:
             n = len(word)
             shared, most = 0, min(len(before), n - 1, len(last) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for i in range(shared + 1, n):
-                for size in inside[word[i - 3 : i] if i > 3 else word[:i]]:
-                    if size <= i:
-                        token = vocab.get(word[i - size : i])
-                        if token is not None:
-                            if size == i:
-                                break
-                            key = last[i - size] << 16 | token
-                            fit = pairs.get(key)
-                            if fit or fit is None and fits(key):
-                                break
+            del last[shared + 1 :], path[shared + 1 :]
+            state, i = path[-1], shared
+            for character in word[shared : n - 1]:
+                i += 1
+                state = state[character]
+                for size, token in state.inside:
+                    if pairs[last[i - size] << 16 | token]:
+                        break
                 last.append(token)
-            for size in closing[word[n - 3 :] if n > 3 else word]:
-                if size <= n:
-                    token = vocab.get(word[n - size :] + end)
-                    if token is not None:
-                        if size == n:
-                            break
-                        key = last[n - size] << 16 | token
-                        fit = pairs.get(key)
-                        if fit or fit is None and fits(key):
-                            break
+                path.append(state)
+            for size, token in state[word[-1]].closing:
+                if pairs[last[n - size] << 16 | token]:
+                    break
             out, at = [token], n - size
             while at:
                 token = last[at]
