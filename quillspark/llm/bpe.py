@@ -257,14 +257,18 @@ class WordPieces:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            split = {w: self.pretokens(w) for w in self.words.lacking(words)}
-            fresh = self.tokens.lacking(set(chain.from_iterable(split.values())))
+            lacking = self.words.lacking(words)
+            plain = [w for w in lacking if w.isalpha()]  # of ASCII letters: one pre-token
+            lower = [w.lower().decode() for w in plain]
+            split = [(w, self.pretokens(w)) for w in lacking if not w.isalpha()]
+            fresh = self.tokens.lacking(set(lower).union(*[parts for _, parts in split]))
             fresh.sort()
-            packed = self.packed
+            packed, tokens = self.packed, self.tokens
             for token, ids in self.encode_sorted(fresh):
-                self.tokens[token] = b"".join([packed[i] for i in ids])
-            for w, parts in split.items():
-                self.words[w] = b"".join([self.tokens[p] for p in parts])
+                tokens[token] = b"".join([packed[i] for i in ids])
+            self.words.update(zip(plain, map(tokens.__getitem__, lower)))
+            for w, parts in split:
+                self.words[w] = b"".join([tokens[p] for p in parts])
         finally:
             if collecting:
                 gc.enable()
