@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python step works on at once. A longer text is a slice
 #: of its own; nothing is cut.
 SLICE_BYTES = 4 << 20
+#: Edges of a graph that a task works on, where there are few.
+EDGES_A_TASK = 20_000
 #: Distinct words whose hashes a worker remembers between slices.
 WORDS_KEPT = 400_000
 
@@ -189,19 +191,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     written to the shared folder.
     """
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "cc")
-    before = None
+    count = F.count(F.lit(1))
+    before, rows = None, now.count()
     while True:
+        # Few edges need few tasks; each task makes files at every exchange.
+        tasks = 4 + rows // EDGES_A_TASK
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), "cc")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = written(small.where("a <> b").distinct().coalesce(tasks), "cc")
+        state = now.agg(count, F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, rows = state, state[0]
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
