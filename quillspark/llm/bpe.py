@@ -23,14 +23,15 @@ import gc
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
@@ -41,50 +42,79 @@ TOKENIZER = "word_bpe_49k.json"
 #: store is full, what the last full store didn't use is dropped.
 KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS, KEPT_MOVES = 250_000, 200_000, 300_000, 300_000
 #: Stands before a word, as no token.
-START = 0xFFFF
+START = -1
+#: Up to so many bytes, the ids of each prefix on the path are at hand.
+SHORT = 64
 
 _ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0da-z0-9]+").findall
-#: For words below U+0250, which are all in normal form C.
-_LATIN_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+#: Printable words below U+0250, which are all in normal form C.
+_LATIN = re.compile("[!-~\xa1-\u024f]+").fullmatch
 
 
-class Store(dict):
-    """A dict of bounded size that keeps what was used lately."""
+def _latin_pretoken():
+    """Splits lower-cased words of that kind, a line each; an end of line is
+    a match of its own."""
+    of = lambda kind: "".join(chr(c) for c in range(128, 0x250) if unicodedata.category(chr(c))[0] == kind)
+    letter, number = "a-z" + of("L"), "0-9" + of("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|\n|[^\n{letter}{number}]+").findall
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
 
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+_LATIN_PRETOKEN = _latin_pretoken()
+
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
+class Store:
+    """Two dicts of bounded size: ``now`` has what was used since the last
+    turn, ``old`` what was used in the turn before."""
 
-    def lacking(self, keys: set) -> list:
-        return [k for k in keys if k not in self and k not in self.old]
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def lacking(self, keys: set) -> set:
+        """The keys that aren't here; those that are will be in ``now``."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        missing = keys.difference(self.now)
+        lacking = missing.difference(self.old)
+        missing -= lacking
+        self.now.update(zip(missing, map(self.old.__getitem__, missing)))
+        return lacking
+
+
+def shared_prefixes(words: list[bytes], most: int = 32) -> list[int]:
+    """How many bytes of a path over all but the last byte each word shares
+    with the one before it."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.array(words, dtype=f"S{most}").view(np.uint8).reshape(-1, most)
+    other = letters[1:] != letters[:-1]
+    equal = np.where(other.any(1), other.argmax(1), most)
+    shared = np.minimum(equal, np.minimum(sizes[1:], sizes[:-1]) - 1).tolist()
+    for i in np.flatnonzero(equal == most).tolist():  # long ones: the rest of the path
+        a, b = words[i], words[i + 1]
+        k, end = shared[i], min(len(a), len(b)) - 1
+        while k < end and a[k] == b[k]:
+            k += 1
+        shared[i] = k
+    return [0, *shared]
 
 
 class State(dict):
-    """A state of the automaton over the vocabulary: character -> the next
+    """A state of the automaton over the vocabulary: byte -> the next
     state. ``text`` is the longest ending of what was read that some token
     begins with; ``inside`` and ``closing`` are the tokens that end here,
-    within a word and at its end, as (size, id), longest first."""
+    within a word and at its end, as (size, id, packed id, fits), longest
+    first."""
 
     __slots__ = ("closing", "inside", "machine", "text")
 
-    def __init__(self, machine: "Automaton", text: str):
+    def __init__(self, machine: "Automaton", text: bytes):
         super().__init__()
         endings = [text[i:] for i in range(len(text))]
         self.machine, self.text = machine, text
-        self.inside = tuple((len(x), machine.inside[x]) for x in endings if x in machine.inside)
-        self.closing = tuple((len(x), machine.closing[x]) for x in endings if x in machine.closing)
+        self.inside = tuple((len(x), *machine.inside[x]) for x in endings if x in machine.inside)
+        self.closing = tuple((len(x), *machine.closing[x]) for x in endings if x in machine.closing)
 
-    def __missing__(self, character: str) -> "State":
-        state = self[character] = self.machine.state(self.text + character)
+    def __missing__(self, byte: int) -> "State":
+        state = self[byte] = self.machine.state(self.text + bytes((byte,)))
         self.machine.moves += 1
         return state
 
@@ -92,16 +122,16 @@ class State(dict):
 class Automaton:
     """States are made when they are first reached."""
 
-    def __init__(self, inside: dict[str, int], closing: dict[str, int]):
+    def __init__(self, inside: dict[bytes, tuple], closing: dict[bytes, tuple]):
         self.inside, self.closing = inside, closing
         self.begun = {t[:i] for t in chain(inside, closing) for i in range(1, len(t) + 1)}
         self.reset()
 
     def reset(self) -> None:
         self.moves, self.states = 0, {}
-        self.start = self.state("")
+        self.start = self.state(b"")
 
-    def state(self, read: str) -> State:
+    def state(self, read: bytes) -> State:
         while read and read not in self.begun:
             read = read[1:]
         found = self.states.get(read)
@@ -111,14 +141,17 @@ class Automaton:
 
 
 class Fits(dict):
-    """A pair of tokens (a << 16 | b) -> whether they may stand side by side."""
+    """For one token: the token before it -> whether they may stand so."""
+
+    __slots__ = ("encoder", "token")
 
-    def __init__(self, judge):
+    def __init__(self, encoder: "WordPieces", token: int):
         super().__init__()
-        self.judge = judge
+        self.encoder, self.token = encoder, token
 
-    def __missing__(self, key: int) -> bool:
-        fit = self[key] = self.judge(key)
+    def __missing__(self, before: int) -> bool:
+        fit = self[before] = self.encoder.fits(before, self.token)
+        self.encoder.judged += 1
         return fit
 
 
@@ -138,12 +171,12 @@ class WordPieces:
         self.special_pattern = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or "(?!)")
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         cut = len(self.end)
+        self.packed = {i: i.to_bytes(4, "little") for i in self.vocab.values()}
+        self.judged, self.pairs = 0, {i: Fits(self, i) for i in self.vocab.values()}
         self.automaton = Automaton(
-            {t: i for t, i in self.vocab.items() if not t.endswith(self.end)},
-            {t[:-cut]: i for t, i in self.vocab.items() if t.endswith(self.end) and len(t) > cut},
+            {self._bytes(t): (i, self.packed[i], self.pairs[i]) for t, i in self.vocab.items() if not t.endswith(self.end)},
+            {self._bytes(t[:-cut]): (i, self.packed[i], self.pairs[i]) for t, i in self.vocab.items() if t.endswith(self.end) and len(t) > cut},
         )
-        self.packed = {i: i.to_bytes(4, "little") for i in self.vocab.values()}
-        self.pairs = Fits(self.fits)
         self.size_of = {i: len(t) - cut * (t.endswith(self.end) and len(t) > cut) for t, i in self.vocab.items()}
         #: token -> the tokens it is merged from, and the merge's rank
         self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], r) for (a, b), r in self.ranks.items()}
@@ -154,30 +187,38 @@ class WordPieces:
 
     # -- splitting ---------------------------------------------------------
 
-    def pretokens(self, word: bytes) -> list[str]:
-        """Pre-tokens in the byte alphabet of the vocabulary."""
-        if word.isalpha():  # of ASCII letters
-            return [word.lower().decode()]
+    def pretokens(self, word: bytes) -> list[bytes]:
         text = word.decode()
         if text.isascii():
-            text = text.lower()
-            found = _ASCII_PRETOKEN(text)
-            return found if text.isprintable() else [self._bytes(x) for x in found]
-        if max(text) < "\u0250" and "\x85" not in text and "\xa0" not in text and min(text) > " ":
-            return [x if x.isascii() else self._bytes(x) for x in _LATIN_PRETOKEN(text.lower())]
+            return [x.encode() for x in _ASCII_PRETOKEN(text.lower())]
         text = self.library.normalizer.normalize_str(text)
-        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [self._bytes(x) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def pretokens_of(self, words: list[bytes]) -> dict[bytes, list[bytes]]:
+        """Pre-tokens of each word; Latin ones are split all at once."""
+        if not words:
+            return {}
+        texts = b"\n".join(words).decode().split("\n")
+        latin = [w for w, text in zip(words, texts) if _LATIN(text)]
+        out = {}
+        if latin:
+            found = _LATIN_PRETOKEN(b"\n".join(latin).decode().lower())
+            out = dict(zip(latin, map(bytes.split, " ".join(found).encode().split(b"\n"))))
+        if len(latin) < len(words):
+            out |= {w: self.pretokens(w) for w in words if w not in out}
+        return out
 
     @staticmethod
     @lru_cache(1)
-    def _alphabet() -> dict[int, str]:
-        """Printable Latin-1 bytes stand for themselves, the rest from 256 on."""
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(own)]
-        return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    def _alphabet() -> dict[int, int]:
+        """The vocabulary's characters for bytes: printable Latin-1 bytes
+        stand for themselves, the rest from 256 on."""
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in own]
+        return {256 + i: b for i, b in enumerate(rest)}
 
-    def _bytes(self, text: str) -> str:
-        return text.encode().decode("latin-1").translate(self._alphabet())
+    def _bytes(self, token: str) -> bytes:
+        return token.translate(self._alphabet()).encode("latin-1")
 
     # -- the model ---------------------------------------------------------
 
@@ -192,11 +233,10 @@ class WordPieces:
                 return out
             until, token = pair[2], pair[1 if right else 0]
 
-    def fits(self, key: int) -> bool:
-        """Whether two tokens (a << 16 | b) may stand side by side: no merge
-        across their border comes before both sides of it are used up. Of
-        equal merges the left one comes first."""
-        a, b = key >> 16, key & 0xFFFF
+    def fits(self, a: int, b: int) -> bool:
+        """Whether two tokens may stand side by side: no merge across their
+        border comes before both sides of it are used up. Of equal merges the
+        left one comes first."""
         if a == START:
             return True
         left, right = self.ends.get(a), self.starts.get(b)
@@ -213,81 +253,108 @@ class WordPieces:
         return True
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of sorted distinct pre-tokens."""
-        pairs, size_of = self.pairs, self.size_of
-        if len(pairs) > KEPT_PAIRS:
-            pairs.clear()
+        """(word, ids) of sorted distinct pre-tokens in the vocabulary's
+        characters."""
+        packed = self.walk([self._bytes(w) for w in words])
+        return ((w, np.frombuffer(p, "<u4").tolist()) for w, p in zip(words, packed))
+
+    def walk(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of sorted distinct pre-tokens."""
+        if not words:
+            return []
+        done, size_of, packed = [], self.size_of, self.packed
+        if self.judged > KEPT_PAIRS:
+            self.judged = 0
+            for fits in self.pairs.values():
+                fits.clear()
         if self.automaton.moves > KEPT_MOVES:
             self.automaton.reset()
-        # for each prefix on the path: its last token, and the automaton's state
-        last, path = [START], [self.automaton.start]
-        before = ""
-        for word in words:
-            n = len(word)
-            shared, most = 0, min(len(before), n - 1, len(last) - 1)
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], path[shared + 1 :]
-            state, i = path[-1], shared
-            for character in word[shared : n - 1]:
+        # for each prefix on the path: its last token, the automaton's state,
+        # and (up to SHORT bytes) its ids
+        last, path, ids = [START], [self.automaton.start], [b""]
+        for word, shared in zip(words, shared_prefixes(words)):
+            n, i = len(word), shared
+            del last[shared + 1 :], path[shared + 1 :], ids[shared + 1 :]
+            state = path[-1]
+            for byte in word[shared : min(n - 1, SHORT)]:
+                i += 1
+                state = state[byte]
+                for size, token, own, fits in state.inside:
+                    if fits[last[i - size]]:
+                        break
+                last.append(token)
+                path.append(state)
+                ids.append(ids[i - size] + own)
+            for byte in word[i : n - 1]:
                 i += 1
-                state = state[character]
-                for size, token in state.inside:
-                    if pairs[last[i - size] << 16 | token]:
+                state = state[byte]
+                for size, token, _, fits in state.inside:
+                    if fits[last[i - size]]:
                         break
                 last.append(token)
                 path.append(state)
-            for size, token in state[word[-1]].closing:
-                if pairs[last[n - size] << 16 | token]:
+            for size, token, own, fits in state[word[-1]].closing:
+                if fits[last[n - size]]:
                     break
-            out, at = [token], n - size
-            while at:
+            at = n - size
+            if at < len(ids):
+                done.append(ids[at] + own)
+                continue
+            out = [own]
+            while at >= len(ids):
                 token = last[at]
-                out.append(token)
+                out.append(packed[token])
                 at -= size_of[token]
+            out.append(ids[at])
             out.reverse()
-            before = word
-            yield word, out
+            done.append(b"".join(out))
+        return done
 
     def learn(self, words: set[bytes]) -> None:
-        """Make sure that ``self.words`` has every word."""
-        self.words.turn()
-        self.tokens.turn()
+        """Make sure that ``self.words.now`` has every word."""
         # Many small lists live at once here; none is part of a cycle.
         collecting = gc.isenabled()
         gc.disable()
         try:
             lacking = self.words.lacking(words)
             plain = [w for w in lacking if w.isalpha()]  # of ASCII letters: one pre-token
-            lower = [w.lower().decode() for w in plain]
-            split = [(w, self.pretokens(w)) for w in lacking if not w.isalpha()]
-            fresh = self.tokens.lacking(set(lower).union(*[parts for _, parts in split]))
-            fresh.sort()
-            packed, tokens = self.packed, self.tokens
-            for token, ids in self.encode_sorted(fresh):
-                tokens[token] = b"".join([packed[i] for i in ids])
-            self.words.update(zip(plain, map(tokens.__getitem__, lower)))
-            for w, parts in split:
-                self.words[w] = b"".join([tokens[p] for p in parts])
+            lower = b"\n".join(plain).lower().split(b"\n") if plain else []
+            split = self.pretokens_of(list(lacking.difference(plain)))
+            fresh = sorted(self.tokens.lacking(set(lower).union(*split.values())))
+            tokens = self.tokens.now
+            tokens.update(zip(fresh, self.walk(fresh)))
+            of = tokens.__getitem__
+            self.words.now.update(zip(plain, map(of, lower)))
+            self.words.now.update([(w, b"".join(map(of, parts))) for w, parts in split.items()])
         finally:
             if collecting:
                 gc.enable()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids (little-endian unsigned 32-bit) of each text."""
-        split = [self._parts(t) for t in texts]
-        self.learn(set().union(*[p for parts in split for p in parts if isinstance(p, list)]))
-        return [b"".join([self._join(p) for p in parts]) for parts in split]
-
-    def _parts(self, text: bytes) -> list[list[bytes] | int]:
-        if b"<|" in text and (pieces := self.special_pattern.split(text.decode())) and len(pieces) > 1:
-            return [self.special[p] if p in self.special else p.encode().split() for p in pieces if p is not None]
-        return [text.split()]
-
-    def _join(self, part: list[bytes] | int) -> bytes:
-        if isinstance(part, int):
-            return part.to_bytes(4, "little")
-        return b"".join(map(self.words.__getitem__, part))
+        """Packed ids (little-endian unsigned 32-bit) of each text. Arrow
+        splits the texts, numbers the distinct words and lays out the ids."""
+        special = {i: parts for i, t in enumerate(texts) if b"<|" in t and (parts := self._parts(t))}
+        words = pc.ascii_split_whitespace(pa.array([b"" if i in special else t for i, t in enumerate(texts)], pa.string()))
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.learn(set(distinct).union(*[p for parts in special.values() for p in parts if isinstance(p, list)]) - {b""})
+        known = self.words.now
+        known[b""] = b""
+        ids = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(numbered.indices)
+        cuts = np.zeros(1, np.int64) if not len(ids) else np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        at = cuts[np.asarray(words.offsets)].tolist()
+        blob = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(blob[x:y]) for x, y in zip(at, at[1:])]
+        for i, parts in special.items():
+            out[i] = b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in parts])
+        return out
+
+    def _parts(self, text: bytes) -> list[list[bytes] | int] | None:
+        """A text that holds special tokens: their ids, and the words between."""
+        pieces = self.special_pattern.split(text.decode())
+        if len(pieces) < 2:
+            return None
+        return [self.special[p] if p in self.special else p.encode().split() for p in pieces if p is not None]
 
     def decode(self, packed: bytes) -> bytes:
         """The library's decoding for a file without a decoder: the tokens'

@@ -158,6 +158,19 @@ def test_bpe_is_the_librarys(spark, docs, rows, none):
     assert [ids for _, ids in enc.encode_sorted(words)] == [t.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_bpe_words_around_the_short_limit():
+    """Long words that share prefixes of all sizes, alone and side by side with special tokens and odd white space."""
+    t = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
+    r = random.Random(7)
+    stem = "".join(r.choice("aeionrstlé") for _ in range(400))
+    words = [stem[:n] + tail for n in (1, 2, bpe.SHORT - 2, bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 90, 200, 400) for tail in ("", "x", "ing", "***", "é9é")]
+    texts = ["", "  ", *words, " ".join(words), "\x0b" + "\n\n".join(reversed(words)) + "\x1f ", "<|endoftext|>".join(words[:9]), "a<|b " + words[-1]]
+    enc = bpe.WordPieces()
+    got = enc.encode_many([x.encode() for x in texts])
+    assert [np.frombuffer(p, "<u4").tolist() for p in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert enc.encode_many([]) == []
+
+
 def test_packing(docs, rows, none):
     t = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
     got = packing.pack(docs).toPandas()
