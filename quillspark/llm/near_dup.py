@@ -7,23 +7,22 @@ of the empty bin's number and an attempt count picks the donor). Bands of
 ``rows`` bins give bucket keys.
 
 Documents with equal sets are one *class* and take part as its smallest
-doc_id. Candidate edges are star-shaped: in each bucket every class is
-joined with one hub, so a bucket of m members gives m - 1 edges. The hub is
+doc_id. Candidate edges are star-shaped at first: in each bucket every class
+is joined with one hub, so a bucket of m members gives m - 1 edges. The hub is
 the member that meets most classes in all its buckets, which is a cluster's
 centre. Links are confirmed on full sets (sent as the upper
-six bytes of each hash). Buckets whose members then belong
-to different components get further stars, with hubs from components that
-haven't had one there, until a round confirms nothing new; there a pair is made
-once, in the first bucket that it shares. Pairs whose set sizes rule a link
-out are left.
+six bytes of each hash). Then an exact pass takes the buckets whose other
+members belong to different components: every pair of them that isn't in one
+component is tested, in the first bucket that it shares, except where the set
+sizes rule a link out.
 
 Only classes that share a bucket with another have their full sets made, once;
 the texts come by a bitmap of fixed size and a join.
 
 Recall: two sets of similarity s share no band with probability
-(1 - s**rows)**bands, below 1e-7 at s = 0.8 for 4 x 32. A pair that no star
-joins directly is linked through others of its cluster; tests hold the
-components against brute force.
+(1 - s**rows)**bands, below 1e-7 at s = 0.8 for 4 x 32. Every pair that shares
+a band is tested, or its sizes rule it out, or it is in one component already;
+tests hold the components against brute force.
 
 Defined cases: a document without words or text has an empty set and no
 link; one with fewer words than a shingle has its whole word sequence as its
@@ -41,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Bitmap, WordHashes, bound_batches, components, from_six, mix, range_bucket, raw, signed, six_bytes, slices, written
@@ -49,8 +47,9 @@ from .common import Bitmap, WordHashes, bound_batches, components, from_six, mix
 BINS, ROWS = 128, 4
 #: Bits of the filter that fetches texts: 8 MB at any size of input.
 FETCH_BITS = 26
-#: Hubs that an open bucket gets in each round after the first.
-HUBS = 4
+#: A bucket's members are dealt into blocks of about so many, or of about so
+#: many shingles; all pairs of blocks are compared.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
 #: Up to so many classes, a round's are broadcast to pick their sets; beyond,
 #: all sets take part in the join.
 FEW_ENDS = 100_000
@@ -222,6 +221,88 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
+def cell_links(bands: np.ndarray, band: int, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the components of a cell's members, enough of them to
+    join what its pairs join. Where the cell has two sides, a pair takes one
+    of each. A pair that shares an earlier band is left to that one."""
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts, mark = ends - sizes, np.zeros(int(flat.max()) + 1, np.int64)
+    two = side.min() != side.max()
+    root, out = component.copy(), []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, None)
+        fit = (root[rest] != root[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+        if two:
+            fit &= side[rest] != side[i]
+        at = np.flatnonzero(fit) + i + 1
+        at = at[~(bands[at, :band] == bands[i, :band]).any(1)]
+        if not len(at):
+            continue
+        own = flat[starts[i] : ends[i]]
+        mark[own] = 1
+        many = sizes[at]
+        common = np.add.reduceat(mark[np.concatenate([flat[starts[j] : ends[j]] for j in at])], np.cumsum(many) - many)
+        mark[own] = 0
+        for j in at[100 * common >= percent * (sizes[i] + many - common)]:
+            if root[j] != root[i]:
+                out.append((int(component[i]), int(component[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def crossing(open_: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that a pair of members of a bucket links. Every pair
+    of ``open_`` (key, node, n, component) whose members share a bucket and
+    not a component is tested, once, in the first bucket that it shares.
+
+    A bucket's members are dealt into blocks; a *cell* has one or two blocks
+    of a bucket, and each pair of blocks is a cell. Pairs exist inside a
+    cell's task only."""
+    size = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all_n"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    rows = open_.join(size.where("x <> y").select("key", blocks.alias("blocks")), "key").withColumn("side", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component")
+    full = rows.join(bands, "node").join(sets, "node").select("key", "i", "j", "side", "component", "bands", "shingles")
+    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def links(cell):
+        side = np.concatenate([np.asarray(b.column("side")) for b in cell])
+        component = np.concatenate([np.asarray(b.column("component"), dtype=np.int64) for b in cell])
+        if component.min() == component.max():
+            return []
+        bands = np.frombuffer(b"".join(chain.from_iterable(b.column("bands").to_pylist() for b in cell)), "<i8").reshape(len(side), -1)
+        sets = [from_six(x) for b in cell for x in b.column("shingles").to_pylist()]
+        band = int(np.flatnonzero(bands[0] == cell[0].column("key")[0].as_py())[0])
+        if cell[0].column("i")[0].as_py() != cell[0].column("j")[0].as_py() and side.min() == side.max():
+            return []
+        return cell_links(bands, band, component, side, sets, percent)
+
+    def run(batches):
+        cell, at = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = np.stack([np.asarray(b.column(c), dtype=np.int64) for c in ("key", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            found = []
+            for x, y in zip(cuts, cuts[1:]):
+                if at != (name := tuple(names[x].tolist())):
+                    found += links(cell) if cell else []
+                    cell, at = [], name
+                cell.append(b.slice(x, y - x))
+            yield ends(found)
+        yield ends(links(cell) if cell else [])
+
+    def ends(found):
+        x = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    return written(full.mapInArrow(run, "a long, b long"), "crossing")
+
+
 def _linked(classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link."""
     crowded = written(crowded_buckets(classes.select("node", "bands")), "crowded")
@@ -231,60 +312,30 @@ def _linked(classes: DataFrame, docs: DataFrame, key: str, text: str, width: int
     weight = weight.join(classes.select("node", F.col("n_shingles").alias("n")), "node")
     crowded = written(crowded.select("key", "node").join(weight, "node"), "crowded")
     sets = fetched(classes.select("node", "doc_id").join(weight.select("node"), "node", "left_semi"), docs, key, text, width)
-    crowded = crowded.withColumn("was_hub", F.lit(False))
-    joined = links = tested = None
-    while True:
-        now = crowded if joined is None else crowded.join(joined, "node", "left")
-        now = now.withColumn("component", F.col("node") if joined is None else F.coalesce("component", "node"))
-        # Open buckets have several components; those that gave no hub there
-        # yet may give one.
-        parts = now.groupBy("key", "component").agg(F.max("was_hub").alias("done"), F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "n")).alias("best"))
-        open_ = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("best")))
-        hubs = parts.where("not done").join(open_, "key").withColumn("rank", rank).where(F.col("rank") <= (1 if links is None else HUBS))
-        hubs = written(hubs.select("key", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n"), F.col("component").alias("side")), "hubs")
-        # Buckets that gave no hub are settled and leave.
-        live = now.join(hubs.select("key").distinct(), "key", "left_semi")
-        # Sets of too different sizes can't be similar.
-        apt = (F.col("component") != F.col("side")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        if links is None:
-            edges = live.join(hubs, "key").where(apt)
-        else:
-            # A pair that shares several buckets is made in the first of them;
-            # a class has a bucket per band at most.
-            keys = lambda c: F.collect_set("key").over(W.partitionBy(c))
-            first = F.array_min(F.array_intersect("own", "hub_keys")) == F.col("key")
-            edges = live.withColumn("own", keys("node")).join(hubs.withColumn("hub_keys", keys("hub")), "key").where(apt & first)
-        edges = edges.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = written(edges, "candidates")
-        if edges.isEmpty():
-            break
-        tested = edges.select("a", "b") if tested is None else tested.union(edges.select("a", "b"))
-        flags = hubs.select("key", F.col("hub").alias("node"), F.lit(True).alias("new"))
-        left = live.select("key", "node", "weight", "n", "was_hub").join(flags, ["key", "node"], "left")
-        crowded = written(left.select("key", "node", "weight", "n", (F.col("was_hub") | F.col("new").isNotNull()).alias("was_hub")), "crowded")
-        if links is None:
-            # First each class's candidate that most buckets gave, then what
-            # still crosses components.
-            ends = edges.select("a", "b", "n").union(edges.select("b", "a", "n")).toDF("v", "u", "n")
-            best = ends.groupBy("v").agg(F.max_by("u", F.struct("n", F.xxhash64("u"))).alias("u"))
-            best = written(best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "best")
-            links = confirmed(best, sets, percent)
-            joined = components(links)
-            side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias("c" + c))
-            rest = edges.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-            fresh = confirmed(rest.where("coalesce(ca, a) <> coalesce(cb, b)"), sets, percent)
-        else:
-            fresh = confirmed(edges, sets, percent)
-            if fresh.isEmpty():
-                break
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            # The components so far stand for the links that made them.
-            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh))
-    return joined if joined is not None else classes.select("node", F.col("node").alias("component")).limit(0)
+    best = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "n")).alias("best")
+    hubs = written(crowded.groupBy("key").agg(best).select("key", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
+    others = crowded.join(hubs, "key").where("node <> hub")
+    # Sets of too different sizes can't be similar.
+    edges = others.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    edges = written(edges.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "candidates")
+    # First each class's candidate that most buckets gave, then what still
+    # crosses components.
+    ends = edges.select("a", "b", "n").union(edges.select("b", "a", "n")).toDF("v", "u", "n")
+    best = ends.groupBy("v").agg(F.max_by("u", F.struct("n", F.xxhash64("u"))).alias("u"))
+    best = written(best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "best")
+    joined = components(confirmed(best, sets, percent))
+    side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias("c" + c))
+    rest = edges.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    fresh = confirmed(rest.where("coalesce(ca, a) <> coalesce(cb, b)"), sets, percent)
+    # The components so far stand for the links that made them.
+    so_far = lambda: joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not fresh.isEmpty():
+        joined = components(so_far().union(fresh))
+    # A bucket's hub has met all others there; pairs of others that are still
+    # in different components have not.
+    open_ = others.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    fresh = crossing(open_, classes.select("node", "bands"), sets, percent)
+    return joined if fresh.isEmpty() else components(so_far().union(fresh))
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", bins: int = BINS, rows: int = ROWS) -> DataFrame:

@@ -85,6 +85,66 @@ def test_near_duplicates(docs, rows, none, width, percent):
     assert near_dup.keep_first(docs, width, percent).columns == docs.columns
 
 
+def chained(n_groups, size, seed):
+    """Texts of groups around the threshold: sub-clusters that drift apart step
+    by step, their members with changes of their own."""
+    r, out = random.Random(seed), []
+    fresh = lambda: f"w{r.randrange(10**9)}"
+    for _ in range(n_groups):
+        base = [fresh() for _ in range(120)]
+        for k in range(size):
+            if k % 6 == 0:
+                base[r.randrange(120)] = fresh()
+            w = list(base)
+            for _ in range(r.randint(1, 5)):
+                w[r.randrange(120)] = fresh()
+            out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("n_groups,size,block", [(1, 2400, 1024), (2, 300, 64)])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, n_groups, size, block):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", block, raising=False)
+    texts = chained(n_groups, size, 11)
+    sets = shingle_sets(list(enumerate(texts)), 3)
+    ids = {x: i for i, x in enumerate(set().union(*sets))}
+    wide = np.zeros((len(texts), len(ids)), np.float32)
+    for i, x in enumerate(sets):
+        wide[i, [ids[y] for y in x]] = 1
+    n, common = wide.sum(1), wide @ wide.T
+    like = 100 * common >= 85 * (n[:, None] + n - common)
+    want = np.arange(len(texts))
+    while True:
+        now = np.where(like, want, len(texts)).min(1)
+        if (now == want).all():
+            break
+        want = now
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert 1 < len(set(want.tolist())) < len(texts)
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
+def test_a_link_between_two_that_were_no_hubs(spark):
+    """x1 - x2 - y2 - y1 is a chain; x1, y1 and others weigh more in each bucket that x2 and y2 share."""
+    r, texts = random.Random(4), {}
+    w = [f"w{i}" for i in range(200)]
+    for k, name in enumerate(("x1", "x2", "y2", "y1")):
+        for i in range(3 * (k > 0)):
+            w[10 + 60 * i + 10 * k] = f"{name}-{i}"
+        texts[name] = " ".join(w)
+    texts |= {f"d{i}": " ".join(f"d{i}-{j}" for j in range(200)) for i in range(3)}
+    sizes, d, h = near_dup.sets_of([x.encode() for x in texts.values()], 3, common.WordHashes())
+    nodes = dict(zip(texts, near_dup.digests(sizes, h).tolist()))
+    rows = []
+    for i, name in enumerate(texts):
+        bands = [1, 3 + i if name in ("x2", "y2") else 2, *(r.randrange(10**6, 2**62) for _ in range(30))]
+        rows.append((nodes[name], np.array(bands, "<u8").tobytes(), int(sizes[i]), i))
+    classes = spark.createDataFrame(rows, "node long, bands binary, n_shingles long, doc_id long")
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {x.node: x.component for x in near_dup._linked(classes, docs, "doc_id", "text", 3, 85).collect()}
+    assert set(got) == {nodes[x] for x in ("x1", "x2", "y1", "y2")} and len(set(got.values())) == 1
+
+
 def test_suffix_dedup(docs, rows, none):
     first, order = {}, sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     for i in order:
