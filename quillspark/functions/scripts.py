@@ -63,7 +63,9 @@ QUERIES = {
     "q_script_counts": (script_counts, {"texts": "samples"}),
     "q_script_counts_docs": (script_counts, {"texts": "doc_texts"}),
     "q_latin_label": (latin_label, {"texts": "samples"}),
+    "q_latin_label_docs": (latin_label, {"texts": "doc_texts"}),
     "q_ocr_garbage": (ocr_garbage, {"texts": "samples"}),
+    "q_ocr_garbage_docs": (ocr_garbage, {"texts": "doc_texts"}),
     "q_keep_as_is": (keep_as_is, {"texts": "samples"}),
     "q_charclass": (char_class, {"texts": "doc_texts"}),
     "q_word_count": (word_count, {"texts": "doc_texts"}),

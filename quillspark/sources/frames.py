@@ -68,6 +68,14 @@ SELECT page_id, coalesce(regexp_extract(coalesce(url, ''), '([^/?#]+)([?#].*)?$'
         (13, "Price: $5", "Translation: 价格 5", "en", "zh", "openai"), (14, "火影は強い", "HOKAGE很强", "ja", "zh", "deepl"),
     )),
     "doc_texts": Relation("D5", "SELECT doc_id AS id, text, 'ja' AS fallback FROM {documents}"),
+    # whole tables in the shape of the short constant relations
+    "page_names": Relation("D15", "SELECT page_id AS id, coalesce(regexp_extract(coalesce(url, ''), '([^/?#]+)([?#].*)?$', 1), '') AS name FROM {pages}"),
+    "page_colours": Relation("D5", "SELECT page_id AS id, coalesce(regexp_extract(html, '#[0-9a-zA-Z]+', 0), '') AS hex FROM {pages}"),
+    # a document's stand-in for a translation is the next document
+    "doc_pairs": Relation("D5", """
+SELECT d.doc_id AS id, d.text AS source, coalesce(n.text, '') AS translated, d.lang AS source_lang, 'zh' AS target_lang, d.source AS backend
+FROM {documents} d LEFT JOIN {documents} n ON d.doc_id + 1 = n.doc_id"""),
+    "turn_backends": Relation("D18", "SELECT conv_id AS id, turn AS rank, role AS backend, text AS result FROM {conversations}"),
     "kv": Relation("D4", _values("key, value", ("seeded", "1"), ("schema", "3"), ("theme", "dark"))),
     "kv_new": Relation("D4", _values("key, value", ("schema", "4"), ("lang", "ja"))),
     "backends": Relation("D18", _values(

@@ -36,3 +36,13 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, duck, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name,rows_of", [
+    ("q_latin_label_docs", "SELECT count(*) FROM documents WHERE text IS NOT NULL"), ("q_ocr_garbage_docs", "SELECT count(*) FROM documents WHERE text IS NOT NULL"),
+    ("q_numbers_diff_docs", "SELECT count(*) FROM documents"), ("q_units_docs", "SELECT count(*) FROM documents"),
+    ("q_safe_names_pages", "SELECT count(*) FROM pages"), ("q_natural_sort_pages", "SELECT count(*) FROM pages"), ("q_ext_filter_pages", "SELECT count(*) FROM pages"),
+    ("q_hex_color_pages", "SELECT count(*) FROM pages"), ("q_first_backend_turns", "SELECT count(DISTINCT conv_id) FROM conversations"),
+])
+def test_covers_its_whole_table(spark, duck, name, rows_of):
+    assert catalog.QUERIES[name](spark, DATA).count() == duck.execute(rows_of).fetchone()[0]
