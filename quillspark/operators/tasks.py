@@ -12,6 +12,17 @@ WITH asked AS ({_ASKED})
 SELECT a.pos, a.id, coalesce(t.status, 'failed') AS status, coalesce(t.progress, 0) AS progress, CASE WHEN t.id IS NULL THEN 'task not found' END AS error,
   coalesce(nullif(t.k, 0), a.pos) AS idx, coalesce(nullif('', ''), 'auto') AS source_lang, coalesce(nullif('zh', ''), 'zh') AS target_lang
 FROM asked a LEFT JOIN {{tasks}} t ON a.id = t.id""")
+#: As batch_status, for all tasks, all of them asked for again, and as many
+#: unknown ids. Positions are counted in ranges of ids; only the ranges' sums
+#: are counted in one place.
+batch_status_all = Relation("J1 P2 P4 N2 A.15", """
+WITH u AS (SELECT id, p, id [[div||//]] 4096 AS part FROM (SELECT id, 0 AS p FROM {tasks} UNION ALL SELECT id + 100000000000, 1 FROM {tasks} UNION ALL SELECT id, 2 FROM {tasks}) AS a),
+n AS (SELECT p, part, count(*) AS n FROM u GROUP BY p, part),
+o AS (SELECT p, part, sum(n) OVER (ORDER BY p, part ROWS UNBOUNDED PRECEDING) - n AS skipped FROM n),
+asked AS (SELECT CAST(o.skipped + row_number() OVER (PARTITION BY u.p, u.part ORDER BY u.id) AS BIGINT) AS pos, u.id FROM u JOIN o ON u.p = o.p AND u.part = o.part)
+SELECT a.pos, a.id, coalesce(t.status, 'failed') AS status, coalesce(t.progress, 0) AS progress, CASE WHEN t.id IS NULL THEN 'task not found' END AS error,
+  coalesce(nullif(t.k, 0), a.pos) AS idx, coalesce(nullif('', ''), 'auto') AS source_lang, coalesce(nullif('zh', ''), 'zh') AS target_lang
+FROM asked a LEFT JOIN {tasks} t ON a.id = t.id""")
 rollup = Relation("A1 A2 A24", """
 SELECT batch, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS BIGINT) AS completed, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
   CAST(count(*) - sum(CASE WHEN status IN ('completed', 'failed') THEN 1 ELSE 0 END) AS BIGINT) AS processing,
@@ -34,6 +45,11 @@ poll_merge = Relation("J3 X4", """
 WITH items AS (SELECT id, 'item-' || CAST(id AS [[STRING||VARCHAR]]) AS name, 'queued' AS status FROM {tasks} WHERE id % 3 = 0),
 updates AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'upload' ELSE 'page-' || CAST(id AS [[STRING||VARCHAR]]) END AS name, status FROM {tasks} WHERE id % 6 <> 3 OR id % 9 = 0)
 SELECT i.id, CASE WHEN u.name IS NULL OR u.name = 'upload' THEN i.name ELSE u.name END AS name, coalesce(u.status, i.status) AS status FROM items i LEFT JOIN updates u ON i.id = u.id""")
+#: As poll_merge, with all tasks as items and all as updates.
+poll_merge_all = Relation("J3 X4", """
+WITH items AS (SELECT id, 'item-' || CAST(id AS [[STRING||VARCHAR]]) AS name, 'queued' AS status FROM {tasks}),
+updates AS (SELECT id, CASE WHEN status = 'completed' THEN 'page-' || CAST(id AS [[STRING||VARCHAR]]) ELSE 'upload' END AS name, status FROM {tasks})
+SELECT i.id, CASE WHEN u.name IS NULL OR u.name = 'upload' THEN i.name ELSE u.name END AS name, coalesce(u.status, i.status) AS status FROM items i LEFT JOIN updates u ON i.id = u.id""")
 retry_lineage = Relation("X5 P3", "SELECT id + 1000000 AS id, id AS retry_of, 'queued' AS status, k FROM {tasks} WHERE status = 'failed'")
 partial_retry = Relation("X6", """
 SELECT id, 'first pass' AS pass, status FROM {tasks} WHERE status <> 'failed'
@@ -81,7 +97,7 @@ SELECT CASE WHEN [[lower(name) rlike '[.](png|jpg|jpeg|webp|html)$'||regexp_matc
 FROM {files} GROUP BY CASE WHEN [[lower(name) rlike '[.](png|jpg|jpeg|webp|html)$'||regexp_matches(lower(name), '[.](png|jpg|jpeg|webp|html)$')]] THEN CASE WHEN bytes > 4000 THEN 'too large' ELSE 'ok' END ELSE 'invalid' END""")
 
 QUERIES = {
-    "q_batch_status": batch_status, "q_batch_rollup": rollup, "q_batch_label": batch_label, "q_active_ids": active_ids, "q_task_by_id": task_by_id, "q_zip_manifest": manifest,
+    "q_batch_status": batch_status, "q_batch_status_all": batch_status_all, "q_poll_merge_all": poll_merge_all, "q_batch_rollup": rollup, "q_batch_label": batch_label, "q_active_ids": active_ids, "q_task_by_id": task_by_id, "q_zip_manifest": manifest,
     "q_zip_errors": manifest_errors, "q_poll_merge": poll_merge, "q_retry_lineage": retry_lineage, "q_partial_retry": partial_retry, "q_last_n_history": last_n,
     "q_progress_steps": progress_steps, "q_patch_fold": patch_fold, "q_cascade_delete": cascade_delete, "q_gated_delete": gated_delete, "q_undo": undo, "q_perf_rollup": performance,
     "q_ordered_distinct": ordered_distinct, "q_sorted_distinct": sorted_distinct, "q_json_meta": json_meta, "q_manifest_json": manifest_json, "q_map_merge": map_merge,

@@ -42,7 +42,15 @@ def test_runs(spark, duck, name):
     ("q_latin_label_docs", "SELECT count(*) FROM documents WHERE text IS NOT NULL"), ("q_ocr_garbage_docs", "SELECT count(*) FROM documents WHERE text IS NOT NULL"),
     ("q_numbers_diff_docs", "SELECT count(*) FROM documents"), ("q_units_docs", "SELECT count(*) FROM documents"),
     ("q_safe_names_pages", "SELECT count(*) FROM pages"), ("q_natural_sort_pages", "SELECT count(*) FROM pages"), ("q_ext_filter_pages", "SELECT count(*) FROM pages"),
-    ("q_hex_color_pages", "SELECT count(*) FROM pages"), ("q_first_backend_turns", "SELECT count(DISTINCT conv_id) FROM conversations"),
+    ("q_hex_color_pages", "SELECT count(*) FROM pages"), ("q_batch_status_all", "SELECT 3 * count(*) FROM events"), ("q_poll_merge_all", "SELECT count(*) FROM events"), ("q_first_backend_turns", "SELECT count(DISTINCT conv_id) FROM conversations"),
 ])
 def test_covers_its_whole_table(spark, duck, name, rows_of):
     assert catalog.QUERIES[name](spark, DATA).count() == duck.execute(rows_of).fetchone()[0]
+
+
+def test_all_tasks_are_asked_for(spark, duck):
+    ids = sorted(x for x, in duck.execute("SELECT event_id FROM events").fetchall())
+    got = catalog.QUERIES["q_batch_status_all"](spark, DATA).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, 3 * len(ids) + 1))
+    assert [r.id for r in got] == [*ids, *(i + 100000000000 for i in ids), *ids]
+    assert [r.error for r in got] == [None] * len(ids) + ["task not found"] * len(ids) + [None] * len(ids)
