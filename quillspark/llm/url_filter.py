@@ -6,14 +6,22 @@ tells listed keys from all other keys of the corpus exactly: level 1 encodes
 the listed keys, level 2 the corpus's other keys that level 1 lets through,
 level 3 the listed keys that level 2 lets through, and so on until nobody
 passes. What is judged must be the table that the cascade was built over (its
-key universe), as the operator does. Only the first level's size depends on the number of
-rules; the later ones shrink. Everything runs as DataFrame expressions; the
-filters are literals, so judging a page needs no join and no shuffle.
+key universe), as the operator does.
+
+Level 1's size follows from the number of listed keys and of the universe's
+distinct keys (estimated in one scan), so that about as many other keys pass
+as are listed; if more than ``ROOM`` times as many do, it is rebuilt with four
+times the bits. So level 2 and all later ones are bounded by the number of
+rules, not by the corpus. One more scan finds what passes the first levels of
+all verdicts. Everything runs as DataFrame expressions; the filters are
+literals, so judging a page needs no join and no shuffle.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and no rule. Extra columns are dropped from the result, so names can't clash.
 Repeated rows are judged each for itself. Equal rules given twice: the first
-counts. An empty table gives an empty result.
+counts. Very long urls are judged whole; they have as many keys as their host
+has labels, times the different lengths of the rules' paths. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HASHES = 3
+#: Bits that a key sets in a level; keys that may pass level 1, per listed key.
+HASHES, ROOM = 3, 16
 
 
 @dataclass(frozen=True)
@@ -44,8 +53,8 @@ class Rule:
 RULES = (
     Rule("com", "/en/", "block"),
     Rule("example.com", "/en/7", "allow"),
-    Rule("net", "/de/", "block"),
-    Rule("example.net", "/de/8", "allow"),
+    Rule("net", "/de/", "allow"),
+    Rule("example.net", "/de/8", "block"),
     Rule("org", "/es/", "block"),
 )
 
@@ -105,6 +114,13 @@ def level_of(keys: DataFrame, salt: int, bits_per_key: float) -> Level:
     return Level(tuple(words), size, salt)
 
 
+def first_bits(n_listed: int, n_universe: int) -> float:
+    """Bits a key of level 1, so that about ``n_listed`` other keys pass: a
+    key passes where all of its positions are set, HASHES * n / size each."""
+    share = min(0.125, n_listed / max(n_listed, n_universe))
+    return HASHES / share ** (1 / HASHES)
+
+
 def member(levels: list[Level], key: Column) -> Column:
     """Whether the cascade holds the key: exact on the corpus's keys.
 
@@ -116,29 +132,44 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def cascade(universe: DataFrame, listed: list[str], salt: int = 0, bits_per_key: float = 12.0) -> list[Level]:
-    """Levels that tell ``listed`` from every other key of ``universe`` (a
-    column ``key``, repeated as it may be).
+def cascades(universe: DataFrame, listed: dict[str, list[str]]) -> dict[str, list[Level]]:
+    """For each name, the levels that tell its listed keys from every other
+    key of ``universe`` (a column ``key``, repeated as it may be).
 
-    The universe is scanned once, through level 1; what passes (the listed
-    keys and a share of the others that the bits a key bound) is
-    deduplicated with a map-side combine, and all later levels use only that.
+    The universe is scanned twice, whatever the number of names: for its size,
+    and through all first levels. What passes is deduplicated with a map-side
+    combine; the later levels use only that.
     """
-    spark = universe.sparkSession
+    listed = {name: sorted(set(keys)) for name, keys in listed.items() if keys}
     if not listed:
-        return []
-    mine = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-    first = level_of(mine, salt, bits_per_key)
-    marked = universe.where(first.has(F.col("key"))).select("key", F.lit(0).alias("own")).union(mine.select("key", F.lit(1).alias("own")))
-    known = written(marked.groupBy("key").agg(F.max("own").alias("own")), "url-keys")
-    levels, sides = [first], {0: known.where("own = 0").select("key"), 1: known.where("own = 1").select("key")}
-    side = 0
+        return {}
+    spark = universe.sparkSession
+    size = universe.agg(F.approx_count_distinct("key")).first()[0]
+    mine = {name: spark.createDataFrame([(k,) for k in keys], "key string") for name, keys in listed.items()}
+    bits = {name: first_bits(len(keys), size) for name, keys in listed.items()}
+    out: dict[str, list[Level]] = {}
+    while len(out) < len(listed):
+        first = {name: level_of(mine[name], 100 * i, bits[name]) for i, name in enumerate(listed) if name not in out}
+        passes = F.array(*(F.when(level.has(F.col("key")), F.lit(name)) for name, level in first.items()))
+        passed = universe.select("key", F.array_compact(passes).alias("names")).where(F.size("names") > 0)
+        passed = written(passed.groupBy("key").agg(F.any_value("names").alias("names")), "url-keys")
+        for name, level in first.items():
+            others = passed.where(F.array_contains("names", name)).join(F.broadcast(mine[name]), "key", "left_anti").select("key")  # the rules: a parameter
+            if others.count() > ROOM * len(listed[name]):
+                bits[name] *= 4
+            else:
+                out[name] = _levels(level, mine[name], others)
+    return out
+
+
+def _levels(first: Level, listed: DataFrame, others: DataFrame) -> list[Level]:
+    levels, sides, side = [first], [others, listed], 0
     while True:
         passed = sides[side].where(levels[-1].has(F.col("key")))
         if passed.isEmpty():
             return levels
         sides[side] = passed
-        levels.append(level_of(passed, salt + len(levels), 4.0))
+        levels.append(level_of(passed, first.salt + len(levels), 4.0))
         side = 1 - side
 
 
@@ -156,9 +187,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
     rules = tuple({listed_key(r): r for r in reversed(rules)}.values())
     base = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     found = F.explode(F.array_distinct(keys_of(F.col("host"), F.col("path"), rules)))
-    universe = base.select(found.alias("key"))
-    verdicts = sorted({r.verdict for r in rules})
-    built = {v: cascade(universe, [listed_key(r) for r in rules if r.verdict == v], salt=100 * i) for i, v in enumerate(verdicts)}
+    built = cascades(base.select(found.alias("key")), {v: [listed_key(r) for r in rules if r.verdict == v] for v in sorted({r.verdict for r in rules})})
     keys = F.array_distinct(keys_of(F.col("host"), F.col("path"), rules))
     ranked = [_hits(keys, levels, v) for v, levels in built.items()]
     if not ranked:
@@ -172,12 +201,14 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production rules over all pages."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-_RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+#: The contract's rules, stated apart from RULES.
 ORACLE = f"""
-WITH rules(rh, rp, rv) AS (VALUES {_RULE_ROWS}),
+WITH rules(rh, rp, rv) AS (VALUES
+  ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 p AS (
   SELECT page_id,
     CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN NULL ELSE substr(url, strpos(url, '://') + 3) END AS rest

@@ -290,20 +290,33 @@ def test_top_k(spark):
     assert cover_tree.top_k(table.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+#: The contract's rules, stated apart from the module's.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
 def test_url_filter(spark):
-    urls = ["http://A.example.com/en/71", "http://a.example.com/en/81?x", "https://com/en/", "http://xcom/en/", "ftp://b.net/de/8#f", "http://example.net/de/8", "nothing", None, "", "://org/es/", "http://a.org", "http://org/ES/", "http://é.org/es/ü"]
+    long = "http://" + "a." * 300 + "net/de/" + "x" * 50_000
+    urls = ["http://A.example.com/en/71", "http://a.example.com/en/81?x", "https://com/en/", "http://xcom/en/", "ftp://b.net/de/8#f", "http://example.net/de/8", "http://q.example.net/de/81", "http://example.net/de/7",
+            "nothing", None, "", "://org/es/", "http://a.org", "http://org/ES/", "http://é.org/es/ü", "http://x://com/en/", long, long, "http://com"]
     table = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(table).collect()}
     for i, u in enumerate(urls):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (lower(m[1]), m[2]) if m else ("", "")
-        fit = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        best = max(fit, key=lambda r: len(r.key), default=None)
-        assert got[i] == (host, path, best and best.key, best.verdict if best else "allow")
+        fit = [(h + p, v) for h, p, v in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (host, path, *max(fit, key=lambda r: len(r[0]), default=(None, "allow")))
+    assert url_filter.judge_urls(table.union(table)).count() == 2 * len(urls)
     assert url_filter.judge_urls(table.where("page_id < 0")).count() == 0
-    many = tuple(url_filter.Rule(f"h{i}.com", "/", "block") for i in range(300))
+    many = tuple(url_filter.Rule(f"h{i}.com", "/", "block") for i in range(300)) + (url_filter.Rule("h7.com", "/x", "allow"),)
     hosts = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/x")).alias("url"))
-    assert sorted(r.page_id for r in url_filter.judge_urls(hosts, many).where("verdict = 'block'").collect()) == list(range(300))
+    assert sorted(r.page_id for r in url_filter.judge_urls(hosts, many).where("verdict = 'block'").collect()) == [i for i in range(300) if i != 7]
+
+
+def test_later_levels_follow_the_rules_not_the_corpus(spark):
+    keys = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    levels = url_filter.cascades(keys, {"block": ["k5", "k9", "none"]})["block"]
+    assert sum(x.size for x in levels[1:]) <= 4 * url_filter.ROOM * 3 * len(levels) + 64 * len(levels)
+    assert sorted(r.key for r in keys.where(url_filter.member(levels, F.col("key"))).collect()) == ["k5", "k9"]
 
 
 def labelled(spark):
