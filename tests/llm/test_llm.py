@@ -273,21 +273,73 @@ def test_class_lm(docs, rows, none, monkeypatch):
     assert class_lm.score(none, held, none.where(~held)).count() == 0
 
 
-def test_top_k(spark):
-    r = np.random.default_rng(2)
-    v = r.normal(size=(600, 16)).astype("float32")
+def brute_top_k(rows, is_query, k=5):
+    """(query_id, rank, vec_id, score) by Python's integers."""
+    good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out, most = [], 2**63 - 1
+    for i in sorted({i for i, _ in good if is_query(i)}):
+        scores = []
+        for q in {tuple(v) for j, v in good if j == i}:
+            scores += [(-max(-most, min(most, sum(a * b for a, b in zip(q, v)))), j) for j, v in good if j != i and len(v) == len(q)]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def clustered(n, seed, width=8):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(12, width)) * 4
+    return (centres[r.integers(0, 12, n)] + r.normal(size=(n, width)) * 0.2).astype("float32")
+
+
+def test_top_k(spark, monkeypatch):
+    v = np.random.default_rng(2).normal(size=(600, 16)).astype("float32")
     v[100:140] = v[50]
-    rows = [(i, x.tolist(), "z") for i, x in enumerate(v)] + [(700, None, "z"), (701, [float("nan")] * 16, "z"), (702, [None] * 16, "z"), (750, [1.0, 2.0], "z"), (None, v[0].tolist(), "z")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string")
-    got = sorted(tuple(x) for x in cover_tree.top_k(table, F.col("vec_id") % 50 == 0).collect())
-    q = np.floor(256 * v.astype(float)).astype(int)
-    want = []
-    for i in range(0, 600, 50):
-        s = q @ q[i]
-        order = [j for j in np.lexsort((np.arange(600), -s)) if j != i][:5]
-        want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate(order)]
-    assert got == sorted(want)
-    assert cover_tree.top_k(table.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+    inf = float("inf")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(700, None), (701, [float("nan")] * 16), (702, [None] * 16), (703, [inf] * 16), (704, []), (750, [1.0, 2.0]), (None, v[0].tolist())]
+    of = lambda rows: spark.createDataFrame([(*x, "z", 1) for x in rows], "vec_id long, embedding array<float>, block string, cell int")
+    got = lambda table: sorted(tuple(x) for x in cover_tree.top_k(table, F.col("vec_id") % 50 == 0).collect())
+    assert got(of(rows)) == brute_top_k(rows, lambda i: i % 50 == 0)
+    assert got(of(rows).where("vec_id < 0")) == []
+    # many cells, blocks, groups and lanes
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 90)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(cover_tree, "LANE", 2)
+    rows = [(i, x.tolist()) for i, x in enumerate(clustered(1500, 5))] + [(i, [1.0, float(i % 3)]) for i in range(2000, 2300)]
+    assert got(of(rows)) == brute_top_k(rows, lambda i: i % 50 == 0)
+
+
+def test_top_k_of_repeated_rows_and_large_components(spark):
+    one = lambda *rows: (list(rows), sorted(tuple(x) for x in cover_tree.top_k(spark.createDataFrame(list(rows), "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()))
+    same = [1.0, 0.0]
+    for rows, got in (
+        one(*[(50, same)] * 7, (51, same), (52, [2.0**41, 0.0]), (53, [0.5, 0.0])),
+        one(*((i, same) for i in (1, 2, 3, 4, 50, 50, 60, 61))),
+        one((50, [1e30, -3.0]), (1, [1e30, 5.5]), (2, [-1e30, 5.5]), (3, [0.0, 7.0]), (4, [2.0**50, 2.0**50]), (5, [2.0**52, 1.0])),
+        one((100, [2.0**45, 1.0]), (1, [2.0**-8, 3.0]), (2, [2.0**-8, 4.0]), (150, [0.0, 0.0])),
+    ):
+        assert got == brute_top_k(list(dict.fromkeys((i, tuple(v)) for i, v in rows if i % 50 == 0)) + [r for r in rows if r[0] % 50], lambda i: i % 50 == 0)
+
+
+def test_cover_tree_is_one():
+    """Nesting, covering, separation, and that near clusters prune far ones."""
+    x = np.unique(np.floor(256 * clustered(3000, 9).astype(float)), axis=0)
+    root = cover_tree.tree(x)
+    nodes, todo = 0, [root]
+    while todo:
+        at = todo.pop()
+        nodes += 1
+        assert np.sqrt(((x[at.rows] - at.centre) ** 2).sum(1)).max() <= at.radius * (1 + 1e-9) + 1e-6
+        if at.children:
+            centres = np.array([c.centre for c in at.children])
+            assert (centres == at.centre).all(1).any()
+            assert sorted(np.concatenate([c.rows for c in at.children]).tolist()) == sorted(at.rows.tolist())
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2)) + np.eye(len(centres)) * 1e18
+            assert apart.min() > max(c.radius for c in at.children) * (1 - 1e-9)
+        todo.extend(at.children)
+    block = cover_tree.Block(x, np.arange(len(x)), 5)
+    q = x[::50]
+    best = cover_tree.dual_search(q, np.arange(0, len(x), 50), block, 5)
+    assert nodes > 30 and best.compared < 0.5 * len(q) * len(x)
 
 
 #: The contract's rules, stated apart from the module's.
