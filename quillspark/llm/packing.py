@@ -1,13 +1,17 @@
 """Operator 9: best-fit packing by the linear grouping scheme.
 
 Only lengths matter for the plan, and there are ``capacity`` of them at most,
-so the plan is made from a histogram: large lengths are dealt into groups of
-equal cardinality and rounded up to their group's largest; configurations
-(multisets of the few rounded sizes that fit a sequence) are chosen by
-an exact subset-sum over the sizes left, always holding the largest one; the
-groups' actual lengths are then put in place of the rounded ones, largest
-first; small lengths go best-fit into the space that is left. The plan is a
-list of runs (so many sequences, each with these lengths), bounded by the
+so the plan is made from a histogram. Lengths of the whole capacity are
+sequences of their own. The other large lengths are dealt into ``GROUPS`` groups
+of equal cardinality and rounded up to their group's largest. Configurations
+(multisets of the few rounded sizes that fit a sequence) are optimised by
+column generation: a linear programme over configurations, whose next column
+is the best one by a knapsack over the dual prices. Each configuration is used
+a whole number of times. Actual lengths are then put in place of the rounded
+ones, the last slot taking the largest that fits, so that what rounding up lost
+is regained; what the programme's rounding down leaves is filled up by exact
+subset sums. Small lengths go best-fit into the space that is left. The plan is
+a list of runs (so many sequences, each with these lengths), bounded by the
 number of lengths and configurations, never by the number of documents.
 
 Each document then finds its place by its rank among those of its length.
@@ -16,8 +20,11 @@ all documents share is numbered by many tasks.
 
 Defined cases: a null text counts as empty; an empty document is one token
 (the closing id 0). A document over the capacity is cut into full pieces; the
-last may be shorter. Repeated rows are packed each. A null doc_id is kept.
-Extra columns are dropped. An empty table gives an empty result.
+last may be shorter, so very long texts are many pieces. Repeated rows are
+packed each. Equal lengths are ranked by salt, doc_id, piece and checksum; which
+of two equal rows comes first makes no difference. A null doc_id is kept.
+Extra columns are dropped, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,8 +43,9 @@ from .bpe import TOKENIZER, encoder
 from .common import raw, slices, written
 
 CAPACITY = 2048
-#: Lengths up to this share of the capacity are small; groups of large ones.
-SMALL_SHARE, GROUPS = 8, 2048
+#: Lengths up to 1 / SMALL_SHARE of the capacity are small; groups of large
+#: ones; columns that the optimisation may try.
+SMALL_SHARE, GROUPS, COLUMNS = 8, 32, 5_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,51 +120,157 @@ def fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> lis
     return sorted(used.items())
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, small_share: int = SMALL_SHARE, groups: int = GROUPS) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (number of sequences, lengths in each) that hold all lengths."""
-    runs: list[tuple[int, tuple[int, ...]]] = []
-    small = {n: c for n, c in counts.items() if n <= capacity // small_share}
-    large = {n: c for n, c in counts.items() if n > capacity // small_share}
-    members = grouped(large, groups)
-    merged: dict[int, list[tuple[int, int]]] = {}
-    for g in members:  # groups that round up to the same size are one
-        merged.setdefault(g[0][0], []).extend(g)
-    sizes = sorted(merged, reverse=True)
-    left = [sum(c for _, c in merged[s]) for s in sizes]
-    queues = [list(merged[s]) for s in sizes]
-    first = 0
+def best_column(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of the highest price that fits: copies of each size."""
+    best, taken = np.zeros(capacity + 1), []
+    for size, price in zip(sizes, prices.tolist()):
+        copies = np.zeros(capacity + 1, np.int32)
+        if price > 1e-12:
+            now = best.copy()
+            for k in range(1, capacity // size + 1):
+                other = best[: capacity + 1 - k * size] + k * price
+                better = other > now[k * size :] + 1e-12
+                now[k * size :][better] = other[better]
+                copies[k * size :][better] = k
+            best = now
+        taken.append(copies)
+    at, out = capacity, np.zeros(len(sizes))
+    for j in reversed(range(len(sizes))):
+        out[j] = taken[j][at]
+        at -= int(out[j]) * sizes[j]
+    return float(best[capacity]), out
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, most: int = COLUMNS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(times, configuration) from the linear programme that covers the demand
+    of each size with the fewest sequences, times rounded down. A configuration
+    is (index of size, copies). ``most`` bounds the columns tried; any stage of
+    the programme is a valid plan."""
+    if not sizes:
+        return []
+    columns = np.diag([float(capacity // s) for s in sizes])
+    inverse, need = np.linalg.inv(columns), np.array(demand, float)
+    times = inverse @ need
+    for step in range(most):
+        price, column = best_column(sizes, inverse.sum(0), capacity)
+        if price <= 1 + 1e-7:
+            break
+        change = inverse @ column
+        ratio = np.where(change > 1e-9, times / np.where(change > 1e-9, change, 1.0), np.inf)
+        out = int(ratio.argmin())
+        columns[:, out] = column
+        if step % 32 == 31:  # keep rounding errors small
+            inverse = np.linalg.inv(columns)
+        else:
+            row = inverse[out] / change[out]
+            inverse = inverse - np.outer(change, row)
+            inverse[out] = row
+        times = np.maximum(inverse @ need, 0.0)
+    found, left = [], list(demand)
+    for k, column in zip(np.floor(times + 1e-7).astype(np.int64).tolist(), columns.T):
+        config = [(j, int(n)) for j, n in enumerate(column.tolist()) if n > 0]
+        k = min([k, *(left[j] // n for j, n in config)])
+        if k > 0:
+            found.append((k, config))
+            for j, n in config:
+                left[j] -= k * n
+    return found
+
+
+class Lengths:
+    """Lengths that are left, with their numbers."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left = {n: c for n, c in counts.items() if c}
+        self.mask = sum(1 << n for n in self.left)
+
+    def largest(self, space: int, held: list[int]) -> int:
+        """The largest length up to ``space`` of which there is more than
+        ``held`` has; 0 if there is none."""
+        mask = self.mask & ((1 << (max(space, 0) + 1)) - 1)
+        while mask:
+            n = mask.bit_length() - 1
+            if self.left[n] > held.count(n):
+                return n
+            mask ^= 1 << n
+        return 0
+
+    def take(self, lengths: list[int], most: int) -> int:
+        """Take ``lengths`` as often as there are enough of each."""
+        each = {n: lengths.count(n) for n in lengths}
+        times = min([most, *(self.left[n] // c for n, c in each.items())])
+        for n, c in each.items():
+            self.left[n] -= c * times
+            if not self.left[n]:
+                del self.left[n]
+                self.mask ^= 1 << n
+        return times
+
+
+def substituted(times: int, slots: list[int], lengths: Lengths, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs of ``times`` sequences at most with actual lengths in place of the
+    rounded sizes ``slots`` (largest first): each slot takes the largest length
+    left that its size covers, the last one the largest that fits, and more
+    follow while one fits. Then the last two become the pair that fills the
+    sequence best, the first of them no smaller than it was."""
+    runs = []
+    while times and lengths.left:
+        held, space, at = [], capacity, 0
+        while True:
+            size = slots[at] if at < len(slots) - 1 else space
+            n = lengths.largest(min(size, space), held)
+            at += 1
+            if n:
+                held.append(n)
+                space -= n
+            elif at >= len(slots):
+                break
+        if not held:
+            break
+        if len(held) > 1 and space:
+            x, y = held[-2:]
+            rest, room = held[:-2], space + x + y
+            for first in sorted(n for n in lengths.left if x <= n < room and lengths.left[n] > rest.count(n)):
+                second = lengths.largest(room - first, [*rest, first])
+                if second and first + second > x + y:
+                    x, y = first, second
+                    if x + y == room:
+                        break
+            held = [*rest, x, y]
+        run = lengths.take(held, times)
+        runs.append((run, tuple(held)))
+        times -= run
+    return runs
+
+
+def filled(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs of actual lengths, each sequence filled up by an exact subset sum."""
+    sizes = sorted(counts, reverse=True)
+    left, first, runs = [counts[s] for s in sizes], 0, []
     while first < len(sizes):
         if not left[first]:
             first += 1
             continue
         config = fullest(sizes, left, first, capacity)
         times = min(left[j] // k for j, k in config)
-        slots = [j for j, k in config for _ in range(k)]
         for j, k in config:
             left[j] -= k * times
-        # substitute actual lengths: each slot takes the next ones of its group
-        taken = []
-        for j in slots:
-            need, got = times, []
-            while need:
-                length, c = queues[j][0]
-                t = min(need, c)
-                got.append((length, t))
-                need -= t
-                queues[j][0] = (length, c - t)
-                if c == t:
-                    queues[j].pop(0)
-            taken.append(got)
-        where = [0] * len(slots)
-        while times:
-            step = min(got[w][1] for got, w in zip(taken, where))
-            runs.append((step, tuple(got[w][0] for got, w in zip(taken, where))))
-            times -= step
-            for i, got in enumerate(taken):
-                length, c = got[where[i]]
-                got[where[i]] = (length, c - step)
-                if c == step:
-                    where[i] += 1
+        runs.append((times, tuple(sizes[j] for j, k in config for _ in range(k))))
+    return runs
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, small_share: int = SMALL_SHARE, groups: int = GROUPS) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs (number of sequences, lengths in each) that hold all lengths."""
+    small = {n: c for n, c in counts.items() if n <= capacity // small_share}
+    large = {n: c for n, c in counts.items() if capacity // small_share < n < capacity}
+    runs: list[tuple[int, tuple[int, ...]]] = [(counts[capacity], (capacity,))] if counts.get(capacity) else []
+    merged: dict[int, int] = defaultdict(int)
+    for g in grouped(large, groups):  # groups that round up to the same size are one
+        merged[g[0][0]] += sum(c for _, c in g)
+    sizes, lengths = sorted(merged, reverse=True), Lengths(large)
+    for times, config in configurations(sizes, [merged[s] for s in sizes], capacity):
+        runs.extend(substituted(times, [sizes[j] for j, k in config for _ in range(k)], lengths, capacity))
+    runs.extend(filled(lengths.left, capacity))
     return best_fit(runs, small, capacity)
 
 
@@ -234,4 +348,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

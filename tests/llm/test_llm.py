@@ -243,17 +243,40 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
-def test_plan_holds_everything():
+@pytest.mark.parametrize("low,high,n,share", [(1, 2048, 20_000, 1.01), (300, 2047, 50_000, 1.03), (1, 200, 5_000, 1.001), (2048, 2048, 7, 1.0), (1500, 1500, 9, 2.0), (900, 1024, 3_000, 1.08), (5, 5, 1, 1.0)])
+def test_plan_holds_everything(low, high, n, share):
     r = random.Random(5)
-    counts = dict(Counter(r.randint(1, 2048) for _ in range(20000)))
+    counts = dict(Counter(r.randint(low, high) for _ in range(n)))
     runs = packing.plan(counts)
     held = Counter()
     for times, lengths in runs:
-        assert sum(lengths) <= 2048
-        for n in lengths:
-            held[n] += times
+        assert sum(lengths) <= 2048 and times > 0
+        for x in lengths:
+            held[x] += times
     assert dict(held) == counts
-    assert sum(t for t, _ in runs) <= 1.01 * -(-sum(k * v for k, v in counts.items()) // 2048)
+    assert sum(t for t, _ in runs) <= share * -(-sum(k * v for k, v in counts.items()) // 2048)
+    assert packing.plan({}) == []
+
+
+def test_groups_are_even_and_configurations_cover():
+    r = random.Random(9)
+    counts = dict(Counter(min(2047, int(r.expovariate(1 / 600)) + 257) for _ in range(30_000)))
+    groups = packing.grouped(counts, 32)
+    share = -(-30_000 // 32)
+    assert len(groups) <= 32 and all(sum(c for _, c in g) == share for g in groups[:-1])
+    assert [n for g in groups for n, _ in g] == sorted((n for g in groups for n, _ in g), reverse=True)
+    sizes, demand = [9, 7, 4, 3], [40, 31, 50, 77]
+    found = packing.configurations(sizes, demand, 20)
+    used = Counter()
+    for times, config in found:
+        assert sum(sizes[j] * k for j, k in config) <= 20
+        used.update({j: times * k for j, k in config})
+    assert all(used[j] <= d for j, d in enumerate(demand))
+    # one sequence a size at most is left to round off
+    assert sum(t for t, _ in found) >= sum(s * d for s, d in zip(sizes, demand)) / 20 - len(sizes)
+    price, column = packing.best_column(sizes, np.array([0.5, 0.36, 0.21, 0.14]), 20)
+    brute = max((a * 0.5 + b * 0.36 + c * 0.21 + d * 0.14, a, b, c, d) for a in range(3) for b in range(3) for c in range(6) for d in range(7) if 9 * a + 7 * b + 4 * c + 3 * d <= 20)
+    assert abs(price - brute[0]) < 1e-9 and sum(c * s for c, s in zip(column, sizes)) <= 20
 
 
 def test_class_lm(docs, rows, none, monkeypatch):
