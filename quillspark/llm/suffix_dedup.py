@@ -23,7 +23,8 @@ those that can repeat are sorted:
 doc_id is an integer. Defined cases: a null text is empty; texts under the
 length have no window; a null doc_id counts as larger than all others, so it
 loses what they have too but keeps what other null ids have; rows with the same
-doc_id don't remove from one another. Repeated rows all stay. Columns with
+doc_id don't remove from one another. Repeated rows all stay. A very long text is
+a slice of its own, whole. An empty table gives an empty result. Columns with
 clashing names don't matter: ``remove_repeats`` keeps the input's columns,
 ``repeat_spans`` drops all but doc_id.
 """
@@ -308,9 +309,12 @@ def _met(docs: DataFrame, key: str, text: str, length: int, make, schema) -> Dat
     turns a slice of them into output rows."""
     spark = docs.sparkSession
     n = buckets_for(docs)
-    docs = docs.withColumn("home", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    home = "home"
+    while home in docs.columns:
+        home += "_"
+    bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     shared = spark.sparkContext.broadcast(_marks(docs, key, text, length, n))
-    answers = _answers(docs, key, text, length, n, shared)
+    answers = _answers(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), bucket.alias("home")), "doc_id", "text", length, n, shared)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[bytes, np.ndarray] = {}
@@ -326,7 +330,7 @@ def _met(docs: DataFrame, key: str, text: str, length: int, make, schema) -> Dat
         # answers go to the buckets of documents that asked, so left has rows
         return pa.Table.from_batches(out or [make(pa.RecordBatch.from_pylist([], schema=left.schema), np.zeros(0, bool), np.zeros(0, np.int64), [])])
 
-    return docs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(meet, schema)
+    return docs.withColumn(home, bucket).groupBy(home).cogroup(answers.groupBy("home")).applyInArrow(meet, schema)
 
 
 def repeat_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -347,6 +351,19 @@ def repeat_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     return _met(docs.select(key, text), key, text, length, make, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def without(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the bytes ``gone``; a character of which a byte goes,
+    goes whole, so what is left of two can't meet and make a third."""
+    if not gone.any():
+        return text
+    data = np.frombuffer(text, np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts) or starts[0] != 0:  # no UTF-8: bytes as they are
+        return data[~gone].tobytes()
+    whole = np.logical_or.reduceat(gone, starts)
+    return data[~np.repeat(whole, np.diff(np.append(starts, len(data))))].tobytes()
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``. A character of
     which a byte goes, goes whole."""
@@ -355,12 +372,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def make(b, lost, first, texts):
         out = []
         for x, a, null in zip(texts, first.tolist(), b.column(text).is_null().to_pylist()):
-            gone = lost[a : a + len(x)]
-            out.append(None if null else np.frombuffer(x, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else x.decode())
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in names], names)
+            out.append(None if null else without(x, lost[a : a + len(x)]))
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string()) if c == text else b.column(c) for c in names], names)
 
     return _met(docs, key, text, length, make, docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50-byte repeats take from each document."""
     return repeat_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -164,7 +164,31 @@ def test_suffix_dedup(docs, rows, none):
     got = suffix_dedup.repeat_spans(docs).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
     assert suffix_dedup.repeat_spans(none).count() == 0
-    assert suffix_dedup.remove_repeats(docs.drop("home")).columns == docs.drop("home").columns
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.schema == docs.schema and out.where("home = 'h' and bucket = 'b' and keys = 'k'").count() == len(rows)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_cut_characters_go_whole(spark):
+    passage = "abcdefghij" * 6
+    texts = [(1, "丠" + passage + "P奀"), (2, "aaa你" + passage + "P好zzz"), (3, None), (4, ""), (5, "é" * 80), (6, "x" + "é" * 80 + "è")]
+    docs = spark.createDataFrame([(i, t, "h", i) for i, t in texts], "doc_id long, text string, home string, n_chars long")
+    got = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs).collect()}
+    want, first = {}, {}
+    for i, t in texts:
+        x = (t or "").encode()
+        gone = np.zeros(len(x), bool)
+        for s in range(len(x) - 49):
+            if first.setdefault(x[s : s + 50], i) < i:
+                gone[s : s + 50] = True
+        kept, at = "", 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += c * (not gone[at : at + n].any())
+            at += n
+        want[i] = None if t is None else kept
+    assert got == want and got[2] == "aaazzz"
+    assert suffix_dedup.without(b"\x80ab", np.array([False, True, False])) == b"\x80b"
 
 
 def test_quality_rules(docs, rows, none):
