@@ -6,10 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -320,6 +322,84 @@ def test_class_lm(docs, rows, none, monkeypatch):
     assert class_lm.score(none, held, none.where(~held)).count() == 0
 
 
+def test_exchange_ends_where_no_move_helps():
+    r = np.random.default_rng(3)
+    n = r.poisson(r.random((30, 30)) * 6 * (r.random((30, 30)) < 0.4))
+    f = lambda x: float((x * np.log(np.maximum(x, 1.0))).sum())
+
+    def likelihood(cls):
+        one = np.zeros((30, 5))
+        one[np.arange(30), cls] = 1
+        cc = one.T @ n @ one
+        return f(cc) - f(cc.sum(0)) - f(cc.sum(1))
+
+    cls = class_lm.exchange(n, 5, 100)
+    best = likelihood(cls)
+    assert cls[0] == 0 and (cls[1:] > 0).all()
+    for i in range(1, 30):
+        for k in range(1, 5):
+            other = cls.copy()
+            other[i] = k
+            assert likelihood(other) <= best + 1e-6
+    start = np.concatenate([[0], 1 + np.arange(29) % 4])
+    assert best > likelihood(start)
+
+
+def test_class_lm_is_the_plain_model(spark):
+    """Every probability, and the moves of the words outside the top, by Python."""
+    r = random.Random(12)
+    words = [f"{r.choice('abcdefgh')}{i:x}{r.choice(['', ',', '.'])}" for i in range(2600)]
+    texts = [(i, " ".join(words[int(2600 * r.random() ** 2)] for _ in range(r.randint(0, 160)))) for i in range(400)] + [(400, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 3
+    lines = {i: [*lower(t).encode().split(), b"\n"] for i, t in texts}
+    train = [w for i, w in lines.items() if i % 7 != 3]
+    own = docs.where(~held).select("text")
+    counts = class_lm.written(class_lm.word_counts(own, "text", 5), "words")
+    count = Counter(chain.from_iterable(train))
+    total = sum(count.values())
+    model, distinct = class_lm.learn(own, "text", counts, total, 5)
+    assert distinct == len(count) > class_lm.TOP + 500
+    cls_of = lambda w: int(model.known.value_of(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64), np.array([class_lm.shape_of(w)]))[0])
+    cls = {w: cls_of(w) for w in {*chain.from_iterable(lines.values())}}
+    assert cls[b"\n"] == 0 and all(c > 0 for w, c in cls.items() if w != b"\n")
+    c = class_lm.CLASSES
+    cc, tokens, kinds = np.zeros((c, c)), np.zeros(c), np.zeros(c)
+    for line in train:
+        for x, y in zip([b"\n", *line], line):
+            cc[cls[x], cls[y]] += 1
+    for w, k in count.items():
+        tokens[cls[w]] += k
+        kinds[cls[w]] += 1
+    into = (cc.sum(0) + 0.5) / (cc.sum() + 0.5 * c)
+    step = (cc + class_lm.BACK_OFF * into) / (cc.sum(1, keepdims=True) + class_lm.BACK_OFF)
+    assert np.allclose(step.sum(1), 1)
+    want = {i: sum(math.log10(step[cls[x], cls[y]] * (count[y] + 0.5) / (tokens[cls[y]] + 0.5 * (kinds[cls[y]] + 1))) for x, y in zip([b"\n", *line], line)) for i, line in lines.items()}
+    got = {row.doc_id: row.score for row in class_lm.score(docs, held, docs.where(~held)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
+    # moves
+    hashed = lambda ws: np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64)
+    top = [w for w, _ in count.most_common(200) if w != b"\n"]
+    classes, shapes = np.array([0, *(1 + i % (c - 1) for i in range(len(top)))]), 1 + np.arange(class_lm.SHAPES) % (c - 1)
+    so_far = class_lm.Known(hashed([b"\n", *top]), classes, shapes)
+    value = {w: int(so_far.value_of(hashed([w]), np.array([class_lm.shape_of(w)]))[0]) for w in count}
+    gains = class_lm.move_gains(np.random.default_rng(1).integers(0, 50, (c, c)).astype(float))
+    send = spark.sparkContext.broadcast
+    h, k = class_lm.own_classes(own, "text", send(so_far), send(class_lm.Known(hashed(count), np.zeros(len(count), np.int8), shapes)), send(gains), 5)
+    moved = dict(zip(h.tolist(), k.tolist()))
+    rest = [w for w in count if w not in {b"\n", *top}]
+    near = {w: np.zeros(2 * c) for w in rest}
+    for line in train:
+        for x, y, z in zip([b"\n", *line], line, line[1:]):
+            if y in near:
+                near[y][value[x]] += 1
+                near[y][c + value[z]] += 1
+    assert moved.keys() == set(hashed(rest).tolist())
+    for w in rest:
+        gain = near[w] @ gains
+        assert gain[moved[int(hashed([w])[0])]] >= gain.max() - 1e-9
+
+
 def brute_top_k(rows, is_query, k=5):
     """(query_id, rank, vec_id, score) by Python's integers."""
     good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
