@@ -13,8 +13,10 @@ Normalising and splitting into pre-tokens follow the tokenizer's file;
 ASCII words take a short way with the same result.
 
 Defined cases: a null text counts as empty (no ids, empty decoding). The
-special tokens' strings in a text become their ids, as in the library. Extra
-columns are dropped. Repeated rows are encoded each for itself.
+special tokens' strings in a text become their ids, as in the library. A very
+long text is a slice of its own, whole. Extra columns are dropped, whatever their
+names. Repeated rows are encoded each for itself; a null doc_id is kept. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -406,4 +408,5 @@ def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id",
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again, as digests."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

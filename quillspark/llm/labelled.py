@@ -15,8 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Calla
     ``rows`` with the least hash of their id.
 
     Ids and labels are broadcast, ``rows`` pairs at most. A document with
-    several labels takes the largest; null ids and labels are left out; a
-    document row that is repeated counts once.
+    several labels takes the largest; null ids and labels are left out; of
+    document rows that share an id the one with the least text counts.
     """
     ids = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
@@ -28,4 +28,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Calla
         .limit(rows)
     )
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return written(own.join(F.broadcast(ids), "id").dropDuplicates(["id"]).select("text", "y"), "sample")
+    return written(own.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "sample")

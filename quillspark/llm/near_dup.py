@@ -28,8 +28,11 @@ Defined cases: a document without words or text has an empty set and no
 link; one with fewer words than a shingle has its whole word sequence as its
 only shingle. A null doc_id has no link: its component is null and it
 is kept. Rows that share a doc_id are judged each by its own text, and
-exact repeats of a row are all kept (they carry the same id). Extra columns
-are dropped by ``near_duplicates`` and kept by ``keep_first``.
+exact repeats of a row are all kept (they carry the same id). A very long text is
+a slice of its own, whole. Members of equal weight in a bucket rank by hash; which
+of them is the hub doesn't change the components. Extra columns, whatever their
+names, are dropped by ``near_duplicates`` and kept by ``keep_first``. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -363,5 +366,6 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each document by three-word shingles, similarity 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")

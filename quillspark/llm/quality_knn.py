@@ -10,8 +10,10 @@ nearest vote with their similarity.
 
 Defined cases: a null or empty text has the zero vector, for which the score
 is the sample's share of good texts; so it is without labels (0.5 if none).
-A null doc_id isn't held out. Repeated rows are scored each; extra columns
-are dropped.
+A very long text is scored whole. A null doc_id isn't held out. Repeated rows
+are scored each; for learning, rows that share an id count once. Of labelled
+vectors that are equally near as the last neighbour, any may vote. Extra columns
+are dropped, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +48,16 @@ def pair_counts(text: bytes) -> np.ndarray:
     return np.bincount(b[:-1].astype(np.int32) << 8 | b[1:], minlength=65536) if len(b) > 1 else np.zeros(65536, np.int64)
 
 
+def term_counts(text: bytes, term_of: np.ndarray, n: int, step: int = 1 << 20) -> np.ndarray:
+    """How often each of n terms occurs; ``term_of`` has each byte pair's term,
+    n for those that are none. A long text is read in steps."""
+    b, out = np.frombuffer(text, np.uint8), np.zeros(n + 1, np.int64)
+    for a in range(0, len(b) - 1, step):
+        part = b[a : a + step + 1]
+        out += np.bincount(term_of[part[:-1].astype(np.uint16) << 8 | part[1:]], minlength=n + 1)
+    return out[:n]
+
+
 def ratios(text: bytes) -> np.ndarray:
     b = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n = max(len(text), 1)
@@ -79,9 +91,11 @@ class Space:
 
     def terms(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.pairs) + RATIOS), np.float32)
+        term_of = np.full(65536, len(self.pairs), np.int16)
+        term_of[self.pairs] = np.arange(len(self.pairs))
         for i, t in enumerate(texts):
             if t:
-                out[i, : len(self.pairs)] = np.sqrt(pair_counts(t)[self.pairs] / len(t)) * self.idf
+                out[i, : len(self.pairs)] = np.sqrt(term_counts(t, term_of, len(self.pairs)) / len(t)) * self.idf
                 out[i, len(self.pairs) :] = RATIO_WEIGHT * ratios(t)
         return out
 
@@ -132,7 +146,7 @@ def fit(sample: DataFrame) -> Space:
             x = empty.terms(raw(b.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in x], pa.binary()), b.column("y")], ["v", "y"])
 
-    rows = sample.mapInArrow(vectors, "v binary, y int").orderBy("v").toArrow()
+    rows = sample.mapInArrow(vectors, "v binary, y int").orderBy("v", "y").toArrow()
     x = np.frombuffer(b"".join(rows["v"].to_pylist()), "<f4").reshape(-1, width).astype(np.float64)
     y = np.asarray(rows["y"], dtype=np.float64)
     mean = x.mean(0)
@@ -163,6 +177,7 @@ def train_rows(doc_id: Column) -> Column:
 
 
 def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by votes of the labelled training rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     space = fit(labelled_sample(docs, labels, "quality", train_rows, SAMPLE))

@@ -13,8 +13,11 @@ windows) come from the same pass. Words are compared by 64-bit hash within
 one text.
 
 Defined cases: a null or empty text has no words, so it fails the base rule.
-A null doc_id is kept as it is. Repeated rows are judged each for itself.
-Extra columns are dropped by ``repetition`` and kept by ``keep_good``.
+A very long text is a slice of its own, judged whole; its ranks take 4 bytes a
+word for each doubling of its longest repeat. A null doc_id is kept as it is.
+Repeated rows are judged each for itself. Extra columns, whatever their names,
+are dropped by ``repetition`` and kept by ``keep_good``. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def suffix_ranks(symbols: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.nda
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     place = np.arange(n)
     first = np.maximum.accumulate(np.where(new, place, 0))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)  # one a doubling is kept
     rank[live] = first
     levels, span = [(1, rank)], 1
     while True:
@@ -187,4 +190,5 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and verdicts of all documents."""
     return repetition(spark.read.parquet(f"{sf_dir}/documents.parquet"))

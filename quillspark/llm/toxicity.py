@@ -13,9 +13,11 @@ nothing. A text's matched weight, and that per length, go through a logistic
 curve fitted on the same sample.
 
 Defined cases: a null or empty text has no match and gets the score of that.
-A null doc_id isn't held out. Repeated rows are scored each. ``score_texts``
-drops extra columns; ``keep_clean`` keeps all of them. Without labels of
-both kinds there is no lexicon and the score is 0.
+A very long text is scored whole. A null doc_id isn't held out. Repeated rows
+are scored each; for learning, rows that share an id count once. Terms of equal
+weight rank by their text. ``score_texts`` drops extra columns, whatever their
+names; ``keep_clean`` keeps all of them. Without labels of both kinds there is
+no lexicon and the score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import crc_of, slices
 from .labelled import labelled_sample
 
-#: Bounds: labelled rows, terms counted in clean rows, terms kept.
+#: Bounds of what is fitted: labelled rows, terms and phrases counted (those
+#: that most documents have), terms kept.
 SAMPLE, COUNTED, TERMS = 20_000, 20_000, 2_000
 #: A term needs so many toxic documents and so large a log of odds.
 SUPPORT, LEAST_WEIGHT = 6, 2.5
@@ -58,8 +61,8 @@ FOLD = (
 
 
 def fold(text: str) -> str:
-    """The folded text between blanks."""
-    return f" {text.lower().translate(FOLD)} "
+    """The folded text: its words, each between single blanks."""
+    return f" {' '.join(text.lower().translate(FOLD).split())} "
 
 
 def terms_of(folded: str) -> set[str]:
@@ -73,14 +76,11 @@ def terms_of(folded: str) -> set[str]:
 
 
 def phrases_at(folded: str, start: int) -> list[str]:
-    """The word after ``start`` with its left and its right neighbour, as far
-    as these stand within 60 characters."""
-    end = folded.find(" ", start + 1)
-    end = len(folded) if end < 0 else end
-    word = folded[start + 1 : end]
-    left = folded[max(0, start - 60) : start].split()[-1:]
-    right = folded[end : end + 60].split()[:1]
-    return [f" {x} {word} " for x in left] + [f" {word} {x} " for x in right]
+    """The word after ``start`` with its left and its right neighbour."""
+    end = folded.index(" ", start + 1)
+    left = folded.rfind(" ", 0, start)
+    right = folded.find(" ", end + 1)
+    return [folded[left : end + 1]] * (left >= 0) + [folded[start : right + 1]] * (right >= 0)
 
 
 def phrases_of(folded: str, automaton) -> set[str]:
@@ -115,7 +115,7 @@ class Lexicon:
     def matched(self, text: str, automaton) -> tuple[float, int]:
         """Summed weight of a text's terms, and its words."""
         folded = fold(text)
-        words = folded.count(" ")
+        words = folded.count(" ") - 1
         if automaton is None:
             return 0.0, words
         found = starts_of(folded, automaton)
@@ -225,14 +225,15 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFra
 
 
 def held_out(doc_id: Column) -> Column:
-    return crc_of(doc_id) % 5 == 0
+    return doc_id.isNotNull() & (crc_of(doc_id) % 5 == 0)
 
 
 def train_rows(doc_id: Column) -> Column:
-    return crc_of(doc_id) % 5 != 0
+    return ~held_out(doc_id)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by a lexicon of the labelled training rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = learn(labelled_sample(docs, labels, "toxic", train_rows, SAMPLE))

@@ -62,8 +62,8 @@ def shingle_sets(rows, width):
     return sets
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(docs, rows, none, width, percent):
+def brute_components(rows, width, percent):
+    """(set size, least doc_id of the group) of each row."""
     sets, parent = shingle_sets(rows, width), list(range(len(rows)))
 
     def root(i):
@@ -79,12 +79,18 @@ def test_near_duplicates(docs, rows, none, width, percent):
     for i, (a, _) in enumerate(rows):
         if a is not None:
             least[root(i)] = min(least.get(root(i), a), a)
-    want = sorted((str(a), len(sets[i]), None if a is None else least[root(i)]) for i, (a, _) in enumerate(rows))
+    return [(len(sets[i]), None if a is None else least[root(i)]) for i, (a, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, rows, none, width, percent):
+    want = sorted((str(a), *x) for (a, _), x in zip(rows, brute_components(rows, width, percent)))
     got = near_dup.near_duplicates(docs, width, percent).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == want
     assert all(r.kept == (r.component_id == r.doc_id) for r in got if r.doc_id is not None)
     assert near_dup.near_duplicates(none, width, percent).count() == 0
-    assert near_dup.keep_first(docs, width, percent).columns == docs.columns
+    out = near_dup.keep_first(docs, width, percent)
+    assert out.schema == docs.schema and out.where("home = 'h' and keys = 'k'").count() == sum(a is None or a == c for (a, _), (_, c) in zip(rows, brute_components(rows, width, percent)))
 
 
 def chained(n_groups, size, seed):
@@ -147,13 +153,14 @@ def test_a_link_between_two_that_were_no_hubs(spark):
     assert set(got) == {nodes[x] for x in ("x1", "x2", "y1", "y2")} and len(set(got.values())) == 1
 
 
-def test_suffix_dedup(docs, rows, none):
+def brute_removed(rows):
+    """Which bytes of each text go."""
     first, order = {}, sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     for i in order:
         x = (rows[i][1] or "").encode()
         for s in range(len(x) - 49):
             first.setdefault(x[s : s + 50], rows[i][0])
-    want = []
+    out = []
     for a, t in rows:
         x = (t or "").encode()
         gone = np.zeros(len(x), bool)
@@ -161,6 +168,24 @@ def test_suffix_dedup(docs, rows, none):
             f = first[x[s : s + 50]]
             if f is not None and (a is None or f < a):
                 gone[s : s + 50] = True
+        out.append(gone)
+    return out
+
+
+def brute_kept_text(text, gone):
+    """A character of which a byte goes, goes whole."""
+    kept, at = "", 0
+    for c in text:
+        n = len(c.encode())
+        kept += c * (not gone[at : at + n].any())
+        at += n
+    return kept
+
+
+def test_suffix_dedup(docs, rows, none):
+    want = []
+    for (a, t), gone in zip(rows, brute_removed(rows)):
+        x = (t or "").encode()
         spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(x) else 0
         want.append((str(a), len(x), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~gone])).hexdigest()))
     got = suffix_dedup.repeat_spans(docs).collect()
@@ -176,53 +201,50 @@ def test_cut_characters_go_whole(spark):
     texts = [(1, "丠" + passage + "P奀"), (2, "aaa你" + passage + "P好zzz"), (3, None), (4, ""), (5, "é" * 80), (6, "x" + "é" * 80 + "è")]
     docs = spark.createDataFrame([(i, t, "h", i) for i, t in texts], "doc_id long, text string, home string, n_chars long")
     got = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs).collect()}
-    want, first = {}, {}
-    for i, t in texts:
-        x = (t or "").encode()
-        gone = np.zeros(len(x), bool)
-        for s in range(len(x) - 49):
-            if first.setdefault(x[s : s + 50], i) < i:
-                gone[s : s + 50] = True
-        kept, at = "", 0
-        for c in t or "":
-            n = len(c.encode())
-            kept += c * (not gone[at : at + n].any())
-            at += n
-        want[i] = None if t is None else kept
+    want = {i: None if t is None else brute_kept_text(t, gone) for (i, t), gone in zip(texts, brute_removed(texts))}
     assert got == want and got[2] == "aaazzz"
     assert suffix_dedup.without(b"\x80ab", np.array([False, True, False])) == b"\x80b"
 
 
-def test_quality_rules(docs, rows, none):
-    def brute(w, least):
-        out = [0] * len(w)
-        at = {}
-        for i in range(len(w) - least + 1):
-            at.setdefault(tuple(w[i : i + least]), []).append(i)
-        for places in at.values():
-            for i in places:
-                for j in places:
-                    if i != j:
-                        k = least
-                        while max(i, j) + k < len(w) and w[i + k] == w[j + k]:
-                            k += 1
-                        out[i] = max(out[i], k)
-        return out
+def brute_repeats(w, least):
+    """For each word the longest repeat of ``least`` words or more that starts there."""
+    out = [0] * len(w)
+    at = {}
+    for i in range(len(w) - least + 1):
+        at.setdefault(tuple(w[i : i + least]), []).append(i)
+    for places in at.values():
+        for i in places:
+            for j in places:
+                if i != j:
+                    k = least
+                    while max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                        k += 1
+                    out[i] = max(out[i], k)
+    return out
+
+
+def brute_quality(text):
+    """(words, repeated words, covered words, longest repeat, base failed, kept)."""
+    w = WORD.findall(text or "")
+    long = brute_repeats(w, 5)
+    cover = {i + k for i, n in enumerate(long) if n for k in range(n)}
+    wide = {i + k for i, n in enumerate(long) if n >= 8 for k in range(n)}
+    failed = len(w) < 20 or 100 * len(wide) > 30 * len(w)
+    kept = not failed and 100 * len(cover) <= quality_rules.MAX_COVERED * len(w) and max(long, default=0) <= quality_rules.MAX_LONGEST
+    return len(w), len(wide), len(cover), max(long, default=0), failed, kept
 
+
+def test_quality_rules(docs, rows, none):
     got = {(str(r.doc_id), r.word_chars): r for r in quality_rules.repetition(docs).collect()}
     for a, t in rows:
         t = t or ""
-        w = WORD.findall(t)
-        r = got[str(a), sum(map(len, w))]
+        r = got[str(a), sum(map(len, WORD.findall(t)))]
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        long = brute(w, 5)
-        cover = {i + k for i, n in enumerate(long) if n for k in range(n)}
-        wide = {i + k for i, n in enumerate(long) if n >= 8 for k in range(n)}
-        assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_covered, r.longest_repeat) == (len(w), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(wide), len(cover), max(long, default=0))
-        assert r.base_failed == (len(w) < 20 or 100 * len(wide) > 30 * len(w))
-        assert r.kept == (not r.base_failed and 100 * len(cover) <= quality_rules.MAX_COVERED * len(w) and max(long, default=0) <= quality_rules.MAX_LONGEST)
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert (r.n_words, r.n_repeat_words, r.n_covered, r.longest_repeat, r.base_failed, r.kept) == brute_quality(t)
     assert quality_rules.repetition(none).count() == 0
-    assert quality_rules.keep_good(docs).columns == docs.columns
+    assert quality_rules.keep_good(docs).schema == docs.schema
+    assert quality_rules.keep_good(docs).count() == sum(brute_quality(t)[-1] for _, t in rows)
 
 
 ODD = ["Don't I'll SHE'D", "<|endoftext|>x <|startoftext|>", "İstanbul ΣΑΣ ß", "a\x1cb \x00 \x7f\x85", "１２３ ½ 你好 😀😀", "é" * 300, "'S 'T 'LL", "ſ K Å", "́abc"]
@@ -257,15 +279,19 @@ def test_bpe_words_around_the_short_limit():
     assert enc.encode_many([]) == []
 
 
-def test_packing(docs, rows, none):
+def check_packed(got, rows):
+    """Every piece of the rows is there, in sequences without gaps."""
     t = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
-    got = packing.pack(docs).toPandas()
     ids = [t.encode(x or "", add_special_tokens=False).ids + [0] for _, x in rows]
     want = sorted((str(a), s // 2048, s, len(p := i[s : s + 2048]), zlib.crc32(np.array(p, "<u4").tobytes())) for (a, _), i in zip(rows, ids) for s in range(0, len(i), 2048))
     assert sorted((str(None if math.isnan(a) else int(a)), b, c, d, e) for a, b, c, d, e in got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)) == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
+
+
+def test_packing(docs, rows, none):
+    check_packed(packing.pack(docs).toPandas(), rows)
     assert packing.pack(none).count() == 0
 
 
@@ -526,12 +552,138 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs, empty, toxicity.held_out(F.col("doc_id"))).agg(F.max("score")).first()[0] == 0
 
 
+def plain_words(text):
+    """Folded words, one character at a time."""
+    out = "".join(toxicity.FOLD.get(ord(c), c) or "" for c in (text or "").lower())
+    return out.split()
+
+
+def plain_matched(words, weights, exceptions):
+    total = 0.0
+    for i, w in enumerate(words):
+        hits = [x for t, x in weights.items() if (t[1:-1] == w if t[-1] == " " else w.startswith(t[1:]))]
+        near = {f" {words[i - 1]} {w} "} if i else set()
+        near |= {f" {w} {words[i + 1]} "} if i + 1 < len(words) else set()
+        if hits and not exceptions.intersection(near):
+            total += max(hits)
+    return total
+
+
+def plain_lexicon(rows):
+    """Weights and exceptions of (text, y) rows."""
+    n = Counter(y for _, y in rows)
+    toxic, clean = Counter(), Counter()
+    for t, y in rows:
+        terms = set()
+        for w in plain_words(t):
+            if len(w) > 2:
+                terms |= {f" {w} "} | {f" {w[:k]}" for k in (4, 5, 6) if len(w) > k}
+        (toxic if y else clean).update(terms)
+    weights = {}
+    for t, k in toxic.items():
+        weight = math.log((k + 0.5) / (n[1] + 1)) - math.log((clean[t] + 0.5) / (n[0] + 1))
+        whole = [toxic[o] for o in toxic if o[-1] == " " and o.startswith(t)]
+        if k >= toxicity.SUPPORT and weight >= toxicity.LEAST_WEIGHT and (t[-1] == " " or max(whole, default=0) < 0.8 * k):
+            weights[t] = weight
+    good, bad = Counter(), Counter()
+    for t, y in rows:
+        w, found = plain_words(t), set()
+        for i, x in enumerate(w):
+            if any(x == k[1:-1] if k[-1] == " " else x.startswith(k[1:]) for k in weights):
+                found |= {f" {w[i - 1]} {x} "} if i else set()
+                found |= {f" {x} {w[i + 1]} "} if i + 1 < len(w) else set()
+        (bad if y else good).update(found)
+    return weights, {p for p in good if good[p] >= toxicity.SUPPORT and bad[p] * n[0] <= 0.2 * good[p] * n[1]}
+
+
+def toxic_table(spark):
+    """Insults, also in disguise; a word that is harmless beside another one."""
+    r, rows, labels = random.Random(8), [], []
+    plain = ["tree", "house", "water", "stone", "river", "plain"]
+    for i in range(500):
+        w = [r.choice(plain) for _ in range(r.randint(5, 60))]
+        bad = i % 3 == 0
+        for _ in range(2 * bad):
+            w.insert(r.randrange(len(w)), r.choice(["gromble", "Gr0mbles", "grоmble", "gromble,", "vexling"]))
+        w += ["vexling"] * bad
+        if i % 36 == 1:
+            w.insert(r.randrange(len(w)), "pond vexling")
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    rows += [(900, None), (901, ""), (None, "gromble"), (902, "a" * 100_000 + " gromble " + " " * 100_000 + "x"), (903, "ｇｒｏｍｂｌｅ!! vex-ling"), (5, rows[5][1])]
+    return rows, labels, spark.createDataFrame([(*x, "s", "l") for x in rows], "doc_id long, text string, score string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_is_the_plain_one(spark):
+    rows, labels, docs, marks = toxic_table(spark)
+    lexicon = toxicity.learn(toxicity.labelled_sample(docs, marks, "toxic", toxicity.train_rows, 1000))
+    text, train = dict(rows), lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    sample = [(text[i], y) for i, y in labels if train(i)]
+    weights, exceptions = plain_lexicon(sample)
+    assert lexicon.weights.keys() == weights.keys() and all(abs(lexicon.weights[t] - x) < 1e-12 for t, x in weights.items())
+    assert set(lexicon.exceptions) == exceptions and " pond vexling " in exceptions
+    x = np.array([[1.0, math.log1p(m := plain_matched(w := plain_words(t), weights, exceptions)), math.log1p(1000 * m / (len(w) + 20))] for t, _ in sample])
+    p = 1 / (1 + np.exp(-x @ lexicon.curve))
+    assert np.abs(x.T @ (p - [y for _, y in sample]) + 1e-2 * np.array(lexicon.curve)).max() < 1e-5  # the penalised likelihood's top
+    want = []
+    for i, t in rows:
+        m = plain_matched(w := plain_words(t), weights, exceptions)
+        score = 1 / (1 + math.exp(-np.dot([1.0, math.log1p(m), math.log1p(1000 * m / (len(w) + 20))], lexicon.curve)))
+        want.append((str(i), i is not None and not train(i), round(score, 9), int(score >= 0.5)))
+    got = toxicity.score_texts(docs, lexicon, toxicity.held_out(F.col("doc_id"))).collect()
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 9), r.predicted) for r in got) == sorted(want)
+    kept = toxicity.keep_clean(docs, lexicon)
+    assert kept.schema == docs.schema and kept.count() == sum(x[-1] == 0 for x in want)
+    assert toxicity.score_texts(docs.limit(0), lexicon, toxicity.held_out(F.col("doc_id"))).count() == 0
+
+
 def test_exception_phrases():
     lexicon = toxicity.Lexicon({" scum ": 5.0}, frozenset({" pond scum "}), (0.0, 1.0, 1.0))
     a = lexicon.automaton()
     assert lexicon.matched("you sсum", a)[0] == 5 and lexicon.matched("green pond scum", a)[0] == 0 and lexicon.matched("5cum", a)[0] == 5
 
 
+def test_quality_is_the_plain_one(spark):
+    """Terms, latent space and votes by plain formulas."""
+    docs, labels = labelled(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(7, None)]
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    docs = docs.union(spark.createDataFrame([(7, None, "s", 1)], docs.schema))  # an id twice: the row with a text counts
+    space = quality_knn.fit(quality_knn.labelled_sample(docs, labels, "quality", quality_knn.train_rows, 1000))
+    sample = [((t or "").encode(), marks[i]) for i, t in rows if i in marks and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    pairs_of = lambda x: Counter(zip(x, x[1:]))
+    df = Counter(k for x, _ in sample for k in pairs_of(x))
+    pairs = sorted(a * 256 + b for a, b in sorted(df, key=lambda k: (-df[k], k[0] * 256 + k[1]))[: quality_knn.PAIRS])
+    pairs += [p for p in range(65536) if (p >> 8, p & 255) not in df][: quality_knn.PAIRS - len(pairs)]
+    assert space.pairs.tolist() == sorted(pairs)
+
+    def terms(x):
+        c = pairs_of(x)
+        return np.array([math.sqrt(c[p >> 8, p & 255] / len(x)) * (math.log((len(sample) + 1) / (df[p >> 8, p & 255] + 1)) + 0.25) for p in sorted(pairs)] + list(quality_knn.ratios(x)))
+
+    x = np.array([terms(t) for t, _ in sample])
+    mean = x.mean(0)
+    basis = np.linalg.svd(x - mean, full_matrices=False)[2][: quality_knn.DIMS].T
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    known = [(unit((v - mean) @ basis), y) for v, (_, y) in zip(x, sample)]
+    prior = sum(y for _, y in sample) / len(sample)
+    got = quality_knn.score_texts(docs, space, quality_knn.held_out(F.col("doc_id"))).collect()
+    texts = {(str(i), t): (t or "").encode() for i, t in rows}
+    want = []
+    for (i, _), t in texts.items():
+        score = prior
+        if t:
+            v = unit((terms(t) - mean) @ basis)
+            near = sorted(((float(v @ k), y) for k, y in known), reverse=True)[: quality_knn.NEIGHBOURS]
+            w = [max(c, 0) ** 4 + 1e-9 for c, _ in near]
+            score = sum(a * y for a, (_, y) in zip(w, near)) / sum(w)
+        want.append((i, score))
+    assert len(got) == len(want)
+    close = [abs(a.score - b[1]) < 2e-3 for a, b in zip(sorted(got, key=lambda r: (str(r.doc_id), r.score)), sorted(want))]
+    assert all(close)
+    assert quality_knn.score_texts(docs.limit(0), space, quality_knn.held_out(F.col("doc_id"))).count() == 0
+
+
 def test_quality_votes(spark):
     docs, labels = labelled(spark)
     space = quality_knn.fit(quality_knn.labelled_sample(docs, labels, "quality", quality_knn.train_rows, 1000))
@@ -550,18 +702,79 @@ def test_components(spark):
     assert {got[i] for i in (3, 4, 5, 9)} == {3} and got[21] == 20 and {got[i] for i in range(100, 161)} == {100}
 
 
-def test_pipeline(spark, tmp_path):
+def corpus(spark, tmp_path):
+    """Documents and labels for all stages, as files."""
+    r = random.Random(21)
+    words = ["".join(r.choice("aeiostnrlm") for _ in range(r.randint(3, 8))) for _ in range(900)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, labels, passage = [], [], text(60)
+    for i in range(260):
+        w, bad = text(r.randint(10, 130)).split(), i % 4 == 0
+        for _ in range(3 * bad):
+            w.insert(r.randrange(len(w)), r.choice(["grumbleshank", "Grumbl3shank", "gRumblеshank"]))
+        if i % 9 == 1:
+            w += passage.split() + ["naïve", "丠奀"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    near = text(100).split()
+    for i in range(260, 290):
+        w = list(near)
+        for _ in range(i % 4):
+            w[r.randrange(100)] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(290, None), (291, ""), (292, "same words " * 200), (293, text(6000)), (None, text(50)), (294, rows[3][1]), (3, rows[3][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return labels
+
+
+def test_pipeline_is_the_plain_one(spark, tmp_path):
+    """Each stage against brute force on what the stage before it kept."""
     import corpus_pipeline
 
-    docs, labels = labelled(spark)
-    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), "score", F.length("text").cast("long").alias("n_chars")).withColumnRenamed("score", "source")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    labels = corpus(spark, tmp_path)
+    order = lambda rows: sorted(map(tuple, rows), key=str)
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = [tuple(r) for r in now.collect()]
         out = stage(spark, now, str(tmp_path))
-        assert out.columns == docs.columns, name
-        out.write.parquet(f"{tmp_path}/{i}")
-        now = spark.read.parquet(f"{tmp_path}/{i}")
-    assert 0 < now.count() < docs.count()
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        if name == "best_fit_packing":
+            packed = out.toPandas()
+            check_packed(packed, [r[:2] for r in rows])
+            break
+        out.write.parquet(f"{tmp_path}/{k}")
+        assert out.schema == now.schema
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "quality_rules":
+            want = [r for r in rows if brute_quality(r[1])[-1]]
+        elif name == "toxicity":
+            text = {r[0]: r[1] for r in rows}
+            sample = [(text[i], y) for i, _, y in labels if i in text and zlib.crc32(str(i).encode()) % 5 != 0]
+            lexicon = toxicity.learn(spark.createDataFrame(sample, "text string, y int"))
+            weights, exceptions = plain_lexicon(sample)
+            assert lexicon.weights.keys() == weights.keys() and set(lexicon.exceptions) == exceptions
+            matched = [(plain_matched(w := plain_words(r[1]), weights, exceptions), len(w)) for r in rows]
+            score = lexicon.scores(np.array([m for m, _ in matched]), np.array([n for _, n in matched], float))
+            want = [r for r, s in zip(rows, score) if s < 0.5]
+            assert {r[0] for r in rows} - {r[0] for r in want} >= {i for i, _, y in labels if y and i in text}
+        elif name == "minhash_near_dedup":
+            want = [r for r, (_, c) in zip(rows, brute_components([r[:2] for r in rows], 5, 80)) if r[0] is None or r[0] == c]
+        else:
+            kept = [brute_kept_text(r[1] or "", gone) if r[1] is not None else None for r, gone in zip(rows, brute_removed([r[:2] for r in rows]))]
+            want = [(r[0], t, *r[2:4], None if t is None else len(t)) for r, t in zip(rows, kept)]
+            assert want != rows
+        assert order(now.collect()) == order(want), name
+        assert 0 < len(want) <= len(rows)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    run = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert str(order(run[columns].itertuples(index=False))) == str(order(packed[columns].itertuples(index=False)))
+    assert run.sequence_id.nunique() == packed.sequence_id.nunique()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
