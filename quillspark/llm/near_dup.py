@@ -6,8 +6,8 @@ an empty bin borrows from a non-empty one by optimal densification (a hash
 of the empty bin's number and an attempt count picks the donor). Bands of
 ``rows`` bins give bucket keys.
 
-Documents with equal sets are one *class* and take part as its smallest
-doc_id. Candidate edges are star-shaped at first: in each bucket every class
+Documents with equal sets (by 128-bit digests) are one *class* and take part as
+its smallest doc_id. Candidate edges are star-shaped at first: in each bucket every class
 is joined with one hub, so a bucket of m members gives m - 1 edges. The hub is
 the member that meets most classes in all its buckets, which is a cluster's
 centre. Links are confirmed on full sets (sent as the upper
@@ -96,13 +96,13 @@ def sets_of(texts: list[bytes], width: int, hashes: WordHashes) -> tuple[np.ndar
     return np.bincount(d, minlength=len(words)), d, h
 
 
-def digests(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set, as a signed number."""
+def digests(sizes: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each set."""
     out, at = [], 0
     for n in sizes.tolist():
-        out.append(xxhash.xxh3_64_intdigest(h[at : at + n].tobytes()))
+        out.append(xxhash.xxh3_128_digest(h[at : at + n].tobytes()))
         at += n
-    return np.array(out, np.uint64).view(np.int64)
+    return out
 
 
 def signatures(n_docs: int, d: np.ndarray, h: np.ndarray, bins: int) -> np.ndarray:
@@ -144,12 +144,12 @@ def _profile(docs: DataFrame, key: str, text: str, width: int, bins: int, rows:
             sizes, d, h = sets_of(raw(b.column(text)), width, hashes)
             bands = band_keys(signatures(b.num_rows, d, h, bins), rows).astype("<u8")
             yield pa.RecordBatch.from_arrays(
-                [b.column(key), pa.array(sizes, pa.int64()), pa.array(digests(sizes, h)), pa.array([x.tobytes() for x in bands], pa.binary())],
+                [b.column(key), pa.array(sizes, pa.int64()), pa.array(digests(sizes, h), pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())],
                 ["doc_id", "n_shingles", "digest", "bands"],
             )
 
     id_type = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest long, bands binary")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest binary, bands binary")
 
 
 def crowded_buckets(classes: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def crowded_buckets(classes: DataFrame) -> DataFrame:
 
 def fetched(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(node, shingles): the full sets of the classes in ``nodes`` (node,
-    doc_id), from the texts of their documents."""
+    digest, doc_id), from the texts of their documents."""
     ends = written(nodes, "ends")
     keep = Bitmap.of(ends.select(F.xxhash64("doc_id").alias("h")), "h", FETCH_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(keep)  # 2**FETCH_BITS bits
@@ -183,15 +183,15 @@ def fetched(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int)
                 cuts = np.concatenate([[0], np.cumsum(sizes)]) * 6
                 blob = six_bytes(h)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(digests(sizes, h)), pa.array([blob[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())],
-                    ["doc_id", "node", "shingles"],
+                    [b.column("doc_id"), pa.array(digests(sizes, h), pa.binary()), pa.array([blob[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())],
+                    ["doc_id", "digest", "shingles"],
                 )
 
     id_type = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key).alias("h"), F.col(text).alias("text")).where("doc_id is not null")
-    sets = source.mapInArrow(wanted, f"doc_id {id_type}, node long, shingles binary")
+    sets = source.mapInArrow(wanted, f"doc_id {id_type}, digest binary, shingles binary")
     # A repeated row gives its set twice: one is enough.
-    return written(sets.join(ends, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    return written(sets.join(ends, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +314,7 @@ def _linked(classes: DataFrame, docs: DataFrame, key: str, text: str, width: int
     weight = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
     weight = weight.join(classes.select("node", F.col("n_shingles").alias("n")), "node")
     crowded = written(crowded.select("key", "node").join(weight, "node"), "crowded")
-    sets = fetched(classes.select("node", "doc_id").join(weight.select("node"), "node", "left_semi"), docs, key, text, width)
+    sets = fetched(classes.select("node", "digest", "doc_id").join(weight.select("node"), "node", "left_semi"), docs, key, text, width)
     best = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "n")).alias("best")
     hubs = written(crowded.groupBy("key").agg(best).select("key", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
     others = crowded.join(hubs, "key").where("node <> hub")
@@ -346,13 +346,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     bound_batches(docs.sparkSession)
     profile = written(_profile(docs, key, text, width, bins, rows), "profile")
     live = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = written(live.groupBy(F.col("digest").alias("node")).agg(F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")), "classes")
+    same = live.groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
+    classes = written(same.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, as written
     joined = _linked(classes, docs, key, text, width, percent)
-    nodes = classes.select("node", "doc_id")
+    nodes = classes.select("node", "digest", "doc_id")
     # A component's label is the smallest doc_id of its classes.
     label = nodes.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("label"))
     label = joined.join(label, "component").select("node", "label")
-    found = nodes.join(label, "node", "left").select(F.col("node").alias("digest"), F.coalesce("label", "doc_id").alias("label"))
+    found = nodes.join(label, "node", "left").select("digest", F.coalesce("label", "doc_id").alias("label"))
     out = profile.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -142,12 +142,13 @@ def test_a_link_between_two_that_were_no_hubs(spark):
         texts[name] = " ".join(w)
     texts |= {f"d{i}": " ".join(f"d{i}-{j}" for j in range(200)) for i in range(3)}
     sizes, d, h = near_dup.sets_of([x.encode() for x in texts.values()], 3, common.WordHashes())
-    nodes = dict(zip(texts, near_dup.digests(sizes, h).tolist()))
+    digests = near_dup.digests(sizes, h)
+    nodes = {x: 1000 + i for i, x in enumerate(texts)}
     rows = []
     for i, name in enumerate(texts):
         bands = [1, 3 + i if name in ("x2", "y2") else 2, *(r.randrange(10**6, 2**62) for _ in range(30))]
-        rows.append((nodes[name], np.array(bands, "<u8").tobytes(), int(sizes[i]), i))
-    classes = spark.createDataFrame(rows, "node long, bands binary, n_shingles long, doc_id long")
+        rows.append((nodes[name], digests[i], np.array(bands, "<u8").tobytes(), int(sizes[i]), i))
+    classes = spark.createDataFrame(rows, "node long, digest binary, bands binary, n_shingles long, doc_id long")
     docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
     got = {x.node: x.component for x in near_dup._linked(classes, docs, "doc_id", "text", 3, 85).collect()}
     assert set(got) == {nodes[x] for x in ("x1", "x2", "y1", "y2")} and len(set(got.values())) == 1
