@@ -9,6 +9,7 @@ combine (equal keys) it combines before it sends.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,17 +31,24 @@ WORDS_KEPT = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one only if none is set."""
+    """The folder that all machines share. Where none is set, a local session
+    gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="quillspark-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Tables that ``written`` made, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.
 
@@ -49,9 +57,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that ``written`` made in this application: for when the
+    operators' results have been written elsewhere."""
+    delete(spark, _TABLES.pop(spark.sparkContext.applicationId, []))
+
+
 def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     """Buckets of an exchange: in proportion to the input's partitions."""
     spark = df.sparkSession
@@ -191,7 +214,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     written to the shared folder.
     """
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "cc")
-    count = F.count(F.lit(1))
+    spark, count = edges.sparkSession, F.count(F.lit(1))
+    table = _TABLES[spark.sparkContext.applicationId][-1]
     before, rows = None, now.count()
     while True:
         # Few edges need few tasks; each task makes files at every exchange.
@@ -204,6 +228,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = written(small.where("a <> b").distinct().coalesce(tasks), "cc")
+        delete(spark, [table])  # the next round is there, whole
+        table = _TABLES[spark.sparkContext.applicationId][-1]
         state = now.agg(count, F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

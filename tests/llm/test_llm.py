@@ -703,6 +703,17 @@ def test_components(spark):
     assert {got[i] for i in (3, 4, 5, 9)} == {3} and got[21] == 20 and {got[i] for i in range(100, 161)} == {100}
 
 
+def test_tables_are_cleared(spark, tmp_path):
+    import os
+
+    made = common.written(spark.range(3), "gone")
+    path = common._TABLES[spark.sparkContext.applicationId][-1]
+    local = path.removeprefix("file:")
+    assert made.count() == 3 and os.path.isdir(local)
+    common.delete(spark, [path])
+    assert not os.path.exists(local)
+
+
 def corpus(spark, tmp_path):
     """Documents and labels for all stages, as files."""
     r = random.Random(21)
