@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python step works on at once. A longer text is a slice
 #: of its own; nothing is cut.
 SLICE_BYTES = 4 << 20
+#: Bytes of a row group in the tables that are written on the way: a task holds
+#: one in memory.
+ROW_GROUP = 16 << 20
 #: Edges of a graph that a task works on, where there are few.
 EDGES_A_TASK = 20_000
 #: Distinct words whose hashes a worker remembers between slices.
@@ -56,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,9 +85,9 @@ def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_partition * parts, 4)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Hand Python at most ``rows`` rows at once: texts are long, and both
-    sides hold a batch in memory."""
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand Python at most ``rows`` rows at once, for the rest of the session:
+    texts are long, and both sides hold a batch in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -201,6 +204,27 @@ class Bitmap:
         return Bitmap(words, bits)
 
 
+    @staticmethod
+    def of_repeated(parts: DataFrame, bits: int) -> "Bitmap":
+        """From rows (bucket, marks) of packed 64-bit numbers, six bytes each:
+        what occurs twice or more. Senders need not send a number more than
+        twice. The driver gets 2**bits bits at most."""
+
+        def meet(t: pa.Table) -> pa.Table:
+            m = np.sort(from_six(b"".join(t["marks"].to_pylist())))
+            twice = np.unique(m[1:][m[1:] == m[:-1]])
+            at = twice >> np.uint64(64 - bits)
+            byte, first = np.unique(at >> np.uint64(3), return_index=True)
+            bit = np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
+            value = np.bitwise_or.reduceat(bit, first) if len(first) else bit
+            return pa.table({"at": pa.array([byte.astype("<u4").tobytes()], pa.binary()), "value": pa.array([value.tobytes()], pa.binary())})
+
+        words = np.zeros(1 << (bits - 3), np.uint8)
+        for r in parts.groupBy("bucket").applyInArrow(meet, "at binary, value binary").toLocalIterator():
+            np.bitwise_or.at(words, np.frombuffer(r["at"], "<u4"), np.frombuffer(r["value"], np.uint8))
+        return Bitmap(words, bits)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -45,11 +45,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, WordHashes, bound_batches, components, from_six, mix, range_bucket, raw, signed, six_bytes, slices, written
+from .common import Bitmap, WordHashes, bound_batches, buckets_for, components, from_six, mix, range_bucket, raw, signed, six_bytes, slices, split_by, written
 
 BINS, ROWS = 128, 4
 #: Bits of the filter that fetches texts: 8 MB at any size of input.
 FETCH_BITS = 26
+#: Bits of the filter for bucket keys that occur twice: 16 MB. Beyond some 50
+#: million such keys it lets most through, which costs time but not results.
+KEY_BITS = 27
 #: A bucket's members are dealt into blocks of about so many, or of about so
 #: many shingles; all pairs of blocks are compared.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
@@ -153,18 +156,39 @@ def _profile(docs: DataFrame, key: str, text: str, width: int, bins: int, rows:
 
 
 def crowded_buckets(classes: DataFrame) -> DataFrame:
-    """(key, node) of all buckets that two or more classes share."""
+    """(key, node, size) of all buckets that two or more classes share.
 
-    def explode(batches):
+    Most keys are one class's own: a bitmap of those that occur twice, from
+    packed keys, keeps them out of the join. Where it lets too much through,
+    the counts decide all the same."""
+    n = buckets_for(classes)
+
+    def bands_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<u8").reshape(batch.num_rows, -1)
+
+    def send(batches):
         for b in batches:
             if b.num_rows:
-                bands = np.frombuffer(b"".join(b.column("bands").to_pylist()), "<u8").reshape(b.num_rows, -1)
-                node = np.repeat(np.asarray(b.column("node"), dtype=np.int64), bands.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(bands.ravel())), pa.array(node)], ["key", "node"])
+                keys = np.sort(bands_of(b).ravel())
+                third = np.zeros(len(keys), bool)
+                third[2:] = keys[2:] == keys[:-2]
+                keys = keys[~third]
+                for bucket, at in split_by(range_bucket(keys, n)):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([six_bytes(keys[at])], pa.binary())], ["bucket", "marks"])
+
+    shared = classes.sparkSession.sparkContext.broadcast(Bitmap.of_repeated(classes.select("bands").mapInArrow(send, "bucket int, marks binary"), KEY_BITS))
 
-    pairs = classes.mapInArrow(explode, "key long, node long")
-    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return pairs.join(shared, "key")
+    def explode(batches):
+        for b in batches:
+            if b.num_rows:
+                bands = bands_of(b)
+                hit = shared.value.has(bands)
+                node = np.repeat(np.asarray(b.column("node"), dtype=np.int64), hit.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(bands[hit])), pa.array(node)], ["key", "node"])
+
+    pairs = classes.select("node", "bands").mapInArrow(explode, "key long, node long")
+    size = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return pairs.join(size, "key")
 
 
 def fetched(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:

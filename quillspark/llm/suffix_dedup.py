@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, buckets_for, from_six, mix, range_bucket, raw, six_bytes, slices, split_by
+from .common import Bitmap, buckets_for, mix, range_bucket, raw, six_bytes, slices, split_by
 
 LENGTH, GRAM = 50, 24
 #: Bits of the marks' bitmap: 32 MB at any size of input.
@@ -162,20 +162,7 @@ def _marks(docs: DataFrame, key: str, text: str, length: int, n: int) -> Bitmap:
             for bucket, at in split_by(range_bucket(m, n)):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([six_bytes(m[at])], pa.binary())], ["bucket", "marks"])
 
-    def meet(t: pa.Table) -> pa.Table:
-        m = np.sort(from_six(b"".join(t["marks"].to_pylist())))
-        twice = np.unique(m[1:][m[1:] == m[:-1]])
-        at = twice >> np.uint64(64 - MARK_BITS)
-        byte, first = np.unique(at >> np.uint64(3), return_index=True)
-        bits = np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
-        value = np.bitwise_or.reduceat(bits, first) if len(first) else bits
-        return pa.table({"at": pa.array([byte.astype("<u4").tobytes()], pa.binary()), "value": pa.array([value.tobytes()], pa.binary())})
-
-    parts = docs.select(key, text).mapInArrow(send, "bucket int, marks binary").groupBy("bucket").applyInArrow(meet, "at binary, value binary")
-    words = np.zeros(1 << (MARK_BITS - 3), np.uint8)
-    for r in parts.toLocalIterator():  # 2**MARK_BITS bits in all, at most
-        np.bitwise_or.at(words, np.frombuffer(r["at"], "<u4"), np.frombuffer(r["value"], np.uint8))
-    return Bitmap(words, MARK_BITS)
+    return Bitmap.of_repeated(docs.select(key, text).mapInArrow(send, "bucket int, marks binary"), MARK_BITS)
 
 
 def squeezed(data: bytes) -> bytes:
