@@ -1,12 +1,9 @@
 """Glossary operators: search, mapping, changes with their uniqueness rule,
-imports, matching and replacing terms in texts."""
+imports. Matching and replacing terms in texts: see ``terms``."""
 
 from ..relation import Relation
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_IN = "[[contains({0}, {1})||contains({0}, {1})]]"
-#: Words of a text, lower case, without punctuation.
-_WORDS = "[[regexp_extract_all(lower({0}), '[a-zà-öø-ÿ]+', 0)||regexp_extract_all(lower({0}), '[a-zà-öø-ÿ]+')]]"
 
 search = Relation("S1 T1", f"SELECT id, source, target FROM {{terms}} WHERE NOT disabled AND lang = 'en' AND ({_FOLD.format('source')} LIKE '%th%' OR {_FOLD.format('target')} LIKE '%th%')")
 mapping = Relation("S2 N5", """
@@ -33,24 +30,7 @@ k AS (SELECT r.*, t.id IS NOT NULL AS known FROM r LEFT JOIN (SELECT DISTINCT so
 SELECT p_name, p_partkey AS first_row FROM k WHERE rn = 1 AND NOT known""")
 import_counts = Relation("K5 A26", """
 SELECT CAST(sum(CASE WHEN rn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS imported, CAST(sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM (SELECT row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM {part}) AS r""")
-#: Single-word terms meet words by an equi join; each text's words are exploded
-#: and deduplicated first, so no nested loop over texts and terms is needed.
-matches = Relation("J5", f"""
-WITH w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, [[explode({_WORDS.format('text')})||unnest({_WORDS.format('text')})]] AS word FROM {{documents}}) AS x)
-SELECT w.doc_id, t.id AS term FROM w JOIN {{terms}} t ON w.word = lower(t.source) WHERE NOT t.disabled""")
-missing = Relation("J6", f"""
-WITH w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, [[explode({_WORDS.format('text')})||unnest({_WORDS.format('text')})]] AS word FROM {{documents}}) AS x),
-m AS (SELECT w.doc_id, t.id AS term, t.target FROM w JOIN {{terms}} t ON w.word = lower(t.source) WHERE NOT t.disabled)
-SELECT m.doc_id, m.term FROM m JOIN {{documents}} d ON m.doc_id = d.doc_id WHERE NOT {_IN.format('d.text', 'm.target')}""")
-replace_literal = Relation("F3 T2", """
-SELECT doc_id, [[md5(replace(replace(replace(text, 'of the', 'OF-THE'), 'thing', 'THING'), 'the', 'THE-2'))||md5(replace(replace(replace(text, 'of the', 'OF-THE'), 'thing', 'THING'), 'the', 'THE-2'))]] AS replaced FROM {documents}""")
 longest_first = Relation("T2", "SELECT id, source, CAST(row_number() OVER (ORDER BY length(source) DESC, id) AS BIGINT) AS place FROM {terms}")
-aliases = Relation("J7 A.10", f"""
-WITH full_terms AS (SELECT id, source, target, split(source, ' ') AS words FROM {{terms}} WHERE lang = 'en' AND source LIKE '% %'),
-a AS (SELECT id, target, [[words[size(words) - 1]||words[len(words)]]] AS alias FROM full_terms UNION ALL SELECT id, target, [[words[0]||words[1]]] FROM full_terms),
-t AS (SELECT doc_id, replace(lower(text), 'of the', '') AS rest FROM {{documents}}),
-w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, [[explode({_WORDS.format('rest')})||unnest({_WORDS.format('rest')})]] AS word FROM t) AS x)
-SELECT w.doc_id, a.alias, min(a.target) AS target FROM w JOIN a ON w.word = a.alias WHERE length(a.alias) >= 3 AND a.alias NOT IN ('big', 'black', 'little', 'new', 'old', 'white', 'young') GROUP BY w.doc_id, a.alias""")
 phrase_hints = Relation("J8 F10", """
 SELECT s.id, t.id AS term, t.target FROM {samples} s JOIN {terms} t ON contains(s.text, t.source) WHERE t.lang = 'ja'""")
 language_code = Relation("J4", """
@@ -60,6 +40,6 @@ cache_keys = Relation("D18 O8", "SELECT source_lang, target_lang, source, min(id
 QUERIES = {
     "q_glossary_search": search, "q_glossary_mapping": mapping, "q_seed_count": count_all, "q_kv_get": kv_get, "q_kv_upsert": kv_upsert, "q_seed_once": seed_once, "q_create_or_reject": create,
     "q_revivable": revivable, "q_update_conflict": update, "q_delete": delete, "q_bulk_update": bulk_update, "q_import_dedupe": import_rows, "q_import_counts": import_counts,
-    "q_term_matches": matches, "q_term_missing": missing, "q_term_replace_literal": replace_literal, "q_longest_first": longest_first, "q_alias_expand": aliases,
+    "q_longest_first": longest_first,
     "q_phrase_hints": phrase_hints, "q_provider_language": language_code, "q_cache_keys": cache_keys,
 }

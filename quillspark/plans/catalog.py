@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scripts, segments, text
-from ..operators import engines, glossary, greedy, regions, tasks
+from ..operators import engines, glossary, greedy, regions, tasks, terms
 from ..relation import Relation
 from ..sources import imports
 from ..sources.frames import ansi_sources, frame
@@ -68,3 +68,42 @@ QUERIES |= {
 ORACLE_SQL["q_json_import_errors"] = "SELECT * FROM (VALUES ('ok', 2::BIGINT, 0::BIGINT, 0::BIGINT), ('bad', 0, 0, 1), ('object', 0, 0, 1), ('mixed', 1, 1, 3), ('empty', 0, 0, 0)) AS t(doc, imported, skipped, errors)"
 ORACLE_SQL["q_stream_windows"] = "SELECT date_trunc('day', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL"
 ORACLE_SQL["q_translate_chain"] = "SELECT conv_id AS grp, turn AS ord, text, CASE WHEN trim(text) = '' THEN text ELSE '[zh] ' || text END AS result, CASE WHEN trim(text) = '' THEN 'keep' ELSE 'echo' END AS backend FROM conversations"
+
+
+def _ctes(names: tuple[str, ...], query: str) -> str:
+    """``query`` with frames of these names."""
+    sources = ansi_sources()
+    return f"WITH {', '.join(f'{n} AS ({sources[n]})' for n in names)} {query}" if not query.lstrip().startswith("WITH") else f"WITH {', '.join(f'{n} AS ({sources[n]})' for n in names)}, {query.lstrip()[5:]}"
+
+
+def _hits(texts: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: terms.term_hits(frame(spark, sf_dir, texts).select(key, "text"), frame(spark, sf_dir, "terms"), key).select(key, F.col("term.id").alias("term"))
+
+
+def _missing(pairs: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: terms.missing_terms(frame(spark, sf_dir, pairs), frame(spark, sf_dir, "terms"))
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = terms.mapping(frame(spark, sf_dir, "terms"), "en", "zh")
+    return frame(spark, sf_dir, "documents").select("doc_id", F.md5(terms.replaced(F.col("text"), pairs, "en")).alias("replaced"))
+
+
+#: Terms in texts (J5, J6, J7, F3, T2); their SQL is stated apart, in other means.
+QUERIES |= {
+    "q_term_matches": _hits("documents", "doc_id"),
+    "q_term_matches_cjk": _hits("samples", "id"),
+    "q_term_missing": _missing("doc_pairs"),
+    "q_term_missing_pairs": _missing("pairs"),
+    "q_term_replace_literal": _replaced,
+    "q_alias_expand": lambda spark, sf_dir: terms.alias_hits(frame(spark, sf_dir, "documents").select("doc_id", "text"), frame(spark, sf_dir, "terms"), "doc_id"),
+}
+ORACLE_SQL |= {
+    "q_term_matches": _ctes(("terms",), terms.MATCHES),
+    "q_term_matches_cjk": _ctes(("terms", "samples"), terms.MATCHES_CJK),
+    "q_term_missing": _ctes(("terms",), terms.missing_sql("(SELECT d.doc_id AS id, d.text AS source, n.text AS translated, d.lang AS source_lang, 'zh' AS target_lang FROM documents d LEFT JOIN documents n ON d.doc_id + 1 = n.doc_id)")),
+    "q_term_missing_pairs": _ctes(("terms", "pairs"), terms.missing_sql("pairs")),
+    # the terms of en to zh, the newest of each source, longest first
+    "q_term_replace_literal": terms.replaced_sql([("and the", "AND-THE"), ("of the", "OF-THE"), ("thing", "THING"), ("erin", "ERIN"), ("the", "THE-2")], "en"),
+    "q_alias_expand": _ctes(("terms",), terms.ALIASES),
+}

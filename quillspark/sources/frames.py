@@ -28,14 +28,14 @@ FRAMES: dict[str, Relation] = {
     # regions: boxes of a page in reading list order, confidence in thousandths
     "regions": Relation("D5", """
 SELECT l_orderkey AS page,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS ord,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag, l_linestatus) AS INT) AS ord,
   l_partkey % 1000 AS x0, l_suppkey * 7 % 800 AS y0,
   l_partkey % 1000 + 20 + 4 * CAST(l_quantity AS BIGINT) AS x1, l_suppkey * 7 % 800 + 15 + l_partkey % 40 AS y1,
   CAST(round(l_discount * 10000) AS BIGINT) AS conf,
   CASE l_returnflag WHEN 'A' THEN 'en' WHEN 'N' THEN 'zh' ELSE 'ja' END AS lang,
   CASE l_linestatus WHEN 'O' THEN 'h' ELSE 'v' END AS direction,
   CASE WHEN l_partkey % 2 = 0 THEN 'mit48' ELSE 'paddle' END AS engine
-FROM (SELECT DISTINCT * FROM {lineitem}) AS d"""),
+FROM {lineitem} AS d"""),
     # tasks: one per event
     "tasks": Relation("D3", """
 SELECT event_id AS id,
@@ -51,7 +51,7 @@ SELECT page_id, coalesce(regexp_extract(coalesce(url, ''), '([^/?#]+)([?#].*)?$'
         (1, "the", "THE-1", "en", "zh", "article", False), (2, "thing", "THING", "en", "zh", "", False), (3, "of the", "OF-THE", "en", "zh", "", False),
         (4, "der", "DER", "de", "zh", "", False), (5, "und", "UND", "de", "zh", "", False), (6, "los", "LOS", "es", "zh", "", True),
         (7, "the", "THE-2", "en", "zh", "newer", False), (8, "the", "THE-JA", "en", "ja", "", False), (9, "erin", "ERIN", "en", "zh", "Name", False),
-        (10, "火影", "HOKAGE", "ja", "zh", "", False), (11, "忍者", "NINJA", "ja", "zh", "", False),
+        (10, "火影", "HOKAGE", "ja", "zh", "", False), (11, "忍者", "NINJA", "ja", "zh", "", False), (12, "and the", "AND-THE", "en", "zh", "", False), (13, "漢字", "KANJI", "ja", "zh", "", False),
     )),
     "samples": Relation("D12", _values(
         "id, text, fallback",
