@@ -10,12 +10,29 @@ def _n(pattern: str, column: str = "text") -> str:
     return f"[[regexp_count({column}, '{pattern}')||len(regexp_extract_all({column}, '{pattern}'))]]"
 
 
-KANA, HAN, LATIN = "[ぁ-ゖァ-ヺー]", "[㐀-鿿]", "[A-Za-z]"
+def _chars(chars: str, column: str = "text") -> str:
+    """Characters of a class: what is gone without its runs."""
+    return f"length({column}) - length([[regexp_replace({column}, '{chars}+', '')||regexp_replace({column}, '{chars}+', '', 'g')]])"
+
+
+KANA, HAN, LATIN = f"[{chr(0x3040)}-{chr(0x30FF)}]", "[㐀-鿿]", "[A-Za-z]"
+
+# The hint words of the two languages; each counts once.
+ZH_HINTS = tuple("的了是不我你他她它们这那有在和就都一个没什么可以吗吧啊呢") + ("我们", "你们", "他们", "然后", "因为", "所以", "现在", "真的", "不是")
+JA_HINTS = ("です", "ます", "でした", "ください", "ない", "する", "した", "こと", "もの", "から", "まで")
+
+
+def _hints(words: tuple[str, ...]) -> str:
+    """How many of the words a text without blanks has; only texts with Han need it."""
+    tight = "[[regexp_replace(text, '(?U)[ \\t\\n\\r]+', '')||regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')]]"
+    quoted = ", ".join(f"'{w}'" for w in words)
+    return f"[[size(filter(array({quoted}), w -> contains({tight}, w)))||len(list_filter([{quoted}], lambda w: contains({tight}, w)))]]"
+
 
 _COUNTS = f"""
-SELECT id, text, fallback, coalesce({_n(KANA)}, 0) AS kana, coalesce({_n(HAN)}, 0) AS han, coalesce({_n(LATIN)}, 0) AS latin,
-  coalesce({_n('[の気方時本人出]')}, 0) AS ja_hints, coalesce({_n('[的是这我们你他了不在]')}, 0) AS zh_hints,
-  coalesce({_n('[A-Za-z0-9ぁ-ゖァ-ヺー㐀-鿿]')}, 0) AS meaningful FROM {{texts}}"""
+SELECT *, CASE WHEN han > 0 THEN {_hints(JA_HINTS)} ELSE 0 END AS ja_hints, CASE WHEN han > 0 THEN {_hints(ZH_HINTS)} ELSE 0 END AS zh_hints FROM (
+  SELECT id, text, fallback, coalesce({_chars(KANA)}, 0) AS kana, coalesce({_chars(HAN)}, 0) AS han, coalesce({_chars(LATIN)}, 0) AS latin,
+    coalesce({_chars(KANA)}, 0) + coalesce({_chars(HAN)}, 0) + coalesce({_chars(LATIN)}, 0) AS meaningful FROM {{texts}}) AS n"""
 
 #: Rules in order; confidences in thousandths.
 _DETECT = f"""
@@ -25,13 +42,13 @@ r AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE kana * 1000 [[div||//]] total EN
 SELECT id, text, fallback, kana, han, latin, meaningful,
   CASE WHEN total = 0 THEN fallback
     WHEN kana > 0 AND (kana_share >= 120 OR kana >= 2) THEN 'ja'
-    WHEN latin > 0 AND (latin >= greatest(2, 2 * han) OR latin_share >= 550) THEN 'en'
-    WHEN han > 0 THEN CASE WHEN ja_hints > zh_hints AND length(text) >= 2 THEN 'ja' ELSE 'zh' END
+    WHEN (latin >= greatest(2, 2 * han) OR latin_share >= 550) THEN 'en'
+    WHEN han > 0 THEN CASE WHEN ja_hints > zh_hints AND length(trim(text)) >= 2 THEN 'ja' ELSE 'zh' END
     WHEN latin > 0 THEN 'en' ELSE fallback END AS language,
   CAST(CASE WHEN total = 0 THEN 0
     WHEN kana > 0 AND (kana_share >= 120 OR kana >= 2) THEN least(990, 720 + kana_share [[div||//]] 4)
-    WHEN latin > 0 AND (latin >= greatest(2, 2 * han) OR latin_share >= 550) THEN least(980, 620 + latin_share * 3 [[div||//]] 10)
-    WHEN han > 0 THEN CASE WHEN ja_hints > zh_hints AND length(text) >= 2 THEN 580 ELSE least(900, 620 + 30 * least(han, 8) + 40 * zh_hints) END
+    WHEN (latin >= greatest(2, 2 * han) OR latin_share >= 550) THEN least(980, 620 + latin_share * 3 [[div||//]] 10)
+    WHEN han > 0 THEN CASE WHEN ja_hints > zh_hints AND length(trim(text)) >= 2 THEN 580 ELSE least(900, 620 + 30 * least(han, 8) + 40 * zh_hints) END
     WHEN latin > 0 THEN 550 ELSE 0 END AS BIGINT) AS confidence
 FROM r"""
 
@@ -49,7 +66,7 @@ SELECT id, CASE WHEN {_n(HAN)} > 0 THEN false WHEN {_n('[Α-ω]')} > 0 THEN true
 FROM {{texts}} WHERE text IS NOT NULL""")
 keep_as_is = Relation("P13", "SELECT id, [[text rlike '^[0-9 !?.,%+-]+$'||regexp_full_match(text, '[0-9 !?.,%+-]+')]] AS keep FROM {texts} WHERE text IS NOT NULL")
 char_class = Relation("F16", f"""
-SELECT id, {_n('[!-/:-@¿¡«»、。！？]')} AS punctuation, {_n('[0-9]')} AS digits, {_n('[ ]')} AS blanks, {_n('[A-Z]')} AS upper_letters, {_n('[a-z]')} AS lower_letters
+SELECT id, {_chars('[!-/:-@¿¡«»、。！？]')} AS punctuation, {_chars('[0-9]')} AS digits, {_chars('[ ]')} AS blanks, {_chars('[A-Z]')} AS upper_letters, {_chars('[a-z]')} AS lower_letters
 FROM {{texts}} WHERE text IS NOT NULL""")
 word_count = Relation("F13", f"SELECT id, {_n('[A-Za-z]+')} AS english_words, {_n('[0-9]+')} AS numbers FROM {{texts}} WHERE text IS NOT NULL")
 name_heuristic = Relation("P14", """

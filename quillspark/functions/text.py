@@ -1,5 +1,5 @@
-"""Text functions: normalising, numbers and units, names, colours, sizes,
-layout, translation checks, JSON imports."""
+"""Text functions over relations: names, colours, layout, backends, JSON imports.
+Checks of translations are in ``quality``."""
 
 from ..relation import Relation
 
@@ -16,6 +16,11 @@ def _gsub(column: str, pattern: str, by: str) -> str:
     return f"[[regexp_replace({column}, '{pattern}', '{by}')||regexp_replace({column}, '{pattern}', '{by}', 'g')]]"
 
 
+def _gone(column: str, chars: str) -> str:
+    """Characters of a class: what is gone without its runs."""
+    return f"length({column}) - length({_gsub(column, chars + '+', '')})"
+
+
 _S = "[[STRING||VARCHAR]]"
 safe_names = Relation("F17 F18 K10", f"SELECT id, {_gsub('regexp_extract(name, ' + chr(39) + '[^/]+$' + chr(39) + ', 0)', '[^A-Za-z0-9._ -]', '_')} AS safe, lower(regexp_extract(name, '[.][^./]*$', 0)) AS suffix FROM {{names}}")
 natural_sort = Relation("T6", f"""
@@ -27,43 +32,15 @@ SELECT id, ok, CASE WHEN ok THEN r ELSE -1 END AS r, CASE WHEN ok THEN g ELSE -1
 FROM (SELECT id, [[hex rlike '^#[0-9a-fA-F]{6}$'||regexp_full_match(hex, '#[0-9a-fA-F]{6}')]] AS ok,
   [[CAST(conv(substring(hex, 2, 2), 16, 10) AS BIGINT)||TRY_CAST('0x' || substring(hex, 2, 2) AS BIGINT)]] AS r, [[CAST(conv(substring(hex, 4, 2), 16, 10) AS BIGINT)||TRY_CAST('0x' || substring(hex, 4, 2) AS BIGINT)]] AS g,
   [[CAST(conv(substring(hex, 6, 2), 16, 10) AS BIGINT)||TRY_CAST('0x' || substring(hex, 6, 2) AS BIGINT)]] AS b FROM {colours}) AS c""".replace("{6}", "[0-9a-fA-F]" * 5))
-format_sizes = Relation("F20", f"""
-SELECT page_id, CASE WHEN bytes < 1024 THEN CAST(bytes AS {_S}) || ' B' WHEN bytes < 1048576 THEN CAST(bytes [[div||//]] 1024 AS {_S}) || '.' || CAST(bytes % 1024 * 10 [[div||//]] 1024 AS {_S}) || ' KB' ELSE CAST(bytes [[div||//]] 1048576 AS {_S}) || ' MB' END AS size_text,
-  CASE WHEN bytes < 1000 THEN CAST(bytes AS {_S}) || ' ms' ELSE CAST(bytes [[div||//]] 1000 AS {_S}) || 's' END AS duration_text FROM {{files}}""")
-_KANA, _HAN, _LAT = "[ぁ-ゖァ-ヺー]", "[㐀-鿿]", "[A-Za-z]"
-_SRC, _DST = _gsub("source", "[^A-Za-z0-9ぁ-ゖァ-ヺー㐀-鿿]", ""), _gsub("translated", "[^A-Za-z0-9ぁ-ゖァ-ヺー㐀-鿿]", "")
-quality = Relation("F11 A.12", f"""
-WITH c AS (SELECT *, {_SRC} AS src, {_DST} AS dst, {_n(_KANA, 'translated')} AS kana, {_n(_HAN, 'translated')} AS han, {_n(_LAT, 'translated')} AS latin, {_n(_HAN, 'translated')} + {_n(_KANA, 'translated')} AS cjk,
-  {_n('[A-Za-z]+', 'translated')} AS words, {_n('[0-9]+', 'source')} AS numbers FROM {{pairs}})
-SELECT id, backend IN ('google', 'mymemory', 'glossary', 'original') AS fallback_backend,
-  length(src) > 0 AND (length(dst) = 0 OR length(dst) < greatest(2, length(src) [[div||//]] 4)) AS too_short,
-  source_lang = 'ja' AND target_lang = 'zh' AND kana >= 2 AND kana * 100 > 15 * length(dst) AS residual_kana,
-  numbers > 0 AND {_n('[0-9]+', 'translated')} = 0 AS missing_numbers,
-  {_n('[%$€£¥℃℉+#@=]', 'source')} > {_n('[%$€£¥℃℉+#@=]', 'translated')} AS missing_symbols,
-  source_lang = 'en' AND target_lang = 'zh' AND words >= 3 AS residual_english,
-  lower({_gsub('source', '[ ]', '')}) = lower({_gsub('translated', '[ ]', '')}) AND length({_gsub('source', '[ ]', '')}) >= 4 AS same_as_source,
-  [[translated rlike '[*][*]|^Translation:'||regexp_matches(translated, '[*][*]|^Translation:')]] AS explanation,
-  target_lang = 'en' AND cjk >= 3 AND cjk > latin AS english_expected, target_lang = 'ja' AND han >= 4 AND kana = 0 AS japanese_expected FROM c""")
-quality_count = Relation("F11 J6", f"""
-SELECT p.id, CAST(count(t.id) AS BIGINT) AS missing_terms FROM {{pairs}} p LEFT JOIN {{terms}} t ON t.lang = p.source_lang AND t.target_lang = p.target_lang AND NOT t.disabled
-  AND contains(lower(p.source), lower(t.source)) AND NOT contains(p.translated, t.target) GROUP BY p.id""")
-units = Relation("F12", """
-SELECT id, [[source rlike '[0-9] ?(kg|km|cm|lb)'||regexp_matches(source, '[0-9] ?(kg|km|cm|lb)')]] AS has_unit,
-  [[source rlike '[0-9] ?kg'||regexp_matches(source, '[0-9] ?kg')]] AND NOT (contains(translated, '公斤') OR contains(translated, '千克') OR contains(translated, 'kg')) AS unit_missing FROM {pairs}""")
-entities = Relation("F8 F9", f"""
-WITH e AS (SELECT doc_id, [[posexplode(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+', 0)) AS (pos, name)||unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'), 1) - 1 AS pos]] FROM {{documents}}),
-f AS (SELECT doc_id, lower(name) AS name, min(pos) AS first FROM e GROUP BY doc_id, lower(name)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS rn FROM f)
-SELECT doc_id, name, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 12""")
-bounded = Relation("F14 T5", "SELECT doc_id, CASE WHEN length(t) > 1200 THEN substring(t, 1, 1199) || '…' ELSE t END AS bounded FROM (SELECT doc_id, replace(text, chr(13), '') AS t FROM {documents}) AS x")
 zh_layout = Relation("F15", "SELECT grp, ord, [[array_join(filter(transform(split(text, chr(10)), x -> trim(x)), x -> x <> ''), '')||array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '')]] AS laid_out FROM {lines}")
 group_text = Relation("A9 A18", "SELECT grp, [[listagg(text, chr(10)) WITHIN GROUP (ORDER BY ord)||string_agg(text, chr(10) ORDER BY ord)]] AS block, CAST(max(length(text)) AS BIGINT) AS longest FROM {lines} WHERE trim(text) <> '' GROUP BY grp")
 line_distribution = Relation("W12 J20", """
 WITH b AS (SELECT grp, ord, [[split(text, '[.] ')||regexp_split_to_array(text, '[.] ')]] AS parts, row_number() OVER (PARTITION BY grp ORDER BY ord) AS i FROM {lines})
 SELECT grp, ord, [[element_at(parts, CAST(least(i, size(parts)) AS INT))||parts[least(i, len(parts))]]] AS line FROM b""")
-wrap_estimate = Relation("F22 F23", f"""
-WITH u AS (SELECT grp, ord, {_n('[ ]', 'text')} * 35 + {_n('[a-z]', 'text')} * 50 + {_n('[A-Z]', 'text')} * 58 + (length(text) - {_n('[ ]', 'text')} - {_n('[a-z]', 'text')} - {_n('[A-Z]', 'text')}) * 100 AS units FROM {{lines}}),
-s AS (SELECT u.*, [[explode(sequence(8, 48))||unnest(range(8, 49))]] AS size FROM u)
-SELECT grp, ord, CAST(coalesce(max(CASE WHEN ((units * size + 59999) [[div||//]] 60000) * size * 12 <= 10 * 400 THEN size END), 8) AS BIGINT) AS font_size FROM s GROUP BY grp, ord""")
+wrap_estimate = Relation("F23", f"""
+WITH n AS (SELECT grp, ord, length(text) AS n, {_gone('text', '[ ]')} AS blanks, {_gone('text', '[a-z]')} AS low, {_gone('text', '[A-Z]')} AS up FROM {{lines}}),
+u AS (SELECT grp, ord, blanks * 35 + low * 50 + up * 58 + (n - blanks - low - up) * 100 AS units FROM n)
+SELECT grp, ord, CAST(coalesce([[array_max(filter(sequence(8, 48), s -> ((units * s + 59999) div 60000) * s * 12 <= 10 * 400))||list_max(list_filter(range(8, 49), lambda s: ((units * s + 59999) // 60000) * s * 12 <= 10 * 400))]], 8) AS BIGINT) AS font_size FROM u""")
 first_backend = Relation("W15 A.11", """
 WITH r AS (SELECT id, backend, result, row_number() OVER (PARTITION BY id ORDER BY rank) AS rn FROM {backends} WHERE trim(coalesce(result, '')) <> '')
 SELECT i.id, coalesce(r.backend, 'original') AS backend, r.result FROM (SELECT DISTINCT id FROM {backends}) AS i LEFT JOIN r ON i.id = r.id AND r.rn = 1""")
@@ -75,7 +52,6 @@ device = Relation("F26 F27 F28", """
 SELECT id, CASE WHEN lower(name) LIKE '%gpu%' OR lower(name) LIKE 'page%' THEN 'gpu:0' ELSE 'cpu' END AS device, [[lower(name) rlike 'cuda|cudnn|memory|page2'||regexp_matches(lower(name), 'cuda|cudnn|memory|page2')]] AS gpu_error,
   coalesce([[try_cast(regexp_extract(name, '[0-9]+', 0) AS INT)||TRY_CAST(regexp_extract(name, '[0-9]+', 0) AS INT)]], 8000) AS port FROM {names}""")
 conjunction = Relation("F24", "SELECT grp, [[upper(min_by(regexp_extract(text, '^[A-Za-z]+', 0), ord))||upper(arg_min(regexp_extract(text, '^[A-Za-z]+', 0), ord))]] IN ('AND', 'BUT', 'OR', 'SO', 'THEN', 'ALSO') AS continues FROM {lines} GROUP BY grp")
-strip_prefix = Relation("F5 F6", f"SELECT id, {_gsub('translated', '^Translation: ?|[*][*]', '')} AS cleaned, CASE WHEN {_n('[♪♥★]', 'source')} > 0 THEN 1 ELSE 0 END AS decorated FROM {{pairs}}")
 tokens_file = Relation("S16", "SELECT id, name, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS token FROM {names}")
 path_confined = Relation("S20 P25", "SELECT id, [[startswith(name, 'ch2/')||starts_with(name, 'ch2/')]] AND NOT contains(name, '..') AS confined FROM {names}")
 
@@ -85,11 +61,11 @@ SELECT id, [[array_join(sort_array(array_except(a, b)), ',')||array_to_string(li
   [[arrays_overlap(array(source_lang, target_lang), array('en', 'zh'))||list_has_any([source_lang, target_lang], ['en', 'zh'])]] AS en_or_zh FROM n""")
 
 QUERIES = {
-    "q_safe_names": safe_names, "q_natural_sort": natural_sort, "q_ext_filter": extension, "q_batch_names": contains_name, "q_hex_color": hex_colour, "q_format_bytes": format_sizes,
-    "q_numbers_diff": numbers_diff, "q_quality_all": quality, "q_quality_terms": quality_count, "q_units": units, "q_entities": entities, "q_bounded_text": bounded, "q_zh_layout": zh_layout,
+    "q_safe_names": safe_names, "q_natural_sort": natural_sort, "q_ext_filter": extension, "q_batch_names": contains_name, "q_hex_color": hex_colour,
+    "q_numbers_diff": numbers_diff, "q_zh_layout": zh_layout,
     "q_group_text": group_text, "q_line_distribution": line_distribution, "q_wrap_estimate": wrap_estimate, "q_first_backend": first_backend, "q_ocr_unnest": unnest_ocr,
-    "q_device": device, "q_conjunction": conjunction, "q_strip_prefix": strip_prefix, "q_alphabet": tokens_file, "q_path_confined": path_confined,
+    "q_device": device, "q_conjunction": conjunction, "q_alphabet": tokens_file, "q_path_confined": path_confined,
     "q_safe_names_pages": (safe_names, {"names": "page_names"}), "q_natural_sort_pages": (natural_sort, {"names": "page_names"}), "q_ext_filter_pages": (extension, {"names": "page_names"}),
-    "q_hex_color_pages": (hex_colour, {"colours": "page_colours"}), "q_numbers_diff_docs": (numbers_diff, {"pairs": "doc_pairs"}), "q_units_docs": (units, {"pairs": "doc_pairs"}),
+    "q_hex_color_pages": (hex_colour, {"colours": "page_colours"}), "q_numbers_diff_docs": (numbers_diff, {"pairs": "doc_pairs"}),
     "q_first_backend_turns": (first_backend, {"backends": "turn_backends"}),
 }

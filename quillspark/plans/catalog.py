@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scripts, segments, text
+from ..functions import quality, scripts, segments, text
 from ..operators import engines, glossary, greedy, regions, tasks, terms
 from ..relation import Relation
 from ..sources import imports
 from ..sources.frames import ansi_sources, frame
 from ..streaming import queue
+from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,3 +108,50 @@ ORACLE_SQL |= {
     "q_term_replace_literal": terms.replaced_sql([("and the", "AND-THE"), ("of the", "OF-THE"), ("thing", "THING"), ("erin", "ERIN"), ("the", "THE-2")], "en"),
     "q_alias_expand": _ctes(("terms",), terms.ALIASES),
 }
+
+
+def _warnings(pairs: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, glossary_terms = frame(spark, sf_dir, pairs), frame(spark, sf_dir, "terms")
+        targets = terms.missing_terms(rows, glossary_terms).join(F.broadcast(glossary_terms.select(F.col("id").alias("term"), "target")), "term")
+        lost = targets.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("term", "target"))), lambda x: x["target"]).alias("terms"))
+        return quality.warnings_of(rows, lost).select("id", F.array_join("warnings", "|").alias("warnings"))
+
+    return run
+
+
+_DOC_PAIRS = "(SELECT d.doc_id AS id, d.text AS source, coalesce(n.text, '') AS translated, d.lang AS source_lang, 'zh' AS target_lang, d.source AS backend FROM documents d LEFT JOIN documents n ON d.doc_id + 1 = n.doc_id)"
+
+
+def _lost(pairs: str) -> str:
+    return terms.missing_sql(pairs).replace("t.id AS term FROM", "t.id AS term, t.target FROM", 1)
+
+
+def _of(name: str, **columns) -> Callable[[SparkSession, str], DataFrame]:
+    """Columns over a frame, each a function of nothing but column names."""
+    return lambda spark, sf_dir: frame(spark, sf_dir, name).select(*(f().alias(c) for c, f in columns.items()))
+
+
+#: Checks, names and bounds (F5, F6, F8, F9, F11, F12, F14, F20); SQL apart.
+QUERIES |= {
+    "q_quality_all": _warnings("pairs"),
+    "q_quality_all_docs": _warnings("doc_pairs"),
+    "q_units": _of("pairs", id=lambda: F.col("id"), unit_missing=lambda: quality.units_missing(F.col("source"), F.col("translated"))),
+    "q_units_docs": _of("doc_pairs", id=lambda: F.col("id"), unit_missing=lambda: quality.units_missing(F.coalesce("source", F.lit("")), F.col("translated"))),
+    "q_entities": _of("documents", doc_id=lambda: F.col("doc_id"), names=lambda: F.array_join(quality.entity_hints(F.coalesce("text", F.lit(""))), "|")),
+    "q_mixed_names": _of("samples", id=lambda: F.col("id"), names=lambda: F.array_join(quality.mixed_names(F.coalesce("text", F.lit(""))), "|")),
+    "q_bounded_text": _of("documents", doc_id=lambda: F.col("doc_id"), bounded=lambda: F.md5(quality.bounded(F.col("text")))),
+    "q_format_bytes": _of("sizes", id=lambda: F.col("id"), size_text=lambda: quality.size_text(F.col("n")), duration_text=lambda: quality.duration_text(F.col("n"))),
+    "q_decorated": _of("pairs", id=lambda: F.col("id"), decorated=lambda: quality.decorated(F.col("source"), F.col("translated"))),
+}
+ORACLE_SQL |= {
+    "q_quality_all": _ctes(("terms", "pairs"), oracles.warnings_sql("pairs", _lost("pairs"))),
+    "q_quality_all_docs": _ctes(("terms",), oracles.warnings_sql(_DOC_PAIRS, _lost(_DOC_PAIRS))),
+    "q_units": _ctes(("pairs",), f"SELECT id, {oracles.units_sql('source', 'translated')} AS unit_missing FROM pairs"),
+    "q_units_docs": f"SELECT id, {oracles.units_sql('coalesce(source, chr(32))', 'translated')} AS unit_missing FROM {_DOC_PAIRS}",
+    "q_mixed_names": _ctes(("samples",), "SELECT id, array_to_string(list_distinct(regexp_extract_all(coalesce(text, ''), '[ァ-ヶー]{1,8}[㐀-鿿]{1,3}')), '|') AS names FROM samples"),
+    "q_entities": oracles.entities_sql(),
+    "q_bounded_text": oracles.BOUNDED,
+    "q_format_bytes": _ctes(("sizes",), oracles.SIZES),
+    "q_decorated": _ctes(("pairs",), oracles.HEARTS),
+}

@@ -93,6 +93,7 @@ FROM {documents} d LEFT JOIN {documents} n ON d.doc_id + 1 = n.doc_id"""),
         (1, "page10.png"), (2, "page2.png"), (3, "Page 1.JPG"), (4, "a/b/c:d?.webp"), (5, "noext"), (6, "x.tar.gz"), (7, "ch2/p1.png"), (8, "ch10/p1.png"), (9, "ch2/p01.png"), (10, "photo.jpeg"),
     )),
     "colours": Relation("D5", _values("id, hex", (1, "#FF8000"), (2, "#000000"), (3, "#ffffff"), (4, "red"), (5, "#12345"), (6, "#0a1B2c"))),
+    "sizes": Relation("D15", _values("id, n", *((i, n) for i, n in enumerate((0, 1, 999, 1000, 1023, 1024, 1536, 1075, 9999, 10189, 10240, 59_950, 1048575, 1048576, 1310720, 10485760, 1073741823, 1073741824, 1610612736, 107374182400))))),
     "rawocr": Relation("D6", """
 SELECT id, texts, scores FROM (
   SELECT 1 AS id, [[array('a', ' ', 'c')||['a', ' ', 'c']]] AS texts, [[array(0.9D, 0.8D)||[0.9::DOUBLE, 0.8::DOUBLE]]] AS scores
