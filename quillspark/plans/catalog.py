@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quality, scripts, segments, text
-from ..operators import engines, glossary, greedy, regions, tasks, terms
+from ..functions import layout, quality, scripts, segments, text
+from ..operators import engines, glossary, greedy, quads, regions, tasks, terms
 from ..relation import Relation
-from ..sources import imports
+from ..sources import imports, settings
 from ..sources.frames import ansi_sources, frame
 from ..streaming import queue
 from . import oracles
@@ -155,3 +155,34 @@ ORACLE_SQL |= {
     "q_format_bytes": _ctes(("sizes",), oracles.SIZES),
     "q_decorated": _ctes(("pairs",), oracles.HEARTS),
 }
+
+
+def _task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task a user: its events in the order of their times."""
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("processing")
+    return settings.task_states(frame(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("at"), status.alias("status")))
+
+
+def _files_zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in batches of 100, their html as the files."""
+    pages = frame(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 100).alias("batch"), F.col("page_id").alias("idx"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    return settings.zip_batches(pages).select("batch", "n_files", "error")
+
+
+#: Layout, quads, drags, states, files.
+QUERIES |= {
+    "q_wrapped_lines": _over("lines", lambda rows: layout.wrapped(rows, ("grp", "ord"), 24.0).select("grp", "ord", F.array_join("lines", "|").alias("lines"))),
+    "q_semantic_columns": _over("lines", lambda rows: layout.columns(rows, ("grp", "ord"), 24).select("grp", "ord", F.array_join("lines", "|").alias("columns"))),
+    "q_quads": _over("regions", quads.described),
+    "q_dragged": _over("regions", lambda r: r.select("page", "ord", settings.dragged(F.col("x0") - 300, F.col("y0") + 200, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1200), F.lit(900)).alias("b")).select("page", "ord", "b.x", "b.y", "b.w", "b.h")),
+    "q_task_states": _task_log,
+    "q_zip_batches": _files_zipped,
+}
+ORACLE_SQL |= {
+    # upright boxes: the longer side tells the direction, the corners are whole numbers
+    "q_quads": _ctes(("regions",), """SELECT page, ord, CASE WHEN x1 - x0 <= y1 - y0 THEN 'v' ELSE 'h' END AS direction, CAST(least(x1 - x0, y1 - y0) AS BIGINT) AS font_size,
+  CAST(floor(1000 * ((x1 - x0)::DOUBLE / (y1 - y0))) AS BIGINT) AS aspect, true AS valid FROM regions"""),
+    "q_dragged": _ctes(("regions",), """SELECT page, ord, least(greatest(x0 - 300, 18 - w), 1182) AS x, least(greatest(y0 + 200, 18 - h), 882) AS y, w, h FROM (
+  SELECT *, CAST(least(greatest(x1 - x0, 28), 1152) AS BIGINT) AS w, CAST(least(greatest(y1 - y0, 28), 864) AS BIGINT) AS h FROM regions) AS r"""),
+    "q_zip_batches": "SELECT page_id // 100 AS batch, CAST(sum(CASE WHEN html IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_files, NULL::VARCHAR AS error FROM pages GROUP BY 1",
+}
