@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import Bitmap, buckets_for, mix, range_bucket, raw, six_bytes, slices, split_by
 
 LENGTH, GRAM = 50, 24
+#: Document buckets to each partition of the input.
+HOMES = 6
 #: Bits of the marks' bitmap: 32 MB at any size of input.
 MARK_BITS = 28
 LAST = np.iinfo(np.int64).max
@@ -299,7 +301,8 @@ def _met(docs: DataFrame, key: str, text: str, length: int, make, schema) -> Dat
     home = "home"
     while home in docs.columns:
         home += "_"
-    bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    # several a shuffle partition, so that these come out even
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets_for(docs, HOMES))).cast("int")
     shared = spark.sparkContext.broadcast(_marks(docs, key, text, length, n))
     answers = _answers(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), bucket.alias("home")), "doc_id", "text", length, n, shared)
 
