@@ -110,16 +110,28 @@ def crc_of(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice has about ``budget`` bytes of ``column``."""
+    """Join or cut batches so that a slice has about ``budget`` bytes of ``column``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        total = int(lengths.sum())
+        if held and size + total > budget:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+        if total <= budget:
+            held.append(batch)
+            size += total
+            continue
         part = np.cumsum(lengths) // budget
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
 
 def raw(column: pa.Array) -> list[bytes]:
