@@ -37,7 +37,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import raw, slices, table
+from .common import WORD_BYTES, raw, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Encoded words, pre-tokens, token pairs and automaton moves that a worker remembers. When a
@@ -387,7 +387,7 @@ def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id",
     def run(batches):
         enc = encoder(tokenizer)
         names = enc.encoded_names
-        for b in slices(batches, text):
+        for b in slices(batches, text, WORD_BYTES):
             packed = enc.encode_many(raw(b.column(text)))
             decoded = [b" ".join(map(names.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed]
             if full:

@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python step works on at once. A longer text is a slice
-#: of its own; nothing is cut.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a Python step works on at once; what counts or encodes
+#: distinct words gains by more. A longer text is a slice of its own; nothing is cut.
+SLICE_BYTES, WORD_BYTES = 1 << 20, 2 << 20
 #: Bytes of a row group in the tables that are written on the way: a task holds
 #: one in memory.
 ROW_GROUP = 16 << 20

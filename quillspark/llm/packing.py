@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, encoder
-from .common import raw, slices, written
+from .common import WORD_BYTES, raw, slices, written
 
 CAPACITY = 2048
 #: Lengths up to 1 / SMALL_SHARE of the capacity are small; groups of large
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 
     def run(batches):
         enc = encoder(tokenizer)
-        for b in slices(batches, text):
+        for b in slices(batches, text, WORD_BYTES):
             rows, piece, start, length, crc, salt = [], [], [], [], [], []
             for i, ids in enumerate(enc.encode_many(raw(b.column(text)))):
                 ids += stop
