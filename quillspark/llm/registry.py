@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, cover_tree, near_dup, packing, quality_knn, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, byte_bpe, class_lm, cover_tree, near_dup, packing, periodic, quality_knn, quality_rules, suffix_dedup, toxicity, url_filter
 from .common import bound_batches
 
 def _bounded(query):
@@ -25,6 +25,8 @@ _QUERIES = {
     "op8_class_lm": class_lm.op8_class_lm,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 QUERIES = {name: _bounded(query) for name, query in _QUERIES.items()}
