@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, class_lm, cover_tree, near_dup, packing, periodic, quality_knn, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, byte_bpe, class_lm, cover_tree, near_dup, packing, periodic, prefix_trie, quality_knn, quality_rules, suffix_dedup, toxicity, url_filter
 from .common import bound_batches
 
 def _bounded(query):
@@ -25,6 +25,7 @@ _QUERIES = {
     "op8_class_lm": class_lm.op8_class_lm,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -36,4 +37,5 @@ QUERIES = {name: _bounded(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
     "op1_topk_search": cover_tree.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
