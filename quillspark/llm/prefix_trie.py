@@ -395,7 +395,9 @@ def prefix_trie(conversations: DataFrame, borrows: bool = False) -> DataFrame:
     )
 
 
-_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), z -> unicode(z)::UBIGINT)), (s, z) -> list_reduce(list_prepend(xor(s, z), list_transform(range(8), k -> k::UBIGINT)), (q, k) -> xor(q >> 1, CASE WHEN q & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT)"
+#: crc32 of the decimal id: its bytes, then eight halvings each.
+_HALVINGS = "list_reduce(list_prepend(xor(s, z), list_transform(range(8), lambda k: k::UBIGINT)), lambda q, k: xor(q >> 1, CASE WHEN q & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(s.c::VARCHAR, ''), lambda z: unicode(z)::UBIGINT)), lambda s, z: {_HALVINGS}), 4294967295::UBIGINT)"
 
 #: A node is the joined digests of its turns; the paths of all nodes are cut
 #: at each depth to give their ancestors.
@@ -405,7 +407,7 @@ WITH turns AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 sizes AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
-plans AS (SELECT s.c, s.c - s.c % 20 AS f, {_CRC.replace('(c::', '(s.c::')} % 4 AS h FROM sizes s),
+plans AS (SELECT s.c, s.c - s.c % 20 AS f, {_CRC} % 4 AS h FROM sizes s),
 convs AS (SELECT p.c, p.f, p.h, least(p.h, coalesce(b.n, 0)) AS m FROM plans p LEFT JOIN sizes b ON b.c = p.f),
 rebuilt AS (
   SELECT v.c, t.i AS d, t.x, t.y FROM convs v JOIN turns t ON t.c = v.f AND t.i <= v.h
