@@ -60,8 +60,6 @@ iou_matrix = Relation("J17 G1 G2 G3", f"""
 SELECT a.page, a.ord AS a, b.ord AS b, CAST({_IOU} AS BIGINT) AS iou, CAST({_OVX} * {_OVY} * 1000 [[div||//]] greatest(1, least({_A}, {_B})) AS BIGINT) AS overlap,
   CAST({_GAPX} AS BIGINT) AS gap_x, CAST({_GAPY} AS BIGINT) AS gap_y
 FROM {{regions}} a JOIN {{regions}} b ON a.page = b.page AND a.ord < b.ord""")
-iou_anti = Relation("J11", f"""
-SELECT a.page, a.ord FROM {{regions}} a [[LEFT ANTI||ANTI]] JOIN {{regions}} b ON a.page = b.page AND b.direction = 'v' AND {_IOU} > 30 WHERE a.direction = 'h'""")
 adjacent = Relation("J15 A24", f"""
 SELECT a.page, a.ord AS a, b.ord AS b, {_ADJACENT} AS adjacent FROM {{regions}} a JOIN {{regions}} b ON a.page = b.page AND a.ord < b.ord""")
 adjacent_any = Relation("J15 A24", f"""
@@ -173,7 +171,7 @@ QUERIES = {
     "q_page_language_vote": page_vote, "q_group_language": group_vote, "q_page_consensus": consensus, "q_language_buckets": language_buckets,
     "q_threshold_filter": thresholds, "q_erase_only_anti": erase_only, "q_text_plus_erase": text_plus_erase, "q_keep_all_if_empty": keep_all_if_empty,
     "q_box_sanity": box_sanity, "q_drop_flagged": drop_flagged, "q_strip_band": strip_band, "q_candidate_sufficient": candidate_ok, "q_overlap_pairs": iou_matrix,
-    "q_iou_antijoin": iou_anti, "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_groups_separated": separated, "q_box_union": box_union,
+    "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_groups_separated": separated, "q_box_union": box_union,
     "q_compact_groups": compact, "q_padded_boxes": padded, "q_contains_pairs": contains, "q_nearest_fragment": nearest, "q_nearest_merged": nearest_merged,
     "q_reading_order": reading_order, "q_candidate_topk": best_candidate, "q_top_ranked": top_ranked, "q_best_split": best_split,
     "q_direction_majority": direction_majority, "q_sample_stats": sample_stats, "q_first_non_empty": first_non_empty, "q_grouped_or_single": grouped_or_single,

@@ -13,7 +13,7 @@ from ..relation import Relation
 from ..sources import imports, settings
 from ..sources.frames import ansi_sources, frame
 from ..streaming import queue
-from . import oracles
+from . import geometry, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,3 +186,6 @@ ORACLE_SQL |= {
   SELECT *, CAST(least(greatest(x1 - x0, 28), 1152) AS BIGINT) AS w, CAST(least(greatest(y1 - y0, 28), 864) AS BIGINT) AS h FROM regions) AS r"""),
     "q_zip_batches": "SELECT page_id // 100 AS batch, CAST(sum(CASE WHEN html IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_files, NULL::VARCHAR AS error FROM pages GROUP BY 1",
 }
+
+QUERIES |= geometry.QUERIES
+ORACLE_SQL |= {name: _ctes(frames, text) for name, (frames, text) in geometry.ORACLES.items()}

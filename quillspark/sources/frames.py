@@ -36,6 +36,12 @@ SELECT l_orderkey AS page,
   CASE l_linestatus WHEN 'O' THEN 'h' ELSE 'v' END AS direction,
   CASE WHEN l_partkey % 2 = 0 THEN 'mit48' ELSE 'paddle' END AS engine
 FROM {lineitem} AS d"""),
+    # strip: the same boxes on one long page, which is as hot as a page can be
+    "strip": Relation("D5", """
+SELECT 0 AS page, l_orderkey * 8 + l_linenumber AS ord, l_partkey % 1000 AS x0, l_orderkey * 10 + l_suppkey * 7 % 60 AS y0,
+  l_partkey % 1000 + 20 + 4 * CAST(l_quantity AS BIGINT) AS x1, l_orderkey * 10 + l_suppkey * 7 % 60 + 15 + l_partkey % 40 AS y1,
+  CASE l_linestatus WHEN 'O' THEN 'h' ELSE 'v' END AS direction
+FROM {lineitem}"""),
     # tasks: one per event
     "tasks": Relation("D3", """
 SELECT event_id AS id,
