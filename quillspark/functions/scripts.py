@@ -57,34 +57,16 @@ detect_language = Relation("F1 D12", f"SELECT id, language, confidence FROM ({_D
 region_hint = Relation("F2 P31", f"""
 SELECT id, CASE WHEN text IS NULL OR trim(text) = '' THEN fallback ELSE language END AS language,
   CASE WHEN text IS NULL OR trim(text) = '' THEN 0 WHEN meaningful <= 1 THEN least(450, confidence) ELSE confidence END AS confidence FROM ({_DETECT}) AS d""")
-latin_label = Relation("P9", f"""
-SELECT id, {_n(LATIN)} >= 4 AND {_n(LATIN)} * 10 >= 7 * length([[regexp_replace(text, '[ \\t\\n]', '')||regexp_replace(text, '[ \\t\\n]', '', 'g')]]) AS keep_label
-FROM {{texts}} WHERE text IS NOT NULL""")
-ocr_garbage = Relation("P10 P11", f"""
-SELECT id, CASE WHEN {_n(HAN)} > 0 THEN false WHEN {_n('[Α-ω]')} > 0 THEN true
-  WHEN {_n(LATIN)} > 0 AND {_n('[A-Za-z][A-Za-z][A-Za-z]')} = 0 AND ({_n(KANA)} <= 1 OR {_n('[0-9]')} > 0) THEN true ELSE false END AS suspicious
-FROM {{texts}} WHERE text IS NOT NULL""")
 keep_as_is = Relation("P13", "SELECT id, [[text rlike '^[0-9 !?.,%+-]+$'||regexp_full_match(text, '[0-9 !?.,%+-]+')]] AS keep FROM {texts} WHERE text IS NOT NULL")
 char_class = Relation("F16", f"""
 SELECT id, {_chars('[!-/:-@¿¡«»、。！？]')} AS punctuation, {_chars('[0-9]')} AS digits, {_chars('[ ]')} AS blanks, {_chars('[A-Z]')} AS upper_letters, {_chars('[a-z]')} AS lower_letters
 FROM {{texts}} WHERE text IS NOT NULL""")
-word_count = Relation("F13", f"SELECT id, {_n('[A-Za-z]+')} AS english_words, {_n('[0-9]+')} AS numbers FROM {{texts}} WHERE text IS NOT NULL")
-name_heuristic = Relation("P14", """
-SELECT id, [[size(regexp_extract_all(text, '[A-Za-z]+', 0))||len(regexp_extract_all(text, '[A-Za-z]+'))]] BETWEEN 1 AND 3
-  AND [[forall(regexp_extract_all(text, '[A-Za-z]+', 0), w -> w rlike '^[A-Z]')||len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0]] AS looks_like_name
-FROM {texts} WHERE text IS NOT NULL""")
 QUERIES = {
     "q_lang_detect": (detect_language, {"texts": "doc_texts"}),
     "q_lang_detect_cjk": (detect_language, {"texts": "samples"}),
     "q_region_hint": (region_hint, {"texts": "samples"}),
     "q_script_counts": (script_counts, {"texts": "samples"}),
     "q_script_counts_docs": (script_counts, {"texts": "doc_texts"}),
-    "q_latin_label": (latin_label, {"texts": "samples"}),
-    "q_latin_label_docs": (latin_label, {"texts": "doc_texts"}),
-    "q_ocr_garbage": (ocr_garbage, {"texts": "samples"}),
-    "q_ocr_garbage_docs": (ocr_garbage, {"texts": "doc_texts"}),
     "q_keep_as_is": (keep_as_is, {"texts": "samples"}),
     "q_charclass": (char_class, {"texts": "doc_texts"}),
-    "q_word_count": (word_count, {"texts": "doc_texts"}),
-    "q_name_heuristic": (name_heuristic, {"texts": "samples"}),
 }

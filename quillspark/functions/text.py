@@ -34,9 +34,6 @@ FROM (SELECT id, [[hex rlike '^#[0-9a-fA-F]{6}$'||regexp_full_match(hex, '#[0-9a
   [[CAST(conv(substring(hex, 6, 2), 16, 10) AS BIGINT)||TRY_CAST('0x' || substring(hex, 6, 2) AS BIGINT)]] AS b FROM {colours}) AS c""".replace("{6}", "[0-9a-fA-F]" * 5))
 zh_layout = Relation("F15", "SELECT grp, ord, [[array_join(filter(transform(split(text, chr(10)), x -> trim(x)), x -> x <> ''), '')||array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '')]] AS laid_out FROM {lines}")
 group_text = Relation("A9 A18", "SELECT grp, [[listagg(text, chr(10)) WITHIN GROUP (ORDER BY ord)||string_agg(text, chr(10) ORDER BY ord)]] AS block, CAST(max(length(text)) AS BIGINT) AS longest FROM {lines} WHERE trim(text) <> '' GROUP BY grp")
-line_distribution = Relation("W12 J20", """
-WITH b AS (SELECT grp, ord, [[split(text, '[.] ')||regexp_split_to_array(text, '[.] ')]] AS parts, row_number() OVER (PARTITION BY grp ORDER BY ord) AS i FROM {lines})
-SELECT grp, ord, [[element_at(parts, CAST(least(i, size(parts)) AS INT))||parts[least(i, len(parts))]]] AS line FROM b""")
 wrap_estimate = Relation("F23", f"""
 WITH n AS (SELECT grp, ord, length(text) AS n, {_gone('text', '[ ]')} AS blanks, {_gone('text', '[a-z]')} AS low, {_gone('text', '[A-Z]')} AS up FROM {{lines}}),
 u AS (SELECT grp, ord, blanks * 35 + low * 50 + up * 58 + (n - blanks - low - up) * 100 AS units FROM n)
@@ -63,7 +60,7 @@ SELECT id, [[array_join(sort_array(array_except(a, b)), ',')||array_to_string(li
 QUERIES = {
     "q_safe_names": safe_names, "q_natural_sort": natural_sort, "q_ext_filter": extension, "q_batch_names": contains_name, "q_hex_color": hex_colour,
     "q_numbers_diff": numbers_diff, "q_zh_layout": zh_layout,
-    "q_group_text": group_text, "q_line_distribution": line_distribution, "q_wrap_estimate": wrap_estimate, "q_first_backend": first_backend, "q_ocr_unnest": unnest_ocr,
+    "q_group_text": group_text, "q_wrap_estimate": wrap_estimate, "q_first_backend": first_backend, "q_ocr_unnest": unnest_ocr,
     "q_device": device, "q_conjunction": conjunction, "q_alphabet": tokens_file, "q_path_confined": path_confined,
     "q_safe_names_pages": (safe_names, {"names": "page_names"}), "q_natural_sort_pages": (natural_sort, {"names": "page_names"}), "q_ext_filter_pages": (extension, {"names": "page_names"}),
     "q_hex_color_pages": (hex_colour, {"colours": "page_colours"}), "q_numbers_diff_docs": (numbers_diff, {"pairs": "doc_pairs"}),

@@ -29,7 +29,6 @@ t AS (SELECT *, sum(weight) OVER (PARTITION BY {key}) AS total, row_number() OVE
 SELECT {key}, lang, CAST(weight * 1000 [[div||//]] total AS BIGINT) AS share, CAST(least(990, greatest(450, weight * 1000 [[div||//]] total + 350)) AS BIGINT) AS confidence, CAST(n_langs AS BIGINT) AS n_langs
 FROM t WHERE rn = 1"""
 page_vote = Relation("A3 T7", _VOTE.format(key="page"))
-group_vote = Relation("A4", _VOTE.format(key="page, direction"))
 consensus = Relation("A5", """
 WITH h AS (SELECT page, lang, count(*) AS n, min(ord) AS first FROM {regions} WHERE conf >= 650 GROUP BY page, lang),
 t AS (SELECT *, sum(n) OVER (PARTITION BY page) AS total, row_number() OVER (PARTITION BY page ORDER BY n DESC, first) AS rn FROM h)
@@ -168,7 +167,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY length DESC, firs
 SELECT batch, CAST(first AS BIGINT) AS first, CAST(length AS BIGINT) AS length FROM b WHERE rn = 1""")
 
 QUERIES = {
-    "q_page_language_vote": page_vote, "q_group_language": group_vote, "q_page_consensus": consensus, "q_language_buckets": language_buckets,
+    "q_page_language_vote": page_vote, "q_page_consensus": consensus, "q_language_buckets": language_buckets,
     "q_threshold_filter": thresholds, "q_erase_only_anti": erase_only, "q_text_plus_erase": text_plus_erase, "q_keep_all_if_empty": keep_all_if_empty,
     "q_box_sanity": box_sanity, "q_drop_flagged": drop_flagged, "q_strip_band": strip_band, "q_candidate_sufficient": candidate_ok, "q_overlap_pairs": iou_matrix,
     "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_groups_separated": separated, "q_box_union": box_union,
