@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..relation import Relation
 from ..sources import imports, settings
 from ..sources.frames import ansi_sources, frame
 from ..streaming import queue
-from . import geometry, oracles, texts
+from . import geometry, logs, oracles, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,7 +75,9 @@ ORACLE_SQL["q_translate_chain"] = "SELECT conv_id AS grp, turn AS ord, text, CAS
 def _ctes(names: tuple[str, ...], query: str) -> str:
     """``query`` with frames of these names."""
     sources = ansi_sources()
-    return f"WITH {', '.join(f'{n} AS ({sources[n]})' for n in names)} {query}" if not query.lstrip().startswith("WITH") else f"WITH {', '.join(f'{n} AS ({sources[n]})' for n in names)}, {query.lstrip()[5:]}"
+    frames = ", ".join(f"{n} AS ({sources[n]})" for n in names)
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", query)
+    return f"WITH {head[1] or ''}{frames}, {query[head.end() :]}" if head else f"WITH {frames} {query}"
 
 
 def _hits(texts: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -187,6 +190,6 @@ ORACLE_SQL |= {
     "q_zip_batches": "SELECT page_id // 100 AS batch, CAST(sum(CASE WHEN html IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_files, NULL::VARCHAR AS error FROM pages GROUP BY 1",
 }
 
-for _part in (geometry, texts):
+for _part in (geometry, texts, logs):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {name: _ctes(frames, text) if frames else text for name, (frames, text) in _part.ORACLES.items()}

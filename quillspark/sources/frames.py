@@ -67,6 +67,16 @@ SELECT page_id, coalesce(regexp_extract(coalesce(url, ''), '([^/?#]+)([?#].*)?$'
         (7, "the", "THE-2", "en", "zh", "newer", False), (8, "the", "THE-JA", "en", "ja", "", False), (9, "erin", "ERIN", "en", "zh", "Name", False),
         (10, "火影", "HOKAGE", "ja", "zh", "", False), (11, "忍者", "NINJA", "ja", "zh", "", False), (12, "and the", "AND-THE", "en", "zh", "", False), (13, "漢字", "KANJI", "ja", "zh", "", False),
     )),
+    # a glossary of parts and a log of changes to it; changes stay within fifty groups of parts
+    "part_terms": Relation("D1 D2", """
+SELECT p_partkey AS id, p_name || ' ' || CAST(p_partkey AS [[STRING||VARCHAR]]) AS source, p_brand AS target, 'en' AS lang, 'zh' AS target_lang, p_type AS note, p_partkey % 3 = 0 AS builtin, p_partkey % 7 = 0 AS disabled,
+  p_partkey % 50 AS grp FROM {part}"""),
+    "part_changes": Relation("D1 D2", """
+SELECT e.seq, e.op, CASE WHEN e.op <> 'create' THEN CASE WHEN e.event_id % 9 = 0 THEN lag(e.seq) OVER (PARTITION BY e.p1 % 50 ORDER BY e.seq) ELSE e.p1 END END AS id, p.p_name || ' ' || CAST(p.p_partkey AS [[STRING||VARCHAR]]) AS source,
+  CASE WHEN e.event_id % 3 = 0 THEN 'new' ELSE p.p_brand END AS target, 'en' AS lang, 'zh' AS target_lang, 'change ' || CAST(e.event_id AS [[STRING||VARCHAR]]) AS note, e.p1 % 50 AS grp
+FROM (SELECT *, (p1 + 50 * (event_id % 4)) % n AS p2 FROM (
+    SELECT event_id, event_id + 1000000000000 AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'disable' ELSE 'create' END AS op, (user_id * 13 + 50 * (event_id % 5)) % n AS p1, n
+    FROM {events} CROSS JOIN (SELECT count(*) AS n FROM {part}) AS s) AS a) AS e JOIN {part} p ON p.p_partkey = e.p2"""),
     "samples": Relation("D12", _values(
         "id, text, fallback",
         (1, "", "ja"), (2, "123 !?", "zh"), (3, "これはペンです", "zh"), (4, "漢字漢字", "ja"), (5, "这是我们的东西", "ja"), (6, "Hello there", "ja"),
