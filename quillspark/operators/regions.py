@@ -54,7 +54,6 @@ drop_flagged = Relation("P8", "SELECT page, ord FROM {regions} WHERE NOT (conf <
 strip_band = Relation("P22 P23", """
 SELECT page, ord, ((x1 - x0) >= 8 * (y1 - y0) AND 100 * (y1 - y0) <= 4 * 900) OR (direction = 'h' AND 2 * (x1 - x0) >= 1200 AND 20 * (y1 - y0) <= 900) AS strip,
   CASE WHEN lang IN ('en', 'zh') THEN 2 * (x1 - x0) >= 1200 AND 10 * (y1 - y0) <= 900 ELSE false END AS band FROM {regions}""")
-candidate_ok = Relation("P15", "SELECT page, ord, conf >= 450 AND (lang = 'en' OR conf < 600) AS sufficient FROM {regions}")
 iou_matrix = Relation("J17 G1 G2 G3", f"""
 SELECT a.page, a.ord AS a, b.ord AS b, CAST({_IOU} AS BIGINT) AS iou, CAST({_OVX} * {_OVY} * 1000 [[div||//]] greatest(1, least({_A}, {_B})) AS BIGINT) AS overlap,
   CAST({_GAPX} AS BIGINT) AS gap_x, CAST({_GAPY} AS BIGINT) AS gap_y
@@ -169,7 +168,7 @@ SELECT batch, CAST(first AS BIGINT) AS first, CAST(length AS BIGINT) AS length F
 QUERIES = {
     "q_page_language_vote": page_vote, "q_page_consensus": consensus, "q_language_buckets": language_buckets,
     "q_threshold_filter": thresholds, "q_erase_only_anti": erase_only, "q_text_plus_erase": text_plus_erase, "q_keep_all_if_empty": keep_all_if_empty,
-    "q_box_sanity": box_sanity, "q_drop_flagged": drop_flagged, "q_strip_band": strip_band, "q_candidate_sufficient": candidate_ok, "q_overlap_pairs": iou_matrix,
+    "q_box_sanity": box_sanity, "q_drop_flagged": drop_flagged, "q_strip_band": strip_band, "q_overlap_pairs": iou_matrix,
     "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_groups_separated": separated, "q_box_union": box_union,
     "q_compact_groups": compact, "q_padded_boxes": padded, "q_contains_pairs": contains, "q_nearest_fragment": nearest, "q_nearest_merged": nearest_merged,
     "q_reading_order": reading_order, "q_candidate_topk": best_candidate, "q_top_ranked": top_ranked, "q_best_split": best_split,

@@ -14,7 +14,7 @@ from ..relation import Relation
 from ..sources import imports, settings
 from ..sources.frames import ansi_sources, frame
 from ..streaming import queue
-from . import geometry, logs, oracles, texts
+from . import geometry, logs, oracles, routing, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -190,6 +190,6 @@ ORACLE_SQL |= {
     "q_zip_batches": "SELECT page_id // 100 AS batch, CAST(sum(CASE WHEN html IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_files, NULL::VARCHAR AS error FROM pages GROUP BY 1",
 }
 
-for _part in (geometry, texts, logs):
+for _part in (geometry, texts, logs, routing):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {name: _ctes(frames, text) if frames else text for name, (frames, text) in _part.ORACLES.items()}

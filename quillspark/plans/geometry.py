@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spatial
+from ..operators import spatial, splits
 from ..sources.frames import frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,8 @@ QUERIES: dict[str, Query] = {
     "q_strip_overlaps": _of("strip", _cells),
     "q_region_neighbours": _of("regions", spatial.adjacent_texts),
     "q_strip_neighbours": _of("strip", spatial.adjacent_texts),
+    "q_side_by_side": _of("stacks", lambda boxes: splits.side_by_side(boxes, ["page", "grp"]).select("page", "grp", "ord", "part")),
+    "q_separated_stacks": _of("stacks", lambda boxes: splits.separated(boxes, ["page", "grp"]).select("page", "grp", "ord", "half")),
 }
 
 _W, _H = "(least(a.x1, b.x1) - greatest(a.x0, b.x0))", "(least(a.y1, b.y1) - greatest(a.y0, b.y0))"
@@ -62,6 +64,46 @@ def _neighbours(boxes: str, same: str) -> str:
   WHERE CASE WHEN a.direction = 'v' THEN {upright} ELSE {level} END"""
 
 
+def _list(f: str, side: str, of: str) -> str:
+    return f"list_{f}(list_transform({side}, lambda z: {of}))"
+
+
+def _sides(axis: str) -> dict[str, str]:
+    """Terms of a cut after k boxes of the list m."""
+    other, left, right = "y" if axis == "x" else "x", "m[1:k]", "m[k + 1:]"
+    low, high = (f"{_list('max', left, f'z.{other}1')}", f"{_list('max', right, f'z.{other}1')}")
+    begin, start = f"{_list('min', left, f'z.{other}0')}", f"{_list('min', right, f'z.{other}0')}"
+    return {
+        "gutter": f"({_list('min', right, f'z.{axis}0')} - {_list('max', left, f'z.{axis}1')})",
+        "share": f"(greatest(0, least({low}, {high}) - greatest({begin}, {start}))::DOUBLE / greatest(1, least({low} - {begin}, {high} - {start})))",
+        "gap": f"((list_aggregate(list_transform({right}, lambda z: z.c), 'median') - list_aggregate(list_transform({left}, lambda z: z.c), 'median')) / 2)",
+        "joins": " AND ".join(_list("min", side, "{'y': z.y0, 'x': z.x0, 'c': z.c, 'o': z.ord, 'j': z.j}") + ".j" for side in (left, right)),
+        "compact": " AND ".join(f"(len({s}) = 1 OR greatest(1, ({_list('max', s, 'z.x1')} - {_list('min', s, 'z.x0')}) * ({_list('max', s, 'z.y1')} - {_list('min', s, 'z.y0')})) * 10 <= 22 * {_list('sum', s, 'greatest(1, (z.x1 - z.x0) * (z.y1 - z.y0))')})" for s in (left, right)),
+        "high": "list_aggregate(list_transform(m, lambda z: greatest(1, z.y1 - z.y0)), 'median')", "wide": "list_aggregate(list_transform(m, lambda z: greatest(1, z.x1 - z.x0)), 'median')",
+    }
+
+
+def _best(first: int, last: str, valid: str, score: str) -> str:
+    """The place of the best cut of the list m."""
+    return f"(-(list_max(list_filter(list_transform(range({first}, {last}), lambda k: {{'s': {score}, 'k': -k, 'v': {valid}}}), lambda z: z.v)).k))"
+
+
+_BOX = "{'c': x0 + x1, 'd': y0 + y1, 'ord': ord, 'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1, 'lang': lang, 'way': direction, 'j': upper(regexp_extract(ltrim(text), '^[A-Za-z]+')) IN ('AND', 'BUT', 'OR', 'SO', 'THEN', 'ALSO')}"
+_X, _Y = _sides("x"), _sides("y")
+_COLUMNS = _best(2, "len(m) - 1", f"{_X['gutter']} >= greatest(6.0, 0.3 * {_X['high']}) AND {_X['share']} >= 0.3 AND {_X['gap']} >= greatest(3.0 * {_X['high']}, 1.5 * {_X['gutter']}) AND NOT ({_X['joins']})",
+                 f"{_X['gutter']} + {_X['gap']} * 0.25 + {_X['share']} * {_X['high']}")
+_OPEN = "len(m) >= 4 AND len(list_filter(m, lambda z: z.way <> 'h')) = 0 AND len(list_filter(m, lambda z: z.lang IN ('en', 'zh'))) > 0"
+_SIDE_BY_SIDE = f"""WITH RECURSIVE g AS (
+  SELECT page, grp, part, m, CASE WHEN {_OPEN} THEN {_COLUMNS} END AS cut FROM (SELECT page, grp, '' AS part, list({_BOX} ORDER BY x0 + x1, ord) AS m FROM stacks GROUP BY page, grp) AS s
+  UNION ALL
+  SELECT page, grp, part, m, CASE WHEN {_OPEN} THEN {_COLUMNS} END FROM (SELECT page, grp, part || h AS part, CASE WHEN h = '0' THEN m[1:cut] ELSE m[cut + 1:] END AS m FROM g, (VALUES ('0'), ('1')) AS v(h) WHERE cut IS NOT NULL) AS s)
+SELECT page, grp, unnest(list_transform(m, lambda z: z.ord)) AS ord, part FROM g WHERE cut IS NULL"""
+_STACKS = f"""WITH g AS (SELECT page, grp, list({_BOX} ORDER BY x0 + x1, ord) AS m, list({_BOX} ORDER BY y0 + y1, ord) AS n, bool_and(direction = 'h') AS level, bool_and(direction = 'v') AS upright FROM stacks GROUP BY page, grp),
+a AS (SELECT *, CASE WHEN len(m) >= 2 AND (level OR upright) THEN {_best(1, 'len(m)', f"{_X['gutter']} >= CASE WHEN upright THEN greatest(2.0, 0.6 * {_X['wide']}) ELSE greatest(2.0, 0.4 * {_X['high']}) END AND {_X['compact']} AND {_X['share']} >= 0.25", f"{_X['gutter']} + {_X['share']} * {_X['high']}")} END AS first FROM g),
+b AS (SELECT page, grp, first, upright, m AS across, n AS m FROM a),
+c AS (SELECT page, grp, first, across, m, CASE WHEN first IS NULL AND upright AND len(m) >= 2 THEN {_best(1, 'len(m)', f"{_Y['gutter']} >= greatest(2.0, 0.2 * {_Y['wide']}) AND {_Y['compact']} AND {_Y['share']} >= 0.25", f"{_Y['gutter']} + {_Y['share']} * {_Y['wide']}")} END AS second FROM b),
+d AS (SELECT page, grp, coalesce(first, second) AS cut, CASE WHEN second IS NULL THEN across ELSE m END AS m FROM c)
+SELECT page, grp, m[i].ord AS ord, CASE WHEN cut IS NULL THEN NULL WHEN i <= cut THEN '0' ELSE '1' END AS half FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM d) AS e"""
 _SAME = "a.page = b.page AND "
 #: Query -> (frames, SQL).
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -71,4 +113,6 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_strip_overlaps": (("strip",), _matrix("strip", "")),
     "q_region_neighbours": (("regions",), _neighbours("regions", _SAME)),
     "q_strip_neighbours": (("strip",), _neighbours("strip", "")),
+    "q_side_by_side": (("turn_regions", "stacks"), _SIDE_BY_SIDE),
+    "q_separated_stacks": (("turn_regions", "stacks"), _STACKS),
 }

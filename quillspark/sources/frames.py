@@ -36,14 +36,21 @@ SELECT l_orderkey AS page,
   CASE l_linestatus WHEN 'O' THEN 'h' ELSE 'v' END AS direction,
   CASE WHEN l_partkey % 2 = 0 THEN 'mit48' ELSE 'paddle' END AS engine
 FROM {lineitem} AS d"""),
-    # turn_regions: a page a conversation, a region a sentence; some are blank, some are punctuation only
+    # turn_regions: a page a conversation, a region a sentence; some are blank or punctuation
+    # only, some stand in for Japanese and Chinese by exchanged letters
     "turn_regions": Relation("D5", """
 SELECT page, ord, turn, text, lang, direction, conf, x0, y0, x0 + CASE WHEN direction = 'h' THEN long_side ELSE short_side END AS x1, y0 + CASE WHEN direction = 'h' THEN short_side ELSE long_side END AS y1
 FROM (SELECT page, turn, CAST(row_number() OVER (PARTITION BY page ORDER BY turn, i) AS INT) AS ord, text, CASE page % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'zh' ELSE 'en' END AS lang, CASE WHEN page % 3 = 0 THEN 'v' ELSE 'h' END AS direction,
     (length(part) * 37 + turn * 101 + i * 59) % 1000 AS conf, (page * 97 + i * 211 + turn * 53) % 900 AS x0, (turn * 140 + i * 35 + page * 11) % 1200 AS y0,
     least(300, 20 + 6 * length(text)) AS long_side, 18 + length(part) * 7 % 25 AS short_side
-  FROM (SELECT conv_id AS page, turn, i, part, CASE WHEN (conv_id + turn * 3 + i) % 11 = 0 THEN ' ' WHEN (conv_id + turn + i) % 5 = 0 THEN CASE i % 4 WHEN 0 THEN '！' WHEN 1 THEN '…。' WHEN 2 THEN '!?' ELSE '、' END ELSE substring(part, 1, 60) END AS text
+  FROM (SELECT conv_id AS page, turn, i, part, CASE WHEN (conv_id + turn * 3 + i) % 11 = 0 THEN ' ' WHEN (conv_id + turn + i) % 5 = 0 THEN CASE i % 4 WHEN 0 THEN '！' WHEN 1 THEN '…。' WHEN 2 THEN '!?' ELSE '、' END WHEN conv_id % 4 = 0 AND (turn + i) % 3 = 0 THEN translate(lower(substring(part, 1, 60)), 'abcdefghijklmnopqrstuvwxyz', 'アイウエオかきくけこさしすせそたちつてとなにぬねの漢') WHEN conv_id % 4 < 2 AND (turn + i) % 3 = 1 THEN translate(lower(substring(part, 1, 60)), 'abcdefghijklmnopqrstuvwxyz', '漢字忍者学生先輩世界時間気持東京大阪春夏秋冬山川海空')
+        WHEN conv_id % 4 = 1 AND (turn + i) % 3 = 0 THEN translate(lower(substring(part, 1, 60)), 'abcdefghijklmnopqrstuvwxyz', '的了是不我你他她它们这那有在和就都一个没什么可以吗吧') ELSE substring(part, 1, 60) END AS text
     FROM (SELECT conv_id, turn, [[posexplode(split(text, '[.] ')) AS (i, part)||generate_subscripts(regexp_split_to_array(text, '[.] '), 1) - 1 AS i, unnest(regexp_split_to_array(text, '[.] ')) AS part]] FROM {conversations} WHERE text IS NOT NULL AND conv_id IS NOT NULL) AS p) AS t) AS r"""),
+    # stacks: two turns a group, their sentences in three columns
+    "stacks": Relation("D5", """
+SELECT page, turn [[div||//]] 2 AS grp, ord, text, lang, CASE WHEN page % 5 = 0 THEN 'v' ELSE 'h' END AS direction, x0, y0,
+  x0 + CASE WHEN page % 5 = 0 THEN 14 + length(text) % 9 ELSE least(300, 40 + 4 * length(text)) END AS x1, y0 + CASE WHEN page % 5 = 0 THEN least(200, 40 + 3 * length(text)) ELSE 20 + length(text) % 9 END AS y1
+FROM (SELECT page, turn, ord, text, lang, CASE WHEN page % 5 = 0 THEN 24 ELSE 330 END * (ord % 3) + ord * 13 % 20 AS x0, 45 * (ord [[div||//]] 3) + turn % 3 * 7 AS y0 FROM {turn_regions}) AS s"""),
     # strip: the same boxes on one long page, which is as hot as a page can be
     "strip": Relation("D5", """
 SELECT 0 AS page, l_orderkey * 8 + l_linenumber AS ord, l_partkey % 1000 AS x0, l_orderkey * 10 + l_suppkey * 7 % 60 AS y0,
