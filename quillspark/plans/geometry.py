@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spatial, splits
+from ..operators import fragments, ink, spatial, splits
 from ..sources.frames import frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,8 @@ QUERIES: dict[str, Query] = {
     "q_strip_neighbours": _of("strip", spatial.adjacent_texts),
     "q_side_by_side": _of("stacks", lambda boxes: splits.side_by_side(boxes, ["page", "grp"]).select("page", "grp", "ord", "part")),
     "q_separated_stacks": _of("stacks", lambda boxes: splits.separated(boxes, ["page", "grp"]).select("page", "grp", "ord", "half")),
+    "q_ink_split": lambda spark, sf_dir: ink.split_lines(frame(spark, sf_dir, "ink_lines"), frame(spark, sf_dir, "ink_marks"), ["page", "ord"]),
+    "q_fragments_merged": _of("turn_regions", fragments.merged_fragments),
 }
 
 _W, _H = "(least(a.x1, b.x1) - greatest(a.x0, b.x0))", "(least(a.y1, b.y1) - greatest(a.y0, b.y0))"
@@ -104,6 +106,30 @@ b AS (SELECT page, grp, first, upright, m AS across, n AS m FROM a),
 c AS (SELECT page, grp, first, across, m, CASE WHEN first IS NULL AND upright AND len(m) >= 2 THEN {_best(1, 'len(m)', f"{_Y['gutter']} >= greatest(2.0, 0.2 * {_Y['wide']}) AND {_Y['compact']} AND {_Y['share']} >= 0.25", f"{_Y['gutter']} + {_Y['share']} * {_Y['wide']}")} END AS second FROM b),
 d AS (SELECT page, grp, coalesce(first, second) AS cut, CASE WHEN second IS NULL THEN across ELSE m END AS m FROM c)
 SELECT page, grp, m[i].ord AS ord, CASE WHEN cut IS NULL THEN NULL WHEN i <= cut THEN '0' ELSE '1' END AS half FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM d) AS e"""
+#: Column by column.
+_INK = """WITH l AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM ink_lines), e AS (SELECT * FROM l WHERE w >= 80 AND h >= 8 AND w::DOUBLE / h >= 6 AND len(string_split(trim(text), ' ')) >= 3),
+c AS (SELECT page, ord, w, h, unnest(range(w)) AS c FROM e),
+d AS (SELECT c.page, c.ord, c.w, c.h, c.c, CASE WHEN count(m.a) > 0 THEN 1 ELSE 0 END AS dark FROM c LEFT JOIN ink_marks m ON m.page = c.page AND m.ord = c.ord AND m.a <= c.c AND c.c < m.b GROUP BY ALL),
+s AS (SELECT *, dark + coalesce(lag(dark) OVER q, 0) + coalesce(lead(dark) OVER q, 0) >= 2 AS lit FROM d WINDOW q AS (PARTITION BY page, ord ORDER BY c)),
+i AS (SELECT *, c - row_number() OVER (PARTITION BY page, ord, lit ORDER BY c) AS island FROM s),
+r AS (SELECT page, ord, w, h, min(c) AS a, max(c) + 1 AS b FROM i WHERE NOT lit GROUP BY page, ord, w, h, island),
+g AS (SELECT *, row_number() OVER (PARTITION BY page, ord ORDER BY b - a DESC, a) AS rn FROM r WHERE a >= greatest(4, round_even(h * 0.45::DOUBLE, 0)) AND b <= w - greatest(4, round_even(h * 0.45::DOUBLE, 0))),
+x AS (SELECT g.page, g.ord, g.a, g.b, max(CASE WHEN s.c < g.a THEN s.c END) - min(CASE WHEN s.c < g.a THEN s.c END) + 1 AS l, max(CASE WHEN s.c >= g.b THEN s.c END) - min(CASE WHEN s.c >= g.b THEN s.c END) + 1 AS r
+  FROM g JOIN s ON s.page = g.page AND s.ord = g.ord AND s.lit WHERE g.rn = 1 AND g.b - g.a >= greatest(8, round_even(g.h * 0.55::DOUBLE, 0)) GROUP BY g.page, g.ord, g.a, g.b, g.h HAVING least(l, r) >= greatest(16, round_even(g.h * 1.4::DOUBLE, 0))),
+p AS (SELECT l.*, x.a, x.b, least(3, greatest(1, (x.b - x.a) // 4)) AS pad FROM l LEFT JOIN x USING (page, ord))
+SELECT page, ord, NULL AS side, x0, y0, x1, y1 FROM p WHERE a IS NULL UNION ALL SELECT page, ord, 'left', x0, y0, least(x1, x0 + a + pad), y1 FROM p WHERE a IS NOT NULL UNION ALL SELECT page, ord, 'right', greatest(x0, x0 + b - pad), y0, x1, y1 FROM p WHERE a IS NOT NULL"""
+#: One fragment of each page at a time.
+_MAIN = "{'ord': ord, 'text': text, 'way': direction, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'parts': 1}"
+_BEHIND = "CASE WHEN CASE WHEN z.way = 'v' THEN f.y0 + f.y1 >= z.y0 + z.y1 ELSE f.x0 + f.x1 >= z.x0 + z.x1 END THEN z.text || trim(f.text) ELSE trim(f.text) || z.text END"
+_FRAGMENTS = f"""WITH RECURSIVE t AS (SELECT *, length(trim(text)) BETWEEN 1 AND 2 AND translate(trim(text), '{fragments.MARKS}', '') = '' AS frag FROM turn_regions),
+f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord) AS i FROM t WHERE frag),
+m AS (SELECT page, list({_MAIN} ORDER BY ord) AS m FROM t WHERE NOT frag GROUP BY page),
+s AS (SELECT page, CAST(0 AS BIGINT) AS i, m FROM m
+  UNION ALL SELECT f.page, f.i, list_transform(f.m, lambda z, j: CASE WHEN j = list_position(f.d, list_min(f.d)) THEN {{'ord': z.ord, 'text': {_BEHIND}, 'way': z.way, 'x0': least(z.x0, f.x0), 'y0': least(z.y0, f.y0), 'x1': greatest(z.x1, f.x1), 'y1': greatest(z.y1, f.y1), 'parts': z.parts + 1}} ELSE z END)
+  FROM (SELECT f.*, s.m, list_transform(s.m, lambda z: (z.x0 + z.x1 - f.x0 - f.x1) * (z.x0 + z.x1 - f.x0 - f.x1) + (z.y0 + z.y1 - f.y0 - f.y1) * (z.y0 + z.y1 - f.y0 - f.y1)) AS d FROM s JOIN f ON f.page = s.page AND f.i = s.i + 1) AS f),
+l AS (SELECT page, arg_max(m, i) AS m FROM s GROUP BY page)
+SELECT page, z.ord, z.text, z.x0, z.y0, z.x1, z.y1, z.parts FROM (SELECT page, unnest(m) AS z FROM l) AS u
+UNION ALL SELECT page, ord, text, x0, y0, x1, y1, 1 FROM t WHERE frag AND page NOT IN (SELECT page FROM m)"""
 _SAME = "a.page = b.page AND "
 #: Query -> (frames, SQL).
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -115,4 +141,6 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_strip_neighbours": (("strip",), _neighbours("strip", "")),
     "q_side_by_side": (("turn_regions", "stacks"), _SIDE_BY_SIDE),
     "q_separated_stacks": (("turn_regions", "stacks"), _STACKS),
+    "q_ink_split": (("turn_regions", "ink_marks", "ink_lines"), _INK),
+    "q_fragments_merged": (("turn_regions",), _FRAGMENTS),
 }

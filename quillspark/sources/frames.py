@@ -51,6 +51,14 @@ FROM (SELECT page, turn, CAST(row_number() OVER (PARTITION BY page ORDER BY turn
 SELECT page, turn [[div||//]] 2 AS grp, ord, text, lang, CASE WHEN page % 5 = 0 THEN 'v' ELSE 'h' END AS direction, x0, y0,
   x0 + CASE WHEN page % 5 = 0 THEN 14 + length(text) % 9 ELSE least(300, 40 + 4 * length(text)) END AS x1, y0 + CASE WHEN page % 5 = 0 THEN least(200, 40 + 3 * length(text)) ELSE 20 + length(text) % 9 END AS y1
 FROM (SELECT page, turn, ord, text, lang, CASE WHEN page % 5 = 0 THEN 24 ELSE 330 END * (ord % 3) + ord * 13 % 20 AS x0, 45 * (ord [[div||//]] 3) + turn % 3 * 7 AS y0 FROM {turn_regions}) AS s"""),
+    # ink of a line: its words, five columns a letter; some words stand far apart
+    "ink_marks": Relation("D5", """
+SELECT page, ord, CAST(b - n AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (
+  SELECT page, ord, 5 * length(word) AS n, sum(5 * length(word) + 4 + CASE WHEN k > 0 AND k % 3 = 0 AND (page + ord) % 2 = 0 THEN 22 + ord % 9 ELSE 0 END) OVER (PARTITION BY page, ord ORDER BY k) - 4 AS b
+  FROM (SELECT page, ord, [[posexplode(split(text, ' ')) AS (k, word)||generate_subscripts(string_split(text, ' '), 1) - 1 AS k, unnest(string_split(text, ' ')) AS word]] FROM {turn_regions}) AS w) AS m"""),
+    "ink_lines": Relation("D5", """
+SELECT r.page, r.ord, r.x0, r.y0, r.x0 + m.w AS x1, r.y0 + 9 + r.ord % 14 AS y1, r.text, 'h' AS direction
+FROM {turn_regions} r JOIN (SELECT page, ord, max(b) + 8 AS w FROM {ink_marks} GROUP BY page, ord) AS m ON m.page = r.page AND m.ord = r.ord"""),
     # strip: the same boxes on one long page, which is as hot as a page can be
     "strip": Relation("D5", """
 SELECT 0 AS page, l_orderkey * 8 + l_linenumber AS ord, l_partkey % 1000 AS x0, l_orderkey * 10 + l_suppkey * 7 % 60 AS y0,
