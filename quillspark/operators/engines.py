@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import english_word_count
+
 
 @dataclass(frozen=True)
 class Capabilities:
@@ -261,8 +263,7 @@ def empty_only(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def accept_split(left: Column, right: Column, left_conf: Column, right_conf: Column) -> Column:
     """Both halves have two words or more and a confidence of 0.45."""
-    words = lambda t: F.regexp_count(t, F.lit("[A-Za-z]+"))
-    return (words(left) >= 2) & (words(right) >= 2) & (F.least(left_conf, right_conf) >= 0.45)
+    return (english_word_count(left) >= 2) & (english_word_count(right) >= 2) & (F.least(left_conf, right_conf) >= 0.45)
 
 
 def translated(rows: DataFrame, chain: list[str], target: str = "zh") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import layout, quality, scripts, segments, text
+from ..functions import quality, scripts, segments, text
 from ..operators import engines, glossary, greedy, quads, regions, tasks, terms
 from ..relation import Relation
 from ..sources import imports, settings
@@ -172,10 +172,8 @@ def _files_zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings.zip_batches(pages).select("batch", "n_files", "error")
 
 
-#: Layout, quads, drags, states, files.
+#: Quads, drags, states, files.
 QUERIES |= {
-    "q_wrapped_lines": _over("lines", lambda rows: layout.wrapped(rows, ("grp", "ord"), 24.0).select("grp", "ord", F.array_join("lines", "|").alias("lines"))),
-    "q_semantic_columns": _over("lines", lambda rows: layout.columns(rows, ("grp", "ord"), 24).select("grp", "ord", F.array_join("lines", "|").alias("columns"))),
     "q_quads": _over("regions", quads.described),
     "q_dragged": _over("regions", lambda r: r.select("page", "ord", settings.dragged(F.col("x0") - 300, F.col("y0") + 200, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1200), F.lit(900)).alias("b")).select("page", "ord", "b.x", "b.y", "b.w", "b.h")),
     "q_task_states": _task_log,

@@ -23,7 +23,7 @@ _WORD = "[A-Za-z]{2,}(?:[''’][A-Za-z]+)?"
 _WORDS = "list_filter(regexp_extract_all({0}, '[\\pL\\pN_]+(?:[''’][A-Za-z]+)?'), lambda w: regexp_full_match(w, '" + _WORD + "'))"
 _NAME = "(len({0}) > 0 AND (len(list_filter({0}, lambda w: NOT (len(w) <= 3 OR upper(w) = w))) = 0 OR len(list_filter({0}, lambda w: NOT regexp_full_match(w, '[A-Z][^A-Z]*[a-z][^A-Z]*'))) = 0))"
 _EXPLAINED = "(?i)" + q.EXPLAINED
-_UNIT = "(?i)(?:^|[^\\pL\\pN_])\\d+(?:[.,]\\d+)?\\s*(%|％|kg|g|mg|km|m|cm|mm|lb|lbs|oz|ft|in|mph|°c|°f|usd|dollars?|bucks?)(?:$|[^A-Za-z])"
+_UNIT = "(?i)(?:^|[^\\pL\\pN_])\\d+(?:[.,]\\d+)?\\s*(" + "|".join(sorted(q.UNITS, key=len, reverse=True)) + ")(?:$|[^A-Za-z])"
 
 
 def units_sql(source: str, translated: str) -> str:

@@ -1,4 +1,4 @@
-"""Layout, quads, masks, engines and settings on worked cases."""
+"""Quads, masks, engines and settings on worked cases."""
 
 import json
 import math
@@ -10,38 +10,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import layout, quality
+from quillspark.functions import quality
 from quillspark.functions.segments import parsed
 from quillspark.operators import engines, masks, quads, terms
 from quillspark.sources import settings
 
 
-def test_columns_are_cut_by_meaning():
-    assert layout.semantic_columns("短句", 5) == ["短句"] and layout.semantic_columns("", 3) == [""]
-    text = "我们的祖先在这里生活，他们已经没有土地了。"
-    got = layout.semantic_columns(text, 8)
-    assert "".join(got) == text and max(map(len, got)) <= 8
-    assert not any(a[-1] + b[0] in layout.TOGETHER or b[0] in layout.CLOSING for a, b in zip(got, got[1:]))
-    # the sign after four characters draws the cut to it
-    assert layout.semantic_columns("一二三，五六七八", 5) == ["一二三，", "五六七八"]
-    assert layout.balanced_columns(["一二", "三四"], 4) == ["一二", "三四"]
-    assert layout.balanced_columns(["一", "二", "三", "四"], 3) == ["一二三", "四"] and layout.balanced_columns([], 3) is None
-
-
-def test_lines_are_wrapped(spark):
-    assert layout.latin_lines("the quick brown fox", 5, lambda t: 0.5 * len(t)) == ["the quick", "brown fox"]
-    assert layout.latin_lines("incomprehensible", 3, lambda t: 0.5 * len(t)) == ["incomp", "rehens", "ible"]
-    assert layout.greedy_lines("abcdef", 2.0, lambda t: float(len(t))) == ["ab", "cd", "ef"]
-    even = layout.wrapped_line("一二三四五六七", 5.0)
-    assert "".join(even) == "一二三四五六七" and [len(x) for x in even] == [4, 3]
-    assert layout.kept_together(["你好", "，世界"], 3.0, lambda t: float(len(t))) == ["你好，", "世界"]
-    assert layout.kept_together(["说「", "好」"], 9.0, lambda t: float(len(t))) == ["说", "「好」"]
-    rows = spark.createDataFrame([(1, "the quick brown fox"), (2, None), (3, "")], "id int, text string")
-    got = {r.id: r.lines for r in layout.wrapped(rows, ("id",), 5.0).collect()}
-    assert "".join(got[1]).replace(" ", "") == "thequickbrownfox" and got[2] is None and got[3] == [""]
-    assert {r.id: r.lines for r in layout.columns(rows, ("id",), 3).collect()}[3] == [""]
-
-
 def test_corners_are_ordered():
     box = np.array([[0, 0], [100, 0], [100, 20], [0, 20]])
     for turn in range(4):
