@@ -63,9 +63,6 @@ SELECT a.page, a.ord AS a, b.ord AS b, {_ADJACENT} AS adjacent FROM {{regions}}
 adjacent_any = Relation("J15 A24", f"""
 SELECT a.page, a.ord, bool_or({_ADJACENT}) AS has_neighbour, bool_and({_ADJACENT}) AS all_neighbours
 FROM {{regions}} a JOIN {{regions}} b ON a.page = b.page AND a.ord <> b.ord GROUP BY a.page, a.ord""")
-separated = Relation("J16", f"""
-SELECT a.page, coalesce(bool_and(CASE WHEN {_GAPX} = 0 AND {_GAPY} = 0 THEN NULL ELSE {_GAPX} + {_GAPY} > 30 END), false) AS separated
-FROM {{regions}} a JOIN {{regions}} b ON a.page = b.page AND a.direction = 'h' AND b.direction = 'v' GROUP BY a.page""")
 box_union = Relation("A10", "SELECT page, direction, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(count(*) AS BIGINT) AS n FROM {regions} GROUP BY page, direction")
 compact = Relation("A11 G6", """
 WITH u AS (SELECT page, direction, (max(x1) - min(x0)) * (max(y1) - min(y0)) AS area, sum((x1 - x0) * (y1 - y0)) AS total FROM {regions} GROUP BY page, direction)
@@ -169,7 +166,7 @@ QUERIES = {
     "q_page_language_vote": page_vote, "q_page_consensus": consensus, "q_language_buckets": language_buckets,
     "q_threshold_filter": thresholds, "q_erase_only_anti": erase_only, "q_text_plus_erase": text_plus_erase, "q_keep_all_if_empty": keep_all_if_empty,
     "q_box_sanity": box_sanity, "q_drop_flagged": drop_flagged, "q_strip_band": strip_band, "q_overlap_pairs": iou_matrix,
-    "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_groups_separated": separated, "q_box_union": box_union,
+    "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_box_union": box_union,
     "q_compact_groups": compact, "q_padded_boxes": padded, "q_contains_pairs": contains, "q_nearest_fragment": nearest, "q_nearest_merged": nearest_merged,
     "q_reading_order": reading_order, "q_candidate_topk": best_candidate, "q_top_ranked": top_ranked, "q_best_split": best_split,
     "q_direction_majority": direction_majority, "q_sample_stats": sample_stats, "q_first_non_empty": first_non_empty, "q_grouped_or_single": grouped_or_single,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fragments, ink, spatial, splits
+from ..operators import fragments, ink, rasters, spatial, splits
 from ..sources.frames import frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,33 @@ def _cells(boxes: DataFrame) -> DataFrame:
     return spatial.overlaps(boxes).select("page", "a", "b", "shared", F.expr("shared * 1000 div total").alias("iou"))
 
 
+_SHEET = rasters.Layout(1536, 1600)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a group of stacks that are near enough for any rule, with masks
+    of the balloons of even regions, and the dark lines between them."""
+    rows = frame(spark, sf_dir, "stacks").withColumn("sheet", F.col("page") * 1000 + F.col("grp"))
+    balloon = F.when(F.col("ord") % 2 == 0, F.array(F.struct(*((F.col(c) + (-40 if c[1] == "0" else 40)).alias(c) for c in rasters.BOX))))
+    rows = rows.withColumn("mask", _SHEET.mask(balloon))
+    wide = {c: F.col(c) + (-200 if c[1] == "0" else 200) for c in rasters.BOX}
+    pairs = spatial.touching(rows, rows, ["sheet"], wide, wide, side=512).where("a.ord < b.ord")
+    return rasters.separated(pairs, frame(spark, sf_dir, "rules"), same="sheet")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("a.page", "a.grp", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), "separated", rasters.pair_score().alias("score"))
+
+
+def _groups_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of a group's first turn against those of its second."""
+    pairs = _pairs(spark, sf_dir).where("a.turn <> b.turn")
+    return rasters.groups_separated(pairs.select(F.col("a.page").alias("page"), F.col("a.grp").alias("grp"), "separated"), ["page", "grp"])
+
+
 QUERIES: dict[str, Query] = {
+    "q_pair_scores": _scores,
+    "q_groups_separated": _groups_separated,
     "q_iou_antijoin": _of("regions", _kept),
     "q_strip_antijoin": _of("strip", _kept),
     "q_region_overlaps": _of("regions", _cells),
@@ -130,6 +156,47 @@ s AS (SELECT page, CAST(0 AS BIGINT) AS i, m FROM m
 l AS (SELECT page, arg_max(m, i) AS m FROM s GROUP BY page)
 SELECT page, z.ord, z.text, z.x0, z.y0, z.x1, z.y1, z.parts FROM (SELECT page, unnest(m) AS z FROM l) AS u
 UNION ALL SELECT page, ord, text, x0, y0, x1, y1, 1 FROM t WHERE frag AND page NOT IN (SELECT page FROM m)"""
+def _extent(r: str, k: str) -> str:
+    return f"({r}.{k}1 - {r}.{k}0)"
+
+
+def _adjacent_sql() -> str:
+    share = {x: f"(greatest(0, least(a.{x}1, b.{x}1) - greatest(a.{x}0, b.{x}0))::DOUBLE / greatest(1, least(a.{x}1 - a.{x}0, b.{x}1 - b.{x}0)))" for x in "xy"}
+    gap = {x: f"greatest(0, greatest(a.{x}0, b.{x}0) - least(a.{x}1, b.{x}1))" for x in "xy"}
+    most = {x: f"greatest(a.{x}1 - a.{x}0, b.{x}1 - b.{x}0)" for x in "xy"}
+    rule = lambda far, near: f"({share[near]} >= 0.45 AND {gap[far]} <= 1.5 * {most[far]}) OR ({share[far]} >= 0.5 AND {gap[near]} <= 0.25 * {most[near]})"
+    return f"CASE WHEN a.direction = 'v' THEN {rule('x', 'y')} ELSE {rule('y', 'x')} END"
+
+
+def _cell(r: str, c: str) -> str:
+    """A side of a region's balloon, in cells of the sheet."""
+    at = f"({r}.{c} - 40) // 8" if c[1] == "0" else f"({r}.{c} + 47) // 8"
+    return f"least({_SHEET.words * 64 if c[0] == 'x' else _SHEET.rows}, greatest(0, {at}))"
+
+
+_CELLS = {r: f"(({_cell(r, 'x1')} - {_cell(r, 'x0')}) * ({_cell(r, 'y1')} - {_cell(r, 'y0')}))" for r in "ab"}
+_MET = " * ".join(f"greatest(0, least({_cell('a', k + '1')}, {_cell('b', k + '1')}) - greatest({_cell('a', k + '0')}, {_cell('b', k + '0')}))" for k in "xy")
+_HULL = "((greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)))"
+_BOXES = "(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))"
+_SUM = "(a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)"
+_PAD = "(least(a.x1 - a.x0, a.y1 - a.y0) // 5)"
+_NEARBY = f"greatest(0, least(a.x1 + {_PAD}, b.x1) - greatest(a.x0 - {_PAD}, b.x0)) * greatest(0, least(a.y1 + {_PAD}, b.y1) - greatest(a.y0 - {_PAD}, b.y0)) * 100 > 15 * greatest(1, least((a.x1 - a.x0 + 2 * {_PAD}) * (a.y1 - a.y0 + 2 * {_PAD}), (b.x1 - b.x0) * (b.y1 - b.y0)))"
+
+
+def _corridor(k: str, o: str) -> str:
+    """A.6 where a and b lie apart along k: None, false, or a look for a rule."""
+    low, high, top, bottom = f"least(a.{k}1, b.{k}1)", f"greatest(a.{k}0, b.{k}0)", f"greatest(a.{o}0, b.{o}0)", f"least(a.{o}1, b.{o}1)"
+    inside = {k: f"(least({high}, d.{k}1) - greatest({low}, d.{k}0))", o: f"(least({bottom}, d.{o}1) - greatest({top}, d.{o}0))"}
+    return f"""CASE WHEN {bottom} - {top} < greatest(8, least({_extent('a', o)}, {_extent('b', o)}) // 4) THEN NULL WHEN {high} - {low} < 3 THEN false
+    ELSE EXISTS (SELECT 1 FROM rules d WHERE d.page = a.page AND d.sheet = a.page * 1000 + a.grp AND {inside[k]} > 0 AND {inside[o]} > 0 AND {inside[o]} >= 6 AND {inside[o]} >= 0.45::DOUBLE * ({bottom} - {top}) AND {inside[k]} <= greatest(12, 0.45::DOUBLE * {inside[o]})) END"""
+
+
+_PAIRS = f"""p AS (SELECT a.page, a.grp, a.ord AS a, b.ord AS b, a.turn <> b.turn AS across,
+    CASE WHEN a.x1 <= b.x0 OR b.x1 <= a.x0 THEN {_corridor('x', 'y')} WHEN a.y1 <= b.y0 OR b.y1 <= a.y0 THEN {_corridor('y', 'x')} WHEN {_adjacent_sql()} THEN false END AS separated,
+    CASE WHEN a.ord % 2 = 0 AND b.ord % 2 = 0 THEN CASE WHEN least({_CELLS['a']}, {_CELLS['b']}) = 0 OR {_MET} * 1000 // least({_CELLS['a']}, {_CELLS['b']}) < 550 OR {_HULL} * 10 > 16 * list_sum([{_SUM}]) THEN 0 ELSE 2000 + {_MET} * 1000 // least({_CELLS['a']}, {_CELLS['b']}) END
+      WHEN {_HULL} * 10 > 16 * list_sum([{_SUM}]) OR NOT ({_adjacent_sql()}) THEN 0 WHEN {_BOXES} * 1000 // least({_SUM}) >= 450 THEN 1000 + {_BOXES} * 1000 // least({_SUM})
+      WHEN (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) OR (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1) THEN 1000 WHEN {_NEARBY} THEN 500 ELSE 0 END AS score
+  FROM stacks a JOIN stacks b ON a.page = b.page AND a.grp = b.grp AND a.ord < b.ord AND a.x0 - 200 <= b.x1 + 200 AND b.x0 - 200 <= a.x1 + 200 AND a.y0 - 200 <= b.y1 + 200 AND b.y0 - 200 <= a.y1 + 200)"""
 _SAME = "a.page = b.page AND "
 #: Query -> (frames, SQL).
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -141,6 +208,8 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_strip_neighbours": (("strip",), _neighbours("strip", "")),
     "q_side_by_side": (("turn_regions", "stacks"), _SIDE_BY_SIDE),
     "q_separated_stacks": (("turn_regions", "stacks"), _STACKS),
+    "q_pair_scores": (("turn_regions", "stacks", "rules"), f"WITH {_PAIRS} SELECT page, grp, a, b, separated, CAST(CASE WHEN separated THEN 0 ELSE score END AS BIGINT) AS score FROM p"),
+    "q_groups_separated": (("turn_regions", "stacks", "rules"), f"WITH {_PAIRS} SELECT page, grp, coalesce(bool_and(separated), false) AS separated FROM p WHERE across GROUP BY page, grp"),
     "q_ink_split": (("turn_regions", "ink_marks", "ink_lines"), _INK),
     "q_fragments_merged": (("turn_regions",), _FRAGMENTS),
 }

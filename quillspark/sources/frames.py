@@ -48,7 +48,7 @@ FROM (SELECT page, turn, CAST(row_number() OVER (PARTITION BY page ORDER BY turn
     FROM (SELECT conv_id, turn, [[posexplode(split(text, '[.] ')) AS (i, part)||generate_subscripts(regexp_split_to_array(text, '[.] '), 1) - 1 AS i, unnest(regexp_split_to_array(text, '[.] ')) AS part]] FROM {conversations} WHERE text IS NOT NULL AND conv_id IS NOT NULL) AS p) AS t) AS r"""),
     # stacks: two turns a group, their sentences in three columns
     "stacks": Relation("D5", """
-SELECT page, turn [[div||//]] 2 AS grp, ord, text, lang, CASE WHEN page % 5 = 0 THEN 'v' ELSE 'h' END AS direction, x0, y0,
+SELECT page, turn, turn [[div||//]] 2 AS grp, ord, text, lang, CASE WHEN page % 5 = 0 THEN 'v' ELSE 'h' END AS direction, x0, y0,
   x0 + CASE WHEN page % 5 = 0 THEN 14 + length(text) % 9 ELSE least(300, 40 + 4 * length(text)) END AS x1, y0 + CASE WHEN page % 5 = 0 THEN least(200, 40 + 3 * length(text)) ELSE 20 + length(text) % 9 END AS y1
 FROM (SELECT page, turn, ord, text, lang, CASE WHEN page % 5 = 0 THEN 24 ELSE 330 END * (ord % 3) + ord * 13 % 20 AS x0, 45 * (ord [[div||//]] 3) + turn % 3 * 7 AS y0 FROM {turn_regions}) AS s"""),
     # ink of a line: its words, five columns a letter; some words stand far apart
@@ -59,6 +59,9 @@ SELECT page, ord, CAST(b - n AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (
     "ink_lines": Relation("D5", """
 SELECT r.page, r.ord, r.x0, r.y0, r.x0 + m.w AS x1, r.y0 + 9 + r.ord % 14 AS y1, r.text, 'h' AS direction
 FROM {turn_regions} r JOIN (SELECT page, ord, max(b) + 8 AS w FROM {ink_marks} GROUP BY page, ord) AS m ON m.page = r.page AND m.ord = r.ord"""),
+    # rules: a dark line in some of the groups of stacks
+    "rules": Relation("D5", """
+SELECT DISTINCT page, page * 1000 + grp AS sheet, 322 AS x0, grp * 10 AS y0, 325 AS x1, 200 + page % 300 AS y1 FROM {stacks} WHERE (page + grp) % 3 = 0"""),
     # strip: the same boxes on one long page, which is as hot as a page can be
     "strip": Relation("D5", """
 SELECT 0 AS page, l_orderkey * 8 + l_linenumber AS ord, l_partkey % 1000 AS x0, l_orderkey * 10 + l_suppkey * 7 % 60 AS y0,
