@@ -196,22 +196,6 @@ def group_regions(regions: DataFrame) -> DataFrame:
     return _by_page(regions, ("page",), lambda rows: [(r[0], r[2], g) for r, g in zip(rows, grouped([(_box(r), r[8]) for r in rows]))], "page long, ord int, grp int")
 
 
-def match_ground_truth(regions: DataFrame, least: float = 0.5) -> DataFrame:
-    """Greedy one-to-one matches of vertical (truth) and horizontal (found)
-    boxes by overlap, per page: matched, found, truth."""
-
-    def one(rows: list[tuple]) -> list[tuple]:
-        truth, found = [_box(r) for r in rows if r[8] == "v"], [_box(r) for r in rows if r[8] == "h"]
-        taken: set[int] = set()
-        for t in truth:
-            hit = next((i for i, f in enumerate(found) if i not in taken and iou(t, f) > least), None)
-            if hit is not None:
-                taken.add(hit)
-        return [(rows[0][0], len(taken), len(found), len(truth))]
-
-    return _by_page(regions, ("page",), one, "page long, matched long, found long, truth long")
-
-
 def pack_chunks(lines: DataFrame, most_items: int = 24, most_chars: int = 6000) -> DataFrame:
     """Grp, ord, chunk. A new chunk starts at ``most_items`` lines, or when the lengths
     (each with 16 more) would exceed ``most_chars``."""

@@ -57,7 +57,6 @@ QUERIES |= {
     "q_nms": _over("regions", greedy.suppress),
     "q_assign_detections": _over("regions", greedy.assign_detections),
     "q_group_regions": _over("regions", greedy.group_regions),
-    "q_match_ground_truth": _over("regions", greedy.match_ground_truth),
     "q_chunk_pack": _over("lines", greedy.pack_chunks),
     "q_json_import_rows": _over("imports", imports.import_rows),
     "q_json_import_errors": _over("imports", imports.import_report),

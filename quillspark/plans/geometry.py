@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fragments, ink, rasters, spatial, splits
+from ..operators import evaluation, fragments, ink, rasters, spatial, splits
 from ..sources.frames import frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,14 @@ def _groups_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.groups_separated(pairs.select(F.col("a.page").alias("page"), F.col("a.grp").alias("grp"), "separated"), ["page", "grp"])
 
 
+def _evaluation(operator: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(frame(spark, sf_dir, "truth"), frame(spark, sf_dir, "found"))
+
+
 QUERIES: dict[str, Query] = {
+    "q_match_ground_truth": _evaluation(evaluation.matches),
+    "q_page_quality": _evaluation(evaluation.evaluated),
+    "q_dataset_ap": _evaluation(evaluation.average_precision),
     "q_pair_scores": _scores,
     "q_groups_separated": _groups_separated,
     "q_iou_antijoin": _of("regions", _kept),
@@ -197,6 +204,19 @@ _PAIRS = f"""p AS (SELECT a.page, a.grp, a.ord AS a, b.ord AS b, a.turn <> b.tur
       WHEN {_HULL} * 10 > 16 * list_sum([{_SUM}]) OR NOT ({_adjacent_sql()}) THEN 0 WHEN {_BOXES} * 1000 // least({_SUM}) >= 450 THEN 1000 + {_BOXES} * 1000 // least({_SUM})
       WHEN (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) OR (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1) THEN 1000 WHEN {_NEARBY} THEN 500 ELSE 0 END AS score
   FROM stacks a JOIN stacks b ON a.page = b.page AND a.grp = b.grp AND a.ord < b.ord AND a.x0 - 200 <= b.x1 + 200 AND b.x0 - 200 <= a.x1 + 200 AND a.y0 - 200 <= b.y1 + 200 AND b.y0 - 200 <= a.y1 + 200)"""
+#: A pass over the true boxes of every page, one at a time.
+_PASS = f"""WITH RECURSIVE g AS (SELECT DISTINCT b.page, b.ord FROM truth a JOIN found b ON a.page = b.page AND a.ignore AND {_MEET} AND {_W} * {_H} * 2 > (b.x1 - b.x0) * (b.y1 - b.y0)),
+c AS (SELECT f.* FROM found f ANTI JOIN g ON g.page = f.page AND g.ord = f.ord),
+p AS (SELECT a.page, a.ord AS truth, list(b.ord ORDER BY b.ord) AS may FROM truth a JOIN c b ON a.page = b.page AND NOT a.ignore AND {_MEET} AND {_W} * {_H} * 2 > {_AREAS} - {_W} * {_H} GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY truth) AS i FROM p),
+s AS (SELECT page, truth, i, may[1] AS found, [may[1]] AS taken FROM n WHERE i = 1
+  UNION ALL SELECT page, truth, i, free[1], list_concat(taken, free[1:1]) FROM (SELECT n.page, n.truth, n.i, s.taken, list_filter(n.may, lambda x: NOT list_contains(s.taken, x)) AS free FROM s JOIN n ON n.page = s.page AND n.i = s.i + 1) AS x),
+m AS (SELECT page, truth, found FROM s WHERE found IS NOT NULL)"""
+_QUALITY = f"""{_PASS}, x AS (SELECT page, sum(t) AS t, sum(f) AS f, sum(m) AS m FROM (SELECT page, CASE WHEN ignore THEN 0 ELSE 1 END AS t, 0 AS f, 0 AS m FROM truth UNION ALL SELECT page, 0, 0, 0 FROM found UNION ALL SELECT page, 0, 1, 0 FROM c UNION ALL SELECT page, 0, 0, 1 FROM m) AS u GROUP BY page)
+SELECT page, CAST(m AS BIGINT) AS matched, CAST(t AS BIGINT) AS truth, CAST(f AS BIGINT) AS found, CAST(CASE WHEN t = 0 THEN CASE WHEN f > 0 THEN 0 ELSE 1000000 END WHEN f = 0 THEN 0 ELSE 1000000 * m // f END AS BIGINT) AS precision6,
+  CAST(CASE WHEN t = 0 THEN 1000000 ELSE 1000000 * m // t END AS BIGINT) AS recall6, CAST(CASE WHEN t = 0 THEN CASE WHEN f > 0 THEN 0 ELSE 1000000 END ELSE 2000000 * m // (t + f) END AS BIGINT) AS hmean6 FROM x"""
+_AP = f"""{_PASS}, r AS (SELECT CASE WHEN m.found IS NULL THEN 0 ELSE 1 END AS hit, row_number() OVER w AS k, sum(CASE WHEN m.found IS NULL THEN 0 ELSE 1 END) OVER w AS h FROM c LEFT JOIN m ON m.page = c.page AND m.found = c.ord WINDOW w AS (ORDER BY c.conf DESC, c.page, c.ord ROWS UNBOUNDED PRECEDING))
+SELECT CAST(sum(hit) AS BIGINT) AS matched, (SELECT count(*) FROM truth WHERE NOT ignore) AS truth, count(*) AS found, CAST(sum(CASE WHEN hit = 1 THEN 1000000 * h // k ELSE 0 END) // (SELECT count(*) FROM truth WHERE NOT ignore) AS BIGINT) AS ap6 FROM r"""
 _SAME = "a.page = b.page AND "
 #: Query -> (frames, SQL).
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -210,6 +230,9 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_separated_stacks": (("turn_regions", "stacks"), _STACKS),
     "q_pair_scores": (("turn_regions", "stacks", "rules"), f"WITH {_PAIRS} SELECT page, grp, a, b, separated, CAST(CASE WHEN separated THEN 0 ELSE score END AS BIGINT) AS score FROM p"),
     "q_groups_separated": (("turn_regions", "stacks", "rules"), f"WITH {_PAIRS} SELECT page, grp, coalesce(bool_and(separated), false) AS separated FROM p WHERE across GROUP BY page, grp"),
+    "q_match_ground_truth": (("regions", "truth", "found"), f"{_PASS} SELECT * FROM m"),
+    "q_page_quality": (("regions", "truth", "found"), _QUALITY),
+    "q_dataset_ap": (("regions", "truth", "found"), _AP),
     "q_ink_split": (("turn_regions", "ink_marks", "ink_lines"), _INK),
     "q_fragments_merged": (("turn_regions",), _FRAGMENTS),
 }

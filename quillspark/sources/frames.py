@@ -62,6 +62,11 @@ FROM {turn_regions} r JOIN (SELECT page, ord, max(b) + 8 AS w FROM {ink_marks} G
     # rules: a dark line in some of the groups of stacks
     "rules": Relation("D5", """
 SELECT DISTINCT page, page * 1000 + grp AS sheet, 322 AS x0, grp * 10 AS y0, 325 AS x1, 200 + page % 300 AS y1 FROM {stacks} WHERE (page + grp) % 3 = 0"""),
+    # truth and found: regions, and what a detector might make of them
+    "truth": Relation("D5", "SELECT page, ord, x0, y0, x1, y1, lang = 'zh' AND (page + ord) % 2 = 0 AS ignore FROM {regions}"),
+    "found": Relation("D5", """
+SELECT page, ord * 4 + k AS ord, x0 + dx AS x0, y0 + dy AS y0, x1 + dx AS x1, y1 + dy AS y1, (conf * 7 + ord * 131 + k * 57) % 1000 AS conf
+FROM (SELECT page, ord, conf, x0, y0, x1, y1, k, (page + ord * 5 + k * 11) % 13 - 6 AS dx, (page * 3 + ord + k * 7) % 9 - 4 AS dy FROM {regions} CROSS JOIN (SELECT [[explode(array(0, 1, 2))||unnest([0, 1, 2])]] AS k) AS s) AS t WHERE (page + ord + k) % 3 <> 0"""),
     # strip: the same boxes on one long page, which is as hot as a page can be
     "strip": Relation("D5", """
 SELECT 0 AS page, l_orderkey * 8 + l_linenumber AS ord, l_partkey % 1000 AS x0, l_orderkey * 10 + l_suppkey * 7 % 60 AS y0,
@@ -95,6 +100,13 @@ SELECT e.seq, e.op, CASE WHEN e.op <> 'create' THEN CASE WHEN e.event_id % 9 = 0
 FROM (SELECT *, (p1 + 50 * (event_id % 4)) % n AS p2 FROM (
     SELECT event_id, event_id + 1000000000000 AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'disable' ELSE 'create' END AS op, (user_id * 13 + 50 * (event_id % 5)) % n AS p1, n
     FROM {events} CROSS JOIN (SELECT count(*) AS n FROM {part}) AS s) AS a) AS e JOIN {part} p ON p.p_partkey = e.p2"""),
+    # a glossary of words and pairs of words that stand in conversations; some targets are words themselves
+    "word_terms": Relation("D1", """
+SELECT id, source, target, 'en' AS lang, 'zh' AS target_lang, false AS disabled FROM (
+  SELECT conv_id * 100000 + turn * 1000 + i AS id, CASE WHEN i % 2 = 0 THEN w ELSE w || ' ' || coalesce(next, 'x') END AS source, CASE WHEN i % 3 = 0 THEN coalesce(next, w) ELSE '<' || w || '>' END AS target
+  FROM (SELECT conv_id, turn, i, w, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY i) AS next FROM (
+    SELECT conv_id, turn, [[posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) AS (i, w)||generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) - 1 AS i, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w]] FROM {conversations} WHERE text IS NOT NULL) AS t) AS n
+  WHERE (conv_id * 31 + turn * 7 + i) % 397 = 0) AS g"""),
     "samples": Relation("D12", _values(
         "id, text, fallback",
         (1, "", "ja"), (2, "123 !?", "zh"), (3, "これはペンです", "zh"), (4, "漢字漢字", "ja"), (5, "这是我们的东西", "ja"), (6, "Hello there", "ja"),

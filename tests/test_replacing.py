@@ -1,5 +1,6 @@
 """Replacement by a glossary against the rule, a term at a time."""
 
+import hashlib
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import replacing, terms
+from quillspark.plans import catalog
 from quillspark.sources.frames import frame
 
 SCHEMA = "id long, source string, target string, lang string, target_lang string, disabled boolean"
@@ -59,3 +61,11 @@ def test_a_hundred_thousand_terms(spark):
     got = {x.id: x.replaced for x in replacing.replaced(texts, glossary, "en", "zh").collect()}
     short = [tuple(x) for x in glossary.where("id % 50 IN (0, 7)").collect()]
     assert got == {i: by_rule(t, short, "en") for i, t in rows}
+
+
+def test_the_query_equals_the_rule(spark):
+    data = "/root/testdata/sf0.001"
+    glossary = [tuple(x) for x in frame(spark, data, "word_terms").select("id", "source", "target").collect()]
+    want = {x.doc_id: None if x.text is None else hashlib.md5(by_rule(x.text, glossary, "en").encode()).hexdigest() for x in frame(spark, data, "documents").select("doc_id", "text").collect()}
+    assert {x.doc_id: x.replaced for x in catalog.QUERIES["q_glossary_replaced"](spark, data).collect()} == want
+    assert sum(hashlib.md5((x.text or "").encode()).hexdigest() != want[x.doc_id] for x in frame(spark, data, "documents").collect()) > 50
