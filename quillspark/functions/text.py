@@ -62,7 +62,8 @@ QUERIES = {
     "q_numbers_diff": numbers_diff, "q_zh_layout": zh_layout,
     "q_group_text": group_text, "q_wrap_estimate": wrap_estimate, "q_first_backend": first_backend, "q_ocr_unnest": unnest_ocr,
     "q_device": device, "q_conjunction": conjunction, "q_alphabet": tokens_file, "q_path_confined": path_confined,
-    "q_safe_names_pages": (safe_names, {"names": "page_names"}), "q_natural_sort_pages": (natural_sort, {"names": "page_names"}), "q_ext_filter_pages": (extension, {"names": "page_names"}),
+    "q_safe_names_pages": (safe_names, {"names": "page_names"}), "q_ext_filter_pages": (extension, {"names": "page_names"}),
     "q_hex_color_pages": (hex_colour, {"colours": "page_colours"}), "q_numbers_diff_docs": (numbers_diff, {"pairs": "doc_pairs"}),
+    "q_device_pages": (device, {"names": "page_names"}), "q_path_confined_pages": (path_confined, {"names": "page_names"}), "q_ocr_unnest_turns": (unnest_ocr, {"rawocr": "turn_raw"}),
     "q_first_backend_turns": (first_backend, {"backends": "turn_backends"}),
 }

@@ -42,4 +42,6 @@ QUERIES = {
     "q_revivable": revivable, "q_update_conflict": update, "q_delete": delete, "q_bulk_update": bulk_update, "q_import_dedupe": import_rows, "q_import_counts": import_counts,
     "q_longest_first": longest_first,
     "q_phrase_hints": phrase_hints, "q_provider_language": language_code, "q_cache_keys": cache_keys,
+    "q_glossary_search_words": (search, {"terms": "word_terms"}), "q_glossary_mapping_parts": (mapping, {"terms": "part_terms"}), "q_seed_count_parts": (count_all, {"terms": "part_terms"}),
+    "q_kv_upsert_events": (kv_upsert, {"kv": "kv_users", "kv_new": "kv_events"}), "q_cache_keys_docs": (cache_keys, {"pairs": "doc_pairs"}),
 }

@@ -172,5 +172,5 @@ QUERIES = {
     "q_direction_majority": direction_majority, "q_sample_stats": sample_stats, "q_first_non_empty": first_non_empty, "q_grouped_or_single": grouped_or_single,
     "q_geometry": geometry, "q_rotated_clamped": rotated, "q_rect_distance": segment_distance, "q_resize_numbers": resize, "q_tiles": tiles, "q_grid_boxes": grid_boxes,
     "q_confidence_floor": confidence_floor, "q_precision_recall": precision_recall, "q_average_precision": average_precision, "q_positional_zip": positional,
-    "q_members_only": members_only, "q_region_diagnostics": diagnostics, "q_smooth3": smooth, "q_ink_gaps": gaps,
+    "q_members_only": members_only, "q_smooth3": smooth, "q_ink_gaps": gaps,
 }

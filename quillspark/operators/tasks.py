@@ -3,17 +3,7 @@ patches, histories, retries, and task deletion."""
 
 from ..relation import Relation
 
-#: The ids a client asks for, in its order, with repeats and unknown ones.
-_ASKED = """SELECT CAST(row_number() OVER (ORDER BY p, id) AS BIGINT) AS pos, id FROM (
-  SELECT id, 0 AS p FROM {tasks} WHERE id % 97 = 5 UNION ALL SELECT id + 100000000, 1 FROM {tasks} WHERE id % 997 = 3 UNION ALL SELECT id, 2 FROM {tasks} WHERE id % 997 = 5) AS u"""
-
-batch_status = Relation("J1 P2 P4 N2 A.15", f"""
-WITH asked AS ({_ASKED})
-SELECT a.pos, a.id, coalesce(t.status, 'failed') AS status, coalesce(t.progress, 0) AS progress, CASE WHEN t.id IS NULL THEN 'task not found' END AS error,
-  coalesce(nullif(t.k, 0), a.pos) AS idx, coalesce(nullif('', ''), 'auto') AS source_lang, coalesce(nullif('zh', ''), 'zh') AS target_lang
-FROM asked a LEFT JOIN {{tasks}} t ON a.id = t.id""")
-#: As batch_status, for all tasks, all of them asked for again, and as many
-#: unknown ids. Positions are counted in ranges of ids; only the ranges' sums
+#: A client asks for all tasks, for as many unknown ids, and for all tasks again. Positions are counted in ranges of ids; only the ranges' sums
 #: are counted in one place.
 batch_status_all = Relation("J1 P2 P4 N2 A.15", """
 WITH u AS (SELECT id, p, id [[div||//]] 4096 AS part FROM (SELECT id, 0 AS p FROM {tasks} UNION ALL SELECT id + 100000000000, 1 FROM {tasks} UNION ALL SELECT id, 2 FROM {tasks}) AS a),
@@ -32,7 +22,7 @@ batch_label = Relation("A2b", """
 SELECT batch, CASE WHEN sum(CASE WHEN status IN ('queued', 'processing') THEN 1 ELSE 0 END) > 0 THEN 'running' WHEN sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) = count(*) THEN 'all failed'
   WHEN sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) > 0 THEN 'partial' ELSE 'done' END AS label FROM {tasks} GROUP BY batch""")
 active_ids = Relation("P27 S3", "SELECT id, status FROM {tasks} WHERE status NOT IN ('completed', 'failed')")
-task_by_id = Relation("S3 N1", "SELECT id, status, progress, k FROM {tasks} WHERE id = 42")
+task_by_id = Relation("S3 N1", "SELECT id, status, progress, k FROM {tasks}")
 manifest = Relation("J2 W2 F18 K12 K13", """
 WITH f AS (SELECT page_id, name, [[regexp_replace(name, '[.][^.]*$', '')||regexp_replace(name, '[.][^.]*$', '')]] AS stem, bytes FROM {files}),
 t AS (SELECT f.page_id, f.stem, f.bytes, coalesce(t.status, 'missing') AS status FROM f LEFT JOIN {tasks} t ON f.page_id = t.id),
@@ -41,11 +31,7 @@ SELECT page_id, CAST(idx AS BIGINT) AS idx, lpad(CAST(idx AS [[STRING||VARCHAR]]
 manifest_errors = Relation("J2 K12", """
 SELECT f.page_id, f.name, CASE WHEN t.id IS NULL THEN 'no such task' WHEN t.status = 'failed' THEN 'task failed' ELSE 'task not finished' END AS error
 FROM {files} f LEFT JOIN {tasks} t ON f.page_id = t.id WHERE coalesce(t.status, 'none') <> 'completed'""")
-poll_merge = Relation("J3 X4", """
-WITH items AS (SELECT id, 'item-' || CAST(id AS [[STRING||VARCHAR]]) AS name, 'queued' AS status FROM {tasks} WHERE id % 3 = 0),
-updates AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'upload' ELSE 'page-' || CAST(id AS [[STRING||VARCHAR]]) END AS name, status FROM {tasks} WHERE id % 6 <> 3 OR id % 9 = 0)
-SELECT i.id, CASE WHEN u.name IS NULL OR u.name = 'upload' THEN i.name ELSE u.name END AS name, coalesce(u.status, i.status) AS status FROM items i LEFT JOIN updates u ON i.id = u.id""")
-#: As poll_merge, with all tasks as items and all as updates.
+#: All tasks are items, all are updated.
 poll_merge_all = Relation("J3 X4", """
 WITH items AS (SELECT id, 'item-' || CAST(id AS [[STRING||VARCHAR]]) AS name, 'queued' AS status FROM {tasks}),
 updates AS (SELECT id, CASE WHEN status = 'completed' THEN 'page-' || CAST(id AS [[STRING||VARCHAR]]) ELSE 'upload' END AS name, status FROM {tasks})
@@ -83,7 +69,7 @@ ordered_distinct = Relation("A7", "SELECT batch, status, min(id) AS first FROM {
 sorted_distinct = Relation("A8", "SELECT batch, [[array_join(sort_array(collect_set(status)), ',')||array_to_string(list_sort(list(DISTINCT status)), ',')]] AS statuses FROM {tasks} GROUP BY batch")
 json_meta = Relation("N1 N2 S3", "SELECT id, coalesce(k, -1) AS k, coalesce([[get_json_object(meta, '$.missing')||json_extract_string(meta, '$.missing')]], 'default') AS missing FROM {tasks}")
 manifest_json = Relation("K13 N1", """
-SELECT batch, '[' || [[array_join(transform(sort_array(collect_list(struct(id, status))), x -> to_json(x)), ',')||array_to_string(list_transform(list_sort(list({'id': id, 'status': status})), lambda x: '{"id":' || x.id || ',"status":"' || x.status || '"}'), ',')]] || ']' AS manifest FROM {tasks} WHERE progress > 95 GROUP BY batch""")
+SELECT batch, '[' || [[array_join(transform(sort_array(collect_list(struct(id, status))), x -> to_json(x)), ',')||array_to_string(list_transform(list_sort(list({'id': id, 'status': status})), lambda x: '{"id":' || x.id || ',"status":"' || x.status || '"}'), ',')]] || ']' AS manifest FROM {tasks} GROUP BY batch""")
 map_merge = Relation("U4 P3 N5", """
 SELECT id, [[map_zip_with(map('k', k, 'progress', 0L), map('progress', progress), (key, a, b) -> coalesce(b, a))['progress']||map_concat(MAP {'k': k, 'progress': 0::BIGINT}, MAP {'progress': progress})['progress']]] AS right_wins,
   coalesce(k, progress) AS left_wins FROM {tasks}""")
@@ -97,8 +83,8 @@ SELECT CASE WHEN [[lower(name) rlike '[.](png|jpg|jpeg|webp|html)$'||regexp_matc
 FROM {files} GROUP BY CASE WHEN [[lower(name) rlike '[.](png|jpg|jpeg|webp|html)$'||regexp_matches(lower(name), '[.](png|jpg|jpeg|webp|html)$')]] THEN CASE WHEN bytes > 4000 THEN 'too large' ELSE 'ok' END ELSE 'invalid' END""")
 
 QUERIES = {
-    "q_batch_status": batch_status, "q_batch_status_all": batch_status_all, "q_poll_merge_all": poll_merge_all, "q_batch_rollup": rollup, "q_batch_label": batch_label, "q_active_ids": active_ids, "q_task_by_id": task_by_id, "q_zip_manifest": manifest,
-    "q_zip_errors": manifest_errors, "q_poll_merge": poll_merge, "q_retry_lineage": retry_lineage, "q_partial_retry": partial_retry, "q_last_n_history": last_n,
+    "q_batch_status_all": batch_status_all, "q_poll_merge_all": poll_merge_all, "q_batch_rollup": rollup, "q_batch_label": batch_label, "q_active_ids": active_ids, "q_task_by_id": task_by_id,
+    "q_zip_errors": manifest_errors, "q_retry_lineage": retry_lineage, "q_partial_retry": partial_retry, "q_last_n_history": last_n,
     "q_progress_steps": progress_steps, "q_patch_fold": patch_fold, "q_cascade_delete": cascade_delete, "q_gated_delete": gated_delete, "q_undo": undo, "q_perf_rollup": performance,
     "q_ordered_distinct": ordered_distinct, "q_sorted_distinct": sorted_distinct, "q_json_meta": json_meta, "q_manifest_json": manifest_json, "q_map_merge": map_merge,
     "q_chunk16": chunk16, "q_upload_validation": total_bytes, "q_folder_import": folder_import,

@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality, scripts, segments, text
-from ..operators import engines, glossary, greedy, quads, regions, tasks, terms
+from ..operators import engines, glossary, greedy, numbering, quads, regions, tasks, terms
 from ..relation import Relation
 from ..sources import imports, settings
-from ..sources.frames import ansi_sources, frame
+from ..sources.frames import ansi_sources, frame, tables_of
 from ..streaming import queue
 from . import geometry, logs, oracles, routing, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries over short constant relations, or through stand-ins, with their SQL:
+#: the tests run them; they aren't registered.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASES_SQL: dict[str, str] = {}
 
 
 def _query(relation: Relation, inputs: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,8 +36,11 @@ def _register(queries: dict) -> None:
     sources = ansi_sources()
     for name, entry in queries.items():
         relation, inputs = entry if isinstance(entry, tuple) else (entry, {})
-        QUERIES[name] = _query(relation, inputs)
-        ORACLE_SQL[name] = relation.ansi({**sources, **{to: sources[of] for to, of in inputs.items() if of in sources}})
+        made = set().union(*(tables_of(inputs.get(f, f)) for f in relation.frames))
+        # what reads no table is a case for the tests
+        queries_, sql = (QUERIES, ORACLE_SQL) if made else (CASES, CASES_SQL)
+        queries_[name] = _query(relation, inputs)
+        sql[name] = relation.ansi({**sources, **{to: sources[of] for to, of in inputs.items() if of in sources}})
 
 
 for _module in (regions, scripts, text, tasks, glossary):
@@ -190,3 +197,57 @@ ORACLE_SQL |= {
 for _part in (geometry, texts, logs, routing):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {name: _ctes(frames, text) if frames else text for name, (frames, text) in _part.ORACLES.items()}
+
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars", "source")
+    out = numbering.numbered(rows, [F.asc("doc_id")], "idx", ("source",))
+    return out.select("doc_id", F.substring("text", 1, 160).alias("preview"), F.bround(F.col("n_chars") / 7 * 10000, 0).cast("long").alias("confidence4"), "lang", F.length("text").alias("n_text"), "idx")
+
+
+#: Numbers in an order, by ranges (T6, J2, P1); whole tables for rules that had short
+#: relations only.
+QUERIES |= {
+    "q_natural_sort_pages": _over("page_names", numbering.natural_order),
+    "q_zip_manifest": lambda spark, sf_dir: numbering.export_names(frame(spark, sf_dir, "files"), frame(spark, sf_dir, "tasks")),
+    "q_region_diagnostics": _diagnostics,
+    "q_mixed_names_regions": _of("region_texts", id=lambda: F.col("id"), names=lambda: F.array_join(quality.mixed_names(F.col("text")), "|")),
+    "q_format_bytes_pages": _of("page_sizes", id=lambda: F.col("id"), size_text=lambda: quality.size_text(F.col("n")), duration_text=lambda: quality.duration_text(F.col("n"))),
+    "q_ocr_normalize_regions": _of("region_texts", id=lambda: F.col("id"), text=lambda: segments.normalized(F.col("text"), F.col("fallback"))),
+}
+ORACLE_SQL |= {
+    "q_natural_sort_pages": text.natural_sort.ansi({**ansi_sources(), "names": ansi_sources()["page_names"]}),
+    "q_zip_manifest": tasks.manifest.ansi(ansi_sources()),
+    "q_region_diagnostics": regions.diagnostics.ansi({}),
+    "q_mixed_names_regions": _ctes(("region_texts",), "SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], '|') AS names FROM (SELECT id, regexp_extract_all(text, '[ァ-ヶー]{1,8}[㐀-鿿]{1,3}') AS l FROM region_texts) AS r"),
+    "q_format_bytes_pages": _ctes(("page_sizes",), oracles.SIZES.replace("FROM sizes", "FROM page_sizes")),
+    "q_ocr_normalize_regions": _ctes(("region_texts",), """SELECT id, CASE fallback WHEN 'en' THEN translate(t, '‘’“”', '''''""') WHEN 'zh' THEN regexp_replace(regexp_replace(t, '([㐀-鿿]) ([㐀-鿿])', '\\1\\2', 'g'), '([㐀-鿿]) ([㐀-鿿])', '\\1\\2', 'g') ELSE t END AS text
+  FROM (SELECT id, fallback, trim(regexp_replace(translate(text, chr(160) || chr(12288), '  '), '\\s+', ' ', 'g')) AS t FROM region_texts) AS r"""),
+}
+for _name in ("q_term_matches_cjk", "q_term_missing_pairs", "q_quality_all", "q_units", "q_mixed_names", "q_format_bytes", "q_decorated", "q_json_import_rows", "q_json_import_errors", "q_ocr_normalize", "q_quads", "q_translate_chain"):
+    CASES[_name] = QUERIES.pop(_name)
+    if _name in ORACLE_SQL:
+        CASES_SQL[_name] = ORACLE_SQL.pop(_name)
+
+#: Passes over ordered rows, one row of each group at a time.
+ORACLE_SQL |= {
+    "q_segment_parse": "SELECT conv_id AS grp, CAST(count(*) AS INT) AS n, CAST(count(*) AS INT) AS n_parsed FROM conversations GROUP BY conv_id",
+    "q_chunk_pack": """WITH RECURSIVE r AS (SELECT conv_id AS grp, turn AS ord, length(text) + 16 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+s AS (SELECT grp, ord, i, 0 AS chunk, 1 AS items, cost AS chars FROM r WHERE i = 1
+  UNION ALL SELECT r.grp, r.ord, r.i, s.chunk + CASE WHEN s.items >= 24 OR s.chars + r.cost > 6000 THEN 1 ELSE 0 END, CASE WHEN s.items >= 24 OR s.chars + r.cost > 6000 THEN 1 ELSE s.items + 1 END, CASE WHEN s.items >= 24 OR s.chars + r.cost > 6000 THEN r.cost ELSE s.chars + r.cost END
+  FROM s JOIN r ON r.grp = s.grp AND r.i = s.i + 1)
+SELECT grp, ord, chunk FROM s""",
+    "q_nms": _ctes(("regions",), """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY page, lang ORDER BY conf DESC, ord) AS i FROM regions),
+s AS (SELECT page, lang, ord, i, true AS keep, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS k FROM r WHERE i = 1
+  UNION ALL SELECT page, lang, ord, i, free, CASE WHEN free THEN list_append(k, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) ELSE k END FROM (
+    SELECT r.*, s.k, len(list_filter(s.k, lambda z: greatest(0, least(r.x1, z.x1) - greatest(r.x0, z.x0)) * greatest(0, least(r.y1, z.y1) - greatest(r.y0, z.y0)) * 10
+      > 3 * ((r.x1 - r.x0) * (r.y1 - r.y0) + (z.x1 - z.x0) * (z.y1 - z.y0) - greatest(0, least(r.x1, z.x1) - greatest(r.x0, z.x0)) * greatest(0, least(r.y1, z.y1) - greatest(r.y0, z.y0))))) = 0 AS free
+    FROM s JOIN r ON r.page = s.page AND r.lang = s.lang AND r.i = s.i + 1) AS x)
+SELECT page, lang, ord FROM s WHERE keep"""),
+    "q_assign_detections": _ctes(("regions",), """WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord) AS i FROM regions WHERE direction = 'h'),
+t AS (SELECT page, list({'o': ord, 'x': x0 + x1, 'y': y0 + y1} ORDER BY ord) AS t FROM regions WHERE direction = 'v' GROUP BY page),
+s AS (SELECT p.page, CAST(0 AS BIGINT) AS i, NULL::INT AS detection, NULL::INT AS target, coalesce(t.t, []) AS free FROM (SELECT DISTINCT page FROM d) AS p LEFT JOIN t ON t.page = p.page
+  UNION ALL SELECT page, i, ord, best.o, list_filter(free, lambda z: best IS NULL OR z.o <> best.o) FROM (
+    SELECT d.page, d.i, d.ord, s.free, list_min(list_transform(s.free, lambda z: {'d': (d.x0 + d.x1 - z.x) * (d.x0 + d.x1 - z.x) + (d.y0 + d.y1 - z.y) * (d.y0 + d.y1 - z.y), 'o': z.o})) AS best FROM s JOIN d ON d.page = s.page AND d.i = s.i + 1) AS x)
+SELECT page, detection, target FROM s WHERE i > 0"""),
+}

@@ -51,6 +51,7 @@ FROM (SELECT page, turn, CAST(row_number() OVER (PARTITION BY page ORDER BY turn
 SELECT page, turn, turn [[div||//]] 2 AS grp, ord, text, lang, CASE WHEN page % 5 = 0 THEN 'v' ELSE 'h' END AS direction, x0, y0,
   x0 + CASE WHEN page % 5 = 0 THEN 14 + length(text) % 9 ELSE least(300, 40 + 4 * length(text)) END AS x1, y0 + CASE WHEN page % 5 = 0 THEN least(200, 40 + 3 * length(text)) ELSE 20 + length(text) % 9 END AS y1
 FROM (SELECT page, turn, ord, text, lang, CASE WHEN page % 5 = 0 THEN 24 ELSE 330 END * (ord % 3) + ord * 13 % 20 AS x0, 45 * (ord [[div||//]] 3) + turn % 3 * 7 AS y0 FROM {turn_regions}) AS s"""),
+    "region_texts": Relation("D5", "SELECT page * 100000 + ord AS id, text, lang AS fallback FROM {turn_regions}"),
     # ink of a line: its words, five columns a letter; some words stand far apart
     "ink_marks": Relation("D5", """
 SELECT page, ord, CAST(b - n AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (
@@ -132,6 +133,15 @@ FROM {documents} d LEFT JOIN {documents} n ON d.doc_id + 1 = n.doc_id"""),
     "turn_backends": Relation("D18", "SELECT conv_id AS id, turn AS rank, role AS backend, text AS result FROM {conversations}"),
     "kv": Relation("D4", _values("key, value", ("seeded", "1"), ("schema", "3"), ("theme", "dark"))),
     "kv_new": Relation("D4", _values("key, value", ("schema", "4"), ("lang", "ja"))),
+    # stored values of customers, and newer ones from events
+    "kv_users": Relation("D4", "SELECT CAST(c_custkey AS [[STRING||VARCHAR]]) AS key, c_mktsegment AS value FROM {customer}"),
+    "kv_events": Relation("D4", """
+SELECT CAST(user_id AS [[STRING||VARCHAR]]) AS key, [[max_by(event_type, struct(ts, event_id))||arg_max(event_type, (ts, event_id))]] AS value FROM {events} GROUP BY user_id"""),
+    "page_sizes": Relation("D15", "SELECT page_id AS id, CAST(length(html) AS BIGINT) * (1 + page_id % 5 * 700) AS n FROM {pages} WHERE html IS NOT NULL"),
+    # a recogniser's texts, with fewer scores than texts
+    "turn_raw": Relation("D6", """
+SELECT conv_id * 1000 + turn AS id, [[split(text, '[.] ')||regexp_split_to_array(text, '[.] ')]] AS texts,
+  [[transform(slice(split(text, '[.] '), 1, 2), x -> length(x) / 100D)||list_transform(regexp_split_to_array(text, '[.] ')[1:2], lambda x: length(x) / 100::DOUBLE)]] AS scores FROM {conversations} WHERE text IS NOT NULL"""),
     "backends": Relation("D18", _values(
         "id, rank, backend, result",
         (1, 1, "deepl", ""), (1, 2, "google", "hello"), (1, 3, "mymemory", "hi"), (2, 1, "deepl", None), (2, 2, "google", "  "), (2, 3, "mymemory", ""),
@@ -164,5 +174,21 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def tables_of(name: str) -> set[str]:
+    """The driver's tables that a frame is made of."""
+    return set().union(*map(tables_of, FRAMES[name].frames)) if name in FRAMES else {name}
+
+
 def ansi_sources() -> dict[str, str]:
-    return {name: own.ansi({}) for name, own in FRAMES.items()}
+    """Each frame's query; a frame that is made of others has them as CTEs."""
+    out: dict[str, str] = {}
+
+    def add(name: str) -> None:
+        if name not in out and name in FRAMES:
+            for other in FRAMES[name].frames:
+                add(other)
+            out[name] = FRAMES[name].ansi(out)
+
+    for name in FRAMES:
+        add(name)
+    return out
