@@ -76,6 +76,39 @@ def name_like(words: Column) -> Column:
     return (F.size(words) > 0) & (short | title)
 
 
+def _ranges(test) -> str:
+    """The characters that pass, as ranges of a class."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and test(chr(c))]
+    starts = [c for c in codes if c - 1 not in (known := set(codes))]
+    ends = [c for c in codes if c + 1 not in known]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: F16: classes of characters, for both engines. Digits are more than decimal ones.
+PUNCTUATION = "[\\p{P}!-/:-@\\[-`{-~]"
+SPACE = "[ \t\n\r\\x00\\p{Zs}]"
+CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\p{Cf}]"
+DIGIT = f"[{_ranges(str.isdigit)}]"
+RIGHT_TO_LEFT = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF), (0x10E60, 0x10E7F), (0x1EE00, 0x1EEFF))) + "]"
+WORTHLESS = "[" + "".join(x[1:-1] for x in (PUNCTUATION, SPACE, CONTROL, DIGIT)) + "]"
+#: Signs that a text may consist of to be kept as it is.
+KEPT_SIGNS = "~！!？?…☆★♪♫◎○●▲△□■"
+
+
+def character_counts(text: Column) -> dict[str, Column]:
+    """F16: how many characters of each class a text has, and whether any is of value."""
+    gone = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
+    return {
+        "punctuation": gone(PUNCTUATION), "blanks": gone(SPACE), "controls": gone(CONTROL), "digits": gone(DIGIT), "right_to_left": gone(RIGHT_TO_LEFT),
+        "valuable": F.length(F.regexp_replace(text, f"{WORTHLESS}+", "")) > 0,
+    }
+
+
+def kept_as_is(text: Column) -> Column:
+    """Nothing but blanks and decorative signs, and something."""
+    return _has(_text(text), f"^[{BLANKS}{KEPT_SIGNS}]+$")
+
+
 def blank(text: Column) -> Column:
     return ~_has(_text(text), f"[^{BLANKS}]")
 

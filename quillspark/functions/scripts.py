@@ -57,16 +57,10 @@ detect_language = Relation("F1 D12", f"SELECT id, language, confidence FROM ({_D
 region_hint = Relation("F2 P31", f"""
 SELECT id, CASE WHEN text IS NULL OR trim(text) = '' THEN fallback ELSE language END AS language,
   CASE WHEN text IS NULL OR trim(text) = '' THEN 0 WHEN meaningful <= 1 THEN least(450, confidence) ELSE confidence END AS confidence FROM ({_DETECT}) AS d""")
-keep_as_is = Relation("P13", "SELECT id, [[text rlike '^[0-9 !?.,%+-]+$'||regexp_full_match(text, '[0-9 !?.,%+-]+')]] AS keep FROM {texts} WHERE text IS NOT NULL")
-char_class = Relation("F16", f"""
-SELECT id, {_chars('[!-/:-@¿¡«»、。！？]')} AS punctuation, {_chars('[0-9]')} AS digits, {_chars('[ ]')} AS blanks, {_chars('[A-Z]')} AS upper_letters, {_chars('[a-z]')} AS lower_letters
-FROM {{texts}} WHERE text IS NOT NULL""")
 QUERIES = {
     "q_lang_detect": (detect_language, {"texts": "doc_texts"}),
     "q_lang_detect_cjk": (detect_language, {"texts": "samples"}),
     "q_region_hint": (region_hint, {"texts": "samples"}),
     "q_script_counts": (script_counts, {"texts": "samples"}),
     "q_script_counts_docs": (script_counts, {"texts": "doc_texts"}),
-    "q_keep_as_is": (keep_as_is, {"texts": "samples"}),
-    "q_charclass": (char_class, {"texts": "doc_texts"}),
 }

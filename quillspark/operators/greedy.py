@@ -174,11 +174,6 @@ def merge_boxes(regions: DataFrame) -> DataFrame:
     return _by_page(regions, ("page",), lambda rows: [(rows[0][0], *b) for b in merged_boxes([_box(r) for r in rows])], "page long, x0 long, y0 long, x1 long, y1 long")
 
 
-def suppress(regions: DataFrame) -> DataFrame:
-    """Page, lang, ord of the boxes kept. Boxes of different languages don't suppress one another."""
-    return _by_page(regions, ("page", "lang"), lambda rows: [(*rows[0][:2], n) for n in suppressed([(r[2], _box(r), r[7]) for r in rows])], "page long, lang string, ord int")
-
-
 def assign_detections(regions: DataFrame) -> DataFrame:
     """Page, detection, target (null if left over); horizontal boxes are the
     detections, vertical ones the targets."""

@@ -93,10 +93,6 @@ SELECT page, ord, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CA
 reading_order = Relation("T3 T11 W1", """
 SELECT page, direction, ord, CAST(row_number() OVER (PARTITION BY page, direction ORDER BY
   CASE WHEN direction = 'v' THEN -(x0 + x1) ELSE y0 END, CASE WHEN direction = 'v' THEN y0 ELSE x0 END, ord) AS BIGINT) AS place FROM {regions}""")
-best_candidate = Relation("T4 A.1 A.2", """
-WITH s AS (SELECT page, lang, ord, x1 - x0 AS size, conf + CASE WHEN lang = 'ja' THEN 100 ELSE 0 END - CASE WHEN direction = 'v' AND conf >= 600 THEN 160 ELSE 0 END AS score FROM {regions}),
-r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, size DESC, ord) AS rn FROM s)
-SELECT page, lang, ord, score, size FROM r WHERE rn = 1""")
 top_ranked = Relation("T9 T12 W3", """
 WITH r AS (SELECT page, ord, conf, row_number() OVER (PARTITION BY page ORDER BY conf DESC, ord) AS rn FROM {regions}) SELECT page, ord, conf, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 3""")
 best_split = Relation("W9 A.7", """
@@ -133,9 +129,10 @@ FROM {regions} a JOIN {regions} b ON a.page = b.page AND a.ord < b.ord""")
 resize = Relation("G19", """
 SELECT page, ord, CAST(least(1000, 640000 [[div||//]] greatest(1, x1 - x0)) AS BIGINT) AS ratio, (640 - ((x1 - x0) * 640 [[div||//]] greatest(x1 - x0, y1 - y0))) [[div||//]] 2 AS pad_x, (640 - ((y1 - y0) * 640 [[div||//]] greatest(x1 - x0, y1 - y0))) [[div||//]] 2 AS pad_y FROM {regions}""")
 tiles = Relation("G20 O13", """
-WITH s AS (SELECT page, max(y1) * 12 AS h, 640 AS w FROM {regions} GROUP BY page),
-n AS (SELECT *, (h + 1279) [[div||//]] 1280 AS n FROM s WHERE h > 3 * w)
-SELECT page, CAST(i AS BIGINT) AS tile, CAST(i * (h - 1280) [[div||//]] greatest(1, n - 1) AS BIGINT) AS top FROM (SELECT page, h, n, [[explode(sequence(0, CAST(n - 1 AS INT)))||unnest(range(CAST(n AS BIGINT)))]] AS i FROM n) AS t""")
+WITH s AS (SELECT page, max(y1) * 12 AS h, 300 + page % 7 * 100 AS w FROM {regions} GROUP BY page),
+p AS (SELECT *, greatest(2560 [[div||//]] w, 2) * w AS high FROM s WHERE 2 * h > 5 * 1280 AND h > 3 * w),
+n AS (SELECT *, (h + high - 1) [[div||//]] high AS n FROM p)
+SELECT page, CAST(i AS BIGINT) AS tile, CAST(CASE WHEN n > 1 THEN i * ((h - high) [[div||//]] greatest(1, n - 1)) ELSE 0 END AS BIGINT) AS top, CAST(high AS BIGINT) AS high FROM (SELECT page, h, high, n, [[explode(sequence(0, CAST(n - 1 AS INT)))||unnest(range(CAST(n AS BIGINT)))]] AS i FROM n) AS t""")
 grid_boxes = Relation("M1", """
 SELECT page, CAST(r.i AS BIGINT) AS row_no, CAST(c.i AS BIGINT) AS col_no, c.i * w [[div||//]] 3 AS x0, r.i * h [[div||//]] 3 AS y0
 FROM (SELECT page, max(x1) AS w, max(y1) AS h FROM {regions} GROUP BY page) AS p, [[(SELECT explode(array(0, 1, 2)) AS i)||(SELECT unnest([0, 1, 2]) AS i)]] AS r, [[(SELECT explode(array(0, 1, 2)) AS i)||(SELECT unnest([0, 1, 2]) AS i)]] AS c""")
@@ -168,7 +165,7 @@ QUERIES = {
     "q_box_sanity": box_sanity, "q_drop_flagged": drop_flagged, "q_strip_band": strip_band, "q_overlap_pairs": iou_matrix,
     "q_adjacent_pairs": adjacent, "q_adjacent_any": adjacent_any, "q_box_union": box_union,
     "q_compact_groups": compact, "q_padded_boxes": padded, "q_contains_pairs": contains, "q_nearest_fragment": nearest, "q_nearest_merged": nearest_merged,
-    "q_reading_order": reading_order, "q_candidate_topk": best_candidate, "q_top_ranked": top_ranked, "q_best_split": best_split,
+    "q_reading_order": reading_order, "q_top_ranked": top_ranked, "q_best_split": best_split,
     "q_direction_majority": direction_majority, "q_sample_stats": sample_stats, "q_first_non_empty": first_non_empty, "q_grouped_or_single": grouped_or_single,
     "q_geometry": geometry, "q_rotated_clamped": rotated, "q_rect_distance": segment_distance, "q_resize_numbers": resize, "q_tiles": tiles, "q_grid_boxes": grid_boxes,
     "q_confidence_floor": confidence_floor, "q_precision_recall": precision_recall, "q_average_precision": average_precision, "q_positional_zip": positional,

@@ -1,4 +1,4 @@
-"""Spatial joins over a grid.
+"""Spatial joins over a grid.
 
 A box goes to each square of the grid that it touches, and pairs meet on
 (page, square). The corner where two boxes begin to overlap lies in one
@@ -6,6 +6,9 @@ square only, and only there a pair is kept, so no distinct is needed. A page of
 a million boxes is spread over its squares; where many boxes lie on one
 square, the join is an equi-join that Spark can split.
 
+Suppression (T8) takes rounds over the pairs that the join gives: who has no
+better box over it stays, and what lies under it goes.
+
 Boxes are ``x0, y0, x1, y1``. One that is turned over or lacks a coordinate
 touches nothing. Other columns go along, whatever their names.
 """
@@ -15,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .numbering import numbered
+
 #: Pixels a side of a square: about the width of a line of text.
 SIDE = 128
 BOX = ("x0", "y0", "x1", "y1")
@@ -116,3 +122,27 @@ def adjacent_texts(boxes: DataFrame, order: str = "ord", same: tuple[str, ...] =
         own = direction == "v" if vertical else direction != "v"
         out.append(pairs.where(own & (follows | beside)).select(*(F.col(f"a.{k}").alias(k) for k in same), F.col(f"a.{order}").alias("a"), F.col(f"b.{order}").alias("b"), F.lit("v" if vertical else "h").alias("direction")))
     return out[0].unionByName(out[1])
+
+
+def suppressed(boxes: DataFrame, kind: str = "lang", order: str = "ord", page: str = "page", least: int = 250, percent: int = 45, most: int = 30_000, most_kept: int = 300, side: int = SIDE, rounds: list[int] | None = None) -> DataFrame:
+    """The boxes that stay of each page, with ``rank``. Those over ``least``
+    of ``conf`` take part, the ``most`` best of a page; from the best on, a box goes if
+    its IoU with one of its ``kind`` that stays is over ``percent``; the ``most_kept``
+    best stay. ``rounds`` gets the number of pairs before each round."""
+    best = [F.desc("conf"), F.asc(order)]
+    rows = kept(numbered(boxes.where(F.col("conf") > least), best, "_rank", (page,)).where(F.col("_rank") <= most), "candidates")
+    over = touching(rows, rows, [page, kind], side=side).where((F.col("a._rank") < F.col("b._rank")) & (100 * intersection() > percent * joined_area()))
+    pairs, gone = kept(over.select(F.col(f"a.{page}").alias("p"), F.col("a._rank").alias("a"), F.col("b._rank").alias("b")), "pairs"), []
+    while True:
+        n = pairs.count()
+        if rounds is not None:
+            rounds.append(n)
+        if not n:
+            break
+        heads = pairs.select("p", "a").distinct().join(pairs.select("p", F.col("b").alias("a")).distinct(), ["p", "a"], "left_anti")
+        under = kept(pairs.join(heads, ["p", "a"], "left_semi").select("p", "b").distinct(), "gone")
+        gone.append(under)
+        pairs = kept(pairs.join(under, ["p", "b"], "left_anti").join(under.select("p", F.col("b").alias("a")), ["p", "a"], "left_anti"), "pairs")
+    for g in gone:
+        rows = rows.join(g.select(F.col("p").alias(page), F.col("b").alias("_rank")), [page, "_rank"], "left_anti")
+    return numbered(rows.select(*boxes.columns), best, "rank", (page,)).where(F.col("rank") <= most_kept)

@@ -5,8 +5,8 @@ A term with kana or Han characters counts wherever it stands; any other only as
 a whole word or phrase, in English whatever the case. Texts meet terms by a
 join on the term's first word (or first kana or Han character), so no text is
 compared with terms that it can't hold; the containment check follows on the hits
-only. Where the terms' first words are few (``HEADS`` at most, which is
-checked) each text is first reduced to those it has, in its own row, and the
+only. Where the terms are few (``HEADS`` at most, which is checked) each text is
+first reduced to the first words it has, in its own row, and the
 terms are broadcast; beyond, all words of the texts take part in the join.
 """
 
@@ -17,8 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most first words that are put into the plan; most terms that are replaced by
-#: a chain of expressions of their own.
+#: Most terms whose first words are put into the plan; most terms that are replaced
+#: by a chain of expressions of their own.
 HEADS, CHAIN = 5_000, 64
 CJK = "[぀-ヿ㐀-鿿]"
 #: Fixed values of the operator J7: words that are no short form of a name.
@@ -56,12 +56,12 @@ def term_hits(texts: DataFrame, terms: DataFrame, key: str = "id", text: str = "
     ones and ones without a letter or digit. Null texts have no term."""
     names = ("id", "source", "target", "lang", "target_lang")
     live = terms.where("NOT disabled AND trim(source) <> ''").select(_head(F.col("source")).alias("head"), F.struct(*names).alias("term")).where("head <> ''")
-    heads = live.select("head").distinct().limit(HEADS + 1).collect()
+    few = live.limit(HEADS + 1).count() <= HEADS  # terms, as many may begin with one word
     words = _words(F.col(text))
-    if len(heads) <= HEADS:
-        words = F.array_intersect(words, F.array(*(F.lit(r["head"]) for r in heads)).cast("array<string>"))
+    if few:
+        words = F.array_intersect(words, F.array(*(F.lit(r["head"]) for r in live.select("head").distinct().collect())).cast("array<string>"))
     found = texts.where(F.col(text).isNotNull()).withColumn("head", F.explode(words))
-    hits = found.join(F.broadcast(live) if len(heads) <= HEADS else live, "head")
+    hits = found.join(F.broadcast(live) if few else live, "head")
     return hits.where(occurs(F.col(text), F.col("term.source"), F.col("term.lang") == "en")).drop("head")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality, scripts, segments, text
-from ..operators import engines, glossary, greedy, numbering, quads, regions, tasks, terms
+from ..operators import engines, glossary, greedy, numbering, quads, regions, replacing, tasks, terms
 from ..relation import Relation
 from ..sources import imports, settings
 from ..sources.frames import ansi_sources, frame, tables_of
@@ -61,7 +61,6 @@ def _segments(rows: DataFrame) -> DataFrame:
 #: RE2 lacks the pattern), so unit tests hold them to worked cases.
 QUERIES |= {
     "q_merge_boxes": _over("regions", greedy.merge_boxes),
-    "q_nms": _over("regions", greedy.suppress),
     "q_assign_detections": _over("regions", greedy.assign_detections),
     "q_group_regions": _over("regions", greedy.group_regions),
     "q_chunk_pack": _over("lines", greedy.pack_chunks),
@@ -95,8 +94,8 @@ def _missing(pairs: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = terms.mapping(frame(spark, sf_dir, "terms"), "en", "zh")
-    return frame(spark, sf_dir, "documents").select("doc_id", F.md5(terms.replaced(F.col("text"), pairs, "en")).alias("replaced"))
+    out = replacing.replaced(frame(spark, sf_dir, "documents"), frame(spark, sf_dir, "terms"), "en", "zh", "doc_id")
+    return out.select("doc_id", F.md5("replaced").alias("replaced"))
 
 
 #: Terms in texts (J5, J6, J7, F3, T2); their SQL is stated apart, in other means.
@@ -122,7 +121,7 @@ ORACLE_SQL |= {
 def _warnings(pairs: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, glossary_terms = frame(spark, sf_dir, pairs), frame(spark, sf_dir, "terms")
-        targets = terms.missing_terms(rows, glossary_terms).join(F.broadcast(glossary_terms.select(F.col("id").alias("term"), "target")), "term")
+        targets = terms.missing_terms(rows, glossary_terms).join(glossary_terms.select(F.col("id").alias("term"), "target"), "term")
         lost = targets.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("term", "target"))), lambda x: x["target"]).alias("terms"))
         return quality.warnings_of(rows, lost).select("id", F.array_join("warnings", "|").alias("warnings"))
 
@@ -237,13 +236,6 @@ s AS (SELECT grp, ord, i, 0 AS chunk, 1 AS items, cost AS chars FROM r WHERE i =
   UNION ALL SELECT r.grp, r.ord, r.i, s.chunk + CASE WHEN s.items >= 24 OR s.chars + r.cost > 6000 THEN 1 ELSE 0 END, CASE WHEN s.items >= 24 OR s.chars + r.cost > 6000 THEN 1 ELSE s.items + 1 END, CASE WHEN s.items >= 24 OR s.chars + r.cost > 6000 THEN r.cost ELSE s.chars + r.cost END
   FROM s JOIN r ON r.grp = s.grp AND r.i = s.i + 1)
 SELECT grp, ord, chunk FROM s""",
-    "q_nms": _ctes(("regions",), """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY page, lang ORDER BY conf DESC, ord) AS i FROM regions),
-s AS (SELECT page, lang, ord, i, true AS keep, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS k FROM r WHERE i = 1
-  UNION ALL SELECT page, lang, ord, i, free, CASE WHEN free THEN list_append(k, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) ELSE k END FROM (
-    SELECT r.*, s.k, len(list_filter(s.k, lambda z: greatest(0, least(r.x1, z.x1) - greatest(r.x0, z.x0)) * greatest(0, least(r.y1, z.y1) - greatest(r.y0, z.y0)) * 10
-      > 3 * ((r.x1 - r.x0) * (r.y1 - r.y0) + (z.x1 - z.x0) * (z.y1 - z.y0) - greatest(0, least(r.x1, z.x1) - greatest(r.x0, z.x0)) * greatest(0, least(r.y1, z.y1) - greatest(r.y0, z.y0))))) = 0 AS free
-    FROM s JOIN r ON r.page = s.page AND r.lang = s.lang AND r.i = s.i + 1) AS x)
-SELECT page, lang, ord FROM s WHERE keep"""),
     "q_assign_detections": _ctes(("regions",), """WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord) AS i FROM regions WHERE direction = 'h'),
 t AS (SELECT page, list({'o': ord, 'x': x0 + x1, 'y': y0 + y1} ORDER BY ord) AS t FROM regions WHERE direction = 'v' GROUP BY page),
 s AS (SELECT p.page, CAST(0 AS BIGINT) AS i, NULL::INT AS detection, NULL::INT AS target, coalesce(t.t, []) AS free FROM (SELECT DISTINCT page FROM d) AS p LEFT JOIN t ON t.page = p.page

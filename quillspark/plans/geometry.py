@@ -62,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "q_groups_separated": _groups_separated,
     "q_iou_antijoin": _of("regions", _kept),
     "q_strip_antijoin": _of("strip", _kept),
+    "q_nms": _of("regions", lambda boxes: spatial.suppressed(boxes).select("page", "lang", "ord")),
     "q_region_overlaps": _of("regions", _cells),
     "q_strip_overlaps": _of("strip", _cells),
     "q_region_neighbours": _of("regions", spatial.adjacent_texts),
@@ -218,6 +219,14 @@ SELECT page, CAST(m AS BIGINT) AS matched, CAST(t AS BIGINT) AS truth, CAST(f AS
 _AP = f"""{_PASS}, r AS (SELECT CASE WHEN m.found IS NULL THEN 0 ELSE 1 END AS hit, row_number() OVER w AS k, sum(CASE WHEN m.found IS NULL THEN 0 ELSE 1 END) OVER w AS h FROM c LEFT JOIN m ON m.page = c.page AND m.found = c.ord WINDOW w AS (ORDER BY c.conf DESC, c.page, c.ord ROWS UNBOUNDED PRECEDING))
 SELECT CAST(sum(hit) AS BIGINT) AS matched, (SELECT count(*) FROM truth WHERE NOT ignore) AS truth, count(*) AS found, CAST(sum(CASE WHEN hit = 1 THEN 1000000 * h // k ELSE 0 END) // (SELECT count(*) FROM truth WHERE NOT ignore) AS BIGINT) AS ap6 FROM r"""
 _SAME = "a.page = b.page AND "
+#: From the best box of each page on, one at a time.
+_NMS = """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY page, lang ORDER BY conf DESC, ord) AS i FROM regions WHERE conf > 250),
+s AS (SELECT page, lang, ord, i, true AS keep, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS k FROM r WHERE i = 1
+  UNION ALL SELECT page, lang, ord, i, free, CASE WHEN free THEN list_append(k, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) ELSE k END FROM (
+    SELECT r.*, s.k, len(list_filter(s.k, lambda z: greatest(0, least(r.x1, z.x1) - greatest(r.x0, z.x0)) * greatest(0, least(r.y1, z.y1) - greatest(r.y0, z.y0)) * 100
+      > 45 * ((r.x1 - r.x0) * (r.y1 - r.y0) + (z.x1 - z.x0) * (z.y1 - z.y0) - greatest(0, least(r.x1, z.x1) - greatest(r.x0, z.x0)) * greatest(0, least(r.y1, z.y1) - greatest(r.y0, z.y0))))) = 0 AS free
+    FROM s JOIN r ON r.page = s.page AND r.lang = s.lang AND r.i = s.i + 1) AS x)
+SELECT page, lang, ord FROM s WHERE keep"""
 #: Query -> (frames, SQL).
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_iou_antijoin": (("regions",), _without_covered("regions", _SAME)),
@@ -233,6 +242,7 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_match_ground_truth": (("regions", "truth", "found"), f"{_PASS} SELECT * FROM m"),
     "q_page_quality": (("regions", "truth", "found"), _QUALITY),
     "q_dataset_ap": (("regions", "truth", "found"), _AP),
+    "q_nms": (("regions",), _NMS),
     "q_ink_split": (("turn_regions", "ink_marks", "ink_lines"), _INK),
     "q_fragments_merged": (("turn_regions",), _FRAGMENTS),
 }

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..functions.labels import HAN, KANA, misread_sql
 from ..functions.scripts import region_hint, script_counts
 from ..operators import cascade
@@ -36,7 +37,17 @@ def _crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", "ord", cascade.sufficient(F.col("text"), F.col("conf"), F.col("lang")).alias("sufficient"), cascade.crop_rank(F.col("text"), F.col("conf"), F.col("lang")).alias("rank6"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q_routed_regions": routed, "q_candidate_sufficient": _crops}
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reading and one of every language, all asked (A.1, T4)."""
+    rows = frame(spark, sf_dir, "turn_regions").withColumn("hint", labels.region_hint(F.col("text"), F.lit("ja")))
+    rows = rows.join(cascade.page_hints(rows), "page", "left").withColumn("page_hint", F.coalesce("page_hint", F.lit("")))
+    first = cascade.candidate(F.lit("mit48"), F.when(F.col("hint.language") == "ja", "ja").otherwise(""), F.lit("mit48"), F.struct("text", "conf"))
+    others = [cascade.candidate(F.lit("paddle"), F.lit(lang), F.lit("original"), _reading(lang)) for lang in cascade.LANGUAGES]
+    best = cascade.chosen(F.array(first, *others), F.when(F.col("text") != "", F.col("hint.language")).otherwise(""), F.col("page_hint"))
+    return rows.withColumn("best", best).where("best IS NOT NULL").select("page", "ord", "best.engine", "best.lang", "best.text", "best.conf")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q_routed_regions": routed, "q_candidate_sufficient": _crops, "q_candidate_topk": _best}
 
 _ROUTED = f"""
 WITH r AS (SELECT *, page * 1000000 + ord * 10 AS id FROM turn_regions),
@@ -81,9 +92,16 @@ done AS (
 review AS (SELECT *, NOT accepted AND NOT none AND lang = 'ja' AND ({misread_sql('text', 'conf', 'p')}) AND ord % 2 = 0 AS taken FROM done)
 SELECT page, ord, reason, attempts, lang, variant, CASE WHEN taken THEN 'ナルト' ELSE text END AS text, CAST(CASE WHEN taken THEN 850 ELSE conf END AS BIGINT) AS conf, CASE WHEN taken THEN 'mangaocr' ELSE engine END AS engine,
   (NOT accepted AND NOT none AND (engine <> 'mit48' OR conf < 450)) OR taken AS fallback FROM review"""
+#: As the routes, with every candidate asked.
+_EVERY = _ROUTED[: _ROUTED.index("routes AS (")] + """asks AS (SELECT *, [1] AS langs FROM f),
+cands AS (
+  SELECT a.id, 0 AS pos, 'mit48' AS engine, CASE WHEN a.hl = 'ja' THEN 'ja' ELSE '' END AS cl, 'mit48' AS variant, a.text, a.conf, a.hl AS dl, a.hc AS dc FROM asks a
+  UNION ALL SELECT k.id - k.id % 10, k.id % 10, 'paddle', l, 'original', text, conf, hl, hc FROM k WHERE k.id % 10 BETWEEN 1 AND 3),
+""".replace("k.id % 10, 'paddle'", "CASE l WHEN 'zh' THEN 1 WHEN 'ja' THEN 2 ELSE 3 END, 'paddle'") + _ROUTED[_ROUTED.index("facts AS (") : _ROUTED.index("done AS (")].rstrip().rstrip(",") + " SELECT id // 1000000 AS page, CAST(id % 1000000 // 10 AS INT) AS ord, engine, rl AS lang, text, CAST(conf AS BIGINT) AS conf FROM best"
 _HINTS = region_hint.ansi({"texts": "SELECT page * 100000 + ord AS id, text, lang AS fallback FROM turn_regions"})
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_routed_regions": (("turn_regions",), _ROUTED),
+    "q_candidate_topk": (("turn_regions",), _EVERY),
     "q_candidate_sufficient": (
         ("turn_regions",),
         f"""SELECT page, ord, trim(text) <> '' AND conf >= 450 AND (h.language = r.lang OR h.confidence < 600) AS sufficient,

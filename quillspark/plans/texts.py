@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, quality
 from ..functions.scripts import region_hint
 from ..operators import pages, replacing
 from ..sources.frames import FRAMES, frame
@@ -38,6 +38,12 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("replaced").alias("replaced"))
 
 
+def _reply() -> Column:
+    """A turn as a model might give it back: fenced, with a heading, or quoted."""
+    text, kind = F.col("text"), (F.col("conv_id") + F.col("turn")) % 5
+    return F.when(kind == 0, F.concat(F.lit("```text\n"), text, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("译文： "), text)).when(kind == 2, F.concat(F.lit('"'), text, F.lit('"'))).when(kind == 3, F.concat(F.lit("  ```\n翻译: “"), text, F.lit("”```"))).otherwise(text)
+
+
 QUERIES: dict[str, Query] = {
     "q_latin_label_docs": _columns("doc_texts", "id", keep_label=lambda: labels.latin_label(F.col("text"), F.col("fallback"))),
     "q_latin_label_regions": _columns("turn_regions", "page", "ord", keep_label=lambda: labels.latin_label(F.col("text"), F.col("lang"))),
@@ -45,6 +51,10 @@ QUERIES: dict[str, Query] = {
     "q_ocr_garbage_regions": _columns(
         "turn_regions", "page", "ord", suspicious=lambda: labels.suspicious_japanese(F.col("text"), F.col("lang"), F.col("conf") < 450), misread=lambda: labels.misread_japanese(F.col("text"), F.col("conf"), F.col("lang"))
     ),
+    "q_charclass": lambda spark, sf_dir: frame(spark, sf_dir, "doc_texts").where("text IS NOT NULL").select("id", *(c.alias(k) for k, c in labels.character_counts(F.col("text")).items())),
+    "q_charclass_regions": lambda spark, sf_dir: frame(spark, sf_dir, "turn_regions").select("page", "ord", *(c.alias(k) for k, c in labels.character_counts(F.col("text")).items())),
+    "q_keep_as_is_regions": _columns("turn_regions", "page", "ord", keep=lambda: labels.kept_as_is(F.col("text"))),
+    "q_unwrapped_replies": lambda spark, sf_dir: frame(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.md5(quality.unwrapped(_reply())).alias("unwrapped")),
     "q_word_count": _columns("doc_texts", "id", listed=lambda: F.size(labels.english_words(F.col("text"))), counted=lambda: labels.english_word_count(F.col("text"))),
     "q_name_like_regions": _columns("turn_regions", "page", "ord", name_like=lambda: labels.name_like(labels.english_words(F.col("text")))),
     "q_region_hint_turns": lambda spark, sf_dir: frame(spark, sf_dir, "turn_regions").select("page", "ord", labels.region_hint(F.col("text"), F.col("lang")).alias("h")).select("page", "ord", "h.language", F.col("h.conf").alias("confidence")),
@@ -69,6 +79,15 @@ def _vote_sql(keys: str, rows: str) -> str:
   FROM k LEFT JOIN r ON {' AND '.join(f'k.{x} = r.{x}' for x in keys.split(', '))} AND rn = 1"""
 
 
+def _classes_sql(keys: str, rows: str) -> str:
+    """Character by character."""
+    count = lambda test: f"CAST(len(list_filter(cs, lambda c: {test})) AS INT)"
+    punctuation, space = "(unicode(c) BETWEEN 33 AND 47 OR unicode(c) BETWEEN 58 AND 64 OR unicode(c) BETWEEN 91 AND 96 OR unicode(c) BETWEEN 123 AND 126 OR regexp_full_match(c, '\\p{P}'))", "(unicode(c) IN (0, 9, 10, 13, 32) OR regexp_full_match(c, '\\p{Zs}'))"
+    control, digit = "(unicode(c) NOT IN (9, 10, 13) AND regexp_full_match(c, '[\\p{Cc}\\p{Cf}]'))", f"regexp_full_match(c, '{labels.DIGIT}')"
+    return f"""SELECT {keys}, {count(punctuation)} AS punctuation, {count(space)} AS blanks, {count(control)} AS controls, {count(digit)} AS digits, {count(f"regexp_full_match(c, '{labels.RIGHT_TO_LEFT}')")} AS right_to_left,
+  len(list_filter(cs, lambda c: NOT {punctuation} AND NOT {space} AND NOT {control} AND NOT {digit})) > 0 AS valuable FROM (SELECT {keys}, list_filter(string_split(text, ''), lambda c: c <> '') AS cs FROM {rows}) AS s"""
+
+
 _HINT = region_hint.ansi({"texts": "SELECT page * 100000 + ord AS id, text, lang AS fallback FROM turn_regions"})
 #: Query -> (frames, SQL).
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -76,6 +95,11 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_latin_label_regions": (("turn_regions",), f"SELECT page, ord, {labels.latin_label_sql(_T, 'lang')} AS keep_label FROM turn_regions"),
     "q_ocr_garbage_docs": ((), f"SELECT doc_id AS id, {labels.suspicious_sql(_T, chr(39) + 'ja' + chr(39), 'true')} AS suspicious, {labels.misread_sql(_T, 'doc_id % 1000', chr(39) + 'ja' + chr(39))} AS misread FROM documents"),
     "q_ocr_garbage_regions": (("turn_regions",), f"SELECT page, ord, {labels.suspicious_sql(_T, 'lang', '(conf < 450)')} AS suspicious, {labels.misread_sql(_T, 'conf', 'lang')} AS misread FROM turn_regions"),
+    "q_charclass": ((), _classes_sql("id", "(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)")),
+    "q_charclass_regions": (("turn_regions",), _classes_sql("page, ord", "turn_regions")),
+    "q_keep_as_is_regions": (("turn_regions",), f"SELECT page, ord, length(text) > 0 AND translate(text, '{labels.KEPT_SIGNS} ', '') = '' AS keep FROM turn_regions"),
+    # the turns' own texts neither begin nor end with a quote, a fence or a heading
+    "q_unwrapped_replies": ((), "SELECT conv_id, turn, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS unwrapped FROM conversations WHERE text IS NOT NULL"),
     "q_word_count": ((), f"SELECT doc_id AS id, CAST(len({labels.english_words_sql(_T)}) AS INT) AS listed, CAST(len(regexp_extract_all({_T}, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS INT) AS counted FROM documents"),
     "q_name_like_regions": (("turn_regions",), f"SELECT page, ord, {labels.name_like_sql(labels.english_words_sql(_T))} AS name_like FROM turn_regions"),
     "q_region_hint_turns": (("turn_regions",), f"SELECT id // 100000 AS page, CAST(id % 100000 AS INT) AS ord, language, confidence FROM ({_HINT}) AS h"),

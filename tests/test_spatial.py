@@ -73,3 +73,20 @@ def test_one_hot_page_is_spread(spark):
     put = spatial.on_grid(strip, {c: F.col(c) for c in spatial.BOX})
     sizes = [r["count"] for r in put.select(F.pmod(F.hash("row.page", "tx", "ty"), F.lit(64)).alias("task")).groupBy("task").count().collect()]
     assert len(sizes) == 64 and max(sizes) < 1.5 * sum(sizes) / 64 and sum(sizes) < 4 * strip.count()
+
+
+@pytest.mark.parametrize("side", [16, 128])
+def test_suppression_equals_a_pass(spark, made, side):
+    r, rounds, want = random.Random(1), [], []
+    rows = [(*x[:6], x[6], r.choice([100, 250, 251, *range(300, 1000, 50)])) for x in made]
+    frame = spark.createDataFrame([(*x, "a") for x in rows], "page long, ord long, x0 long, y0 long, x1 long, y1 long, lang string, conf int, p string")
+    for page in range(6):
+        alive = sorted((-x[7], x[1], x) for x in rows if x[0] == page and x[7] > 250)[:100]
+        stay = []
+        for _, _, x in alive:
+            if not any(s[6] == x[6] and None not in (*s, *x) and min(s[4] - s[2], s[5] - s[3], x[4] - x[2], x[5] - x[3]) >= 0 and greedy.iou(s[2:6], x[2:6]) > 0.45 for s in stay):
+                stay.append(x)
+        want += [(page, x[1], k) for k, x in enumerate(stay[:60], 1)]
+    got = spatial.suppressed(frame, most=100, most_kept=60, side=side, rounds=rounds)
+    assert sorted((x.page, x.ord, x.rank) for x in got.collect()) == sorted(want)
+    assert len(rounds) > 2 and rounds[0] > 20 and rounds[-1] == 0
