@@ -61,7 +61,7 @@ def _segments(rows: DataFrame) -> DataFrame:
 #: RE2 lacks the pattern), so unit tests hold them to worked cases.
 QUERIES |= {
     "q_merge_boxes": _over("regions", greedy.merge_boxes),
-    "q_assign_detections": _over("regions", greedy.assign_detections),
+    "q_assign_detections": _over("regions", lambda r: greedy.assign_detections(r).withColumn("target", F.coalesce("target", F.lit(-1)))),
     "q_group_regions": _over("regions", greedy.group_regions),
     "q_chunk_pack": _over("lines", greedy.pack_chunks),
     "q_json_import_rows": _over("imports", imports.import_rows),
@@ -241,5 +241,5 @@ t AS (SELECT page, list({'o': ord, 'x': x0 + x1, 'y': y0 + y1} ORDER BY ord) AS
 s AS (SELECT p.page, CAST(0 AS BIGINT) AS i, NULL::INT AS detection, NULL::INT AS target, coalesce(t.t, []) AS free FROM (SELECT DISTINCT page FROM d) AS p LEFT JOIN t ON t.page = p.page
   UNION ALL SELECT page, i, ord, best.o, list_filter(free, lambda z: best IS NULL OR z.o <> best.o) FROM (
     SELECT d.page, d.i, d.ord, s.free, list_min(list_transform(s.free, lambda z: {'d': (d.x0 + d.x1 - z.x) * (d.x0 + d.x1 - z.x) + (d.y0 + d.y1 - z.y) * (d.y0 + d.y1 - z.y), 'o': z.o})) AS best FROM s JOIN d ON d.page = s.page AND d.i = s.i + 1) AS x)
-SELECT page, detection, target FROM s WHERE i > 0"""),
+SELECT page, detection, coalesce(target, -1) AS target FROM s WHERE i > 0"""),
 }

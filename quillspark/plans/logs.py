@@ -36,7 +36,7 @@ def _fold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold(spark, sf_dir)[1]
+    return _fold(spark, sf_dir)[1].withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ _LOG = "WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "q_task_states": ((), _states("ts, event_id", "", "")),
     "q_task_stream": ((), _states("epoch_ms(ts), event_id", f", polls + {_asked('w')} AS polls", f"CROSS JOIN (SELECT max(epoch_ms(ts)) - {LATE_HOURS * 3_600_000} AS w FROM events) AS m")),
-    "q_change_outcomes": (("part_terms", "part_changes"), _LOG + " SELECT seq, op, id, outcome FROM f WHERE i > 0"),
+    "q_change_outcomes": (("part_terms", "part_changes"), _LOG + " SELECT seq, op, coalesce(id, -1) AS id, outcome FROM f WHERE i > 0"),
     "q_change_table": (
         ("part_terms", "part_changes"),
         _LOG + """, l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY i DESC) AS rn FROM f)
