@@ -79,8 +79,10 @@ def test_one_hot_page_is_spread(spark):
 def test_suppression_equals_a_pass(spark, made, side):
     r, rounds, want = random.Random(1), [], []
     # near copies of each box, so that one goes for a better one that goes itself
-    more = [(p, 1000 * k + o, x0 + 6 * k, y0 + k, x1 + 6 * k, y1 + k, d) for p, o, x0, y0, x1, y1, d in made if x0 is not None and x1 - x0 > 30 for k in (1, 2)]
+    more = [(p, 1000 * k + o, x0 + 12 * k, y0 + k, x1 + 12 * k, y1 + k, d) for p, o, x0, y0, x1, y1, d in made if x0 is not None and x1 - x0 > 30 for k in (1, 2)]
     rows = [(*x[:6], x[6], r.choice([100, 250, 251, *range(300, 1000, 50)])) for x in [*made, *more]]
+    # a chain of boxes, each over the next: every other one stays
+    rows += [(5, 500 + i, 1000 + 14 * i, 0, 1040 + 14 * i, 20, "h", 900 - 50 * i) for i in range(6)]
     frame = spark.createDataFrame([(*x, "a") for x in rows], "page long, ord long, x0 long, y0 long, x1 long, y1 long, lang string, conf int, p string")
     for page in range(6):
         alive = sorted((-x[7], x[1], x) for x in rows if x[0] == page and x[7] > 250)[:100]
