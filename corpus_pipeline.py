@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last keep the columns of documents. ``run`` writes each stage's result to the
 shared folder and reads it again for the next one.
+
+Defined cases, in every stage: extra columns go along, whatever their names, up
+to packing, which drops them. A null or empty text fails the quality rules, so
+later stages don't see one there; given one, toxicity keeps it, near-dedup and
+suffix dedup leave it alone, packing gives it its end token. A null doc_id is kept, and
+no other row is a copy of it. Of repeated rows near-dedup keeps all that share
+the least doc_id of their group. A very long text is handled whole. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

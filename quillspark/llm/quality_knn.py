@@ -12,8 +12,9 @@ Defined cases: a null or empty text has the zero vector, for which the score
 is the sample's share of good texts; so it is without labels (0.5 if none).
 A very long text is scored whole. A null doc_id isn't held out. Repeated rows
 are scored each; for learning, rows that share an id count once. Of labelled
-vectors that are equally near as the last neighbour, any may vote. Extra columns
-are dropped, whatever their names. An empty table gives an empty result.
+vectors that are equally near as the last neighbour, those vote that come first in
+the sample's order (by term vector, then label). Extra columns are dropped, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,6 +114,9 @@ class Space:
             part = texts[a : a + block]
             cos = self.project(self.terms(part)) @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(cos, near, 1).min(1)
+            for r in np.flatnonzero((cos >= last[:, None]).sum(1) > k).tolist():  # others are as near as the last
+                near[r] = np.lexsort((np.arange(cos.shape[1]), -cos[r]))[:k]
             w = np.maximum(np.take_along_axis(cos, near, 1), 0.0).astype(np.float64) ** 4 + 1e-9
             got = (w * self.votes[near]).sum(1) / w.sum(1)
             out[a : a + block] = np.where([bool(t) for t in part], got, self.prior)

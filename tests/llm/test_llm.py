@@ -790,3 +790,12 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_equally_near_neighbours_vote_in_order():
+    """More copies of a vector than neighbours: the first ones in the sample vote."""
+    k = quality_knn.NEIGHBOURS
+    n = 65536 // 64
+    space = quality_knn.Space(np.arange(n), np.ones(n), np.eye(n + quality_knn.RATIOS, 4), np.zeros(n + quality_knn.RATIOS), np.tile([[1.0, 0, 0, 0]], (3 * k, 1)), np.array([1.0] * 5 + [0.0] * (3 * k - 5)), 0.5)
+    got = space.scores([b"some text", b"another one"])
+    assert np.allclose(got, 5 / k)
