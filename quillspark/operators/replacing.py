@@ -78,7 +78,10 @@ def replaced(texts: DataFrame, terms: DataFrame, lang: str, target_lang: str, ke
         fit = F.array_sort(F.filter(terms_, lambda t: F.size(F.array_except(t["words"], F.col("words"))) == 0))
         now = row.withColumn("terms", terms_).withColumn("out", _applied(F.col("text"), fit, lang))
         fresh = F.array_except("out.seen", "words")
-        now = kept(now.select("key", "text", F.array_union("words", "out.seen").alias("words"), "terms", fresh.alias("new"), F.col("out.text").alias("replaced")), "replaced")
+        # what is done is written as the result alone
+        more = F.size("new") > 0
+        now = now.select("key", "text", F.array_union("words", "out.seen").alias("words"), "terms", fresh.alias("new"), F.col("out.text").alias("replaced"))
+        now = kept(now.select("key", *(F.when(more, F.col(c)).alias(c) for c in ("text", "words", "terms")), "new", F.when(~more, F.col("replaced")).alias("replaced")), "replaced")
         done.append(now.where(F.size("new") == 0).select("key", "replaced"))
         counts = now.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("new") > 0).alias("left")).first()
         if asked is not None:
