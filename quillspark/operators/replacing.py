@@ -37,15 +37,15 @@ def parts(text: Column) -> Column:
 
 
 def glossary_of(terms: DataFrame, lang: str, target_lang: str) -> DataFrame:
-    """(head, term): the terms of a language pair under their longest part; one
-    without letters and digits is under the empty one."""
+    """(head, term): the terms of a language pair under the digest of their longest
+    part; one without letters and digits is under that of the empty one."""
     own = terms.where((F.col("lang") == lang) & (F.col("target_lang") == target_lang) & ~F.col("disabled") & (F.col("source") != ""))
     last = own.groupBy("source").agg(F.max_by("target", "id").alias("target"), F.min("id").alias("at"))
     # a term with kana or Han can stand within a word, so only its characters tell
     words = F.when(is_cjk(F.col("source")), F.array_distinct(F.regexp_extract_all("source", F.lit(CJK), F.lit(0)))).otherwise(parts(F.col("source")))
     term = F.struct((-F.length("source")).alias("size"), F.col("at").cast("bigint").alias("at"), "source", "target", words.alias("words"))
     longest = F.coalesce(F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
-    return last.select(longest.alias("head"), term.alias("term"))
+    return last.select(F.xxhash64(longest).alias("head"), term.alias("term"))
 
 
 def _applied(text: Column, terms: Column, lang: str) -> Column:
@@ -67,28 +67,29 @@ def replaced(texts: DataFrame, terms: DataFrame, lang: str, target_lang: str, ke
     glossary = kept(glossary_of(terms, lang, target_lang), "glossary")
     own = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     done = [own.where("text IS NULL OR key IS NULL").select("key", F.lit(None).cast("string").alias("replaced"))]
-    open_ = own.where("text IS NOT NULL AND key IS NOT NULL").select("key", "text", F.array_union(parts(F.col("text")), F.array(F.lit(""))).alias("words"), F.array().cast(f"array<{_TERM}>").alias("terms")).withColumn("new", F.col("words"))
+    first = F.array_union(parts(F.col("text")), F.array(F.lit("")))
+    open_ = own.where("text IS NOT NULL AND key IS NOT NULL").select("key", "text", F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{_TERM}>").alias("terms"))
+    new = first
     while True:
-        # words travel, texts stay
-        sent = open_.select("key", F.explode("new").alias("head"))
+        # digests of words travel, and each text once; its words are found again where it arrives
+        sent = open_.select("key", F.explode(F.transform(new, lambda w: F.xxhash64(w))).alias("head"))
         met = sent.join(glossary, "head").groupBy("key").agg(F.collect_list("term").alias("met"))
-        row = open_.join(met, "key", "left")
-        # a term that once lacked a word is met again under its head only, so it is kept until it has all
+        row = open_.select("key", "text", "seen", "terms").join(met, "key", "left").withColumn("words", F.array_union(first, "seen"))
+        # a term that lacks a word is kept until a replacement brings it
         terms_ = F.array_union("terms", F.coalesce("met", F.array().cast(f"array<{_TERM}>")))
         fit = F.array_sort(F.filter(terms_, lambda t: F.size(F.array_except(t["words"], F.col("words"))) == 0))
-        now = row.withColumn("terms", terms_).withColumn("out", _applied(F.col("text"), fit, lang))
-        fresh = F.array_except("out.seen", "words")
+        now = row.withColumn("terms", terms_).withColumn("out", _applied(F.col("text"), fit, lang)).withColumn("new", F.array_except("out.seen", "words"))
         # what is done is written as the result alone
         more = F.size("new") > 0
-        now = now.select("key", "text", F.array_union("words", "out.seen").alias("words"), "terms", fresh.alias("new"), F.col("out.text").alias("replaced"))
-        now = kept(now.select("key", *(F.when(more, F.col(c)).alias(c) for c in ("text", "words", "terms")), "new", F.when(~more, F.col("replaced")).alias("replaced")), "replaced")
+        now = now.select("key", *(F.when(more, c).alias(n) for n, c in (("text", F.col("text")), ("terms", F.col("terms")), ("seen", F.array_union("seen", "out.seen")))), "new", F.when(~more, F.col("out.text")).alias("replaced"))
+        now = kept(now, "replaced")
         done.append(now.where(F.size("new") == 0).select("key", "replaced"))
         counts = now.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("new") > 0).alias("left")).first()
         if asked is not None:
             asked.append(counts.n)
         if not counts.left:
             break
-        open_ = now.where(F.size("new") > 0).drop("replaced")
+        open_, new = now.where(F.size("new") > 0).drop("replaced"), F.col("new")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
