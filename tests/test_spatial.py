@@ -66,6 +66,22 @@ def test_neighbours_equal_all_pairs(boxes, made):
     assert sorted(tuple(r) for r in spatial.adjacent_texts(boxes).collect()) == sorted(want)
 
 
+def test_few_boxes_meet_on_their_page(spark, capsys):
+    """No box is put on squares where no page has many; a table that meets itself is dealt out once."""
+    frame = spark.createDataFrame([(p, i, 300 * i, 0, 300 * i + 500, 900, "h", "", "", "") for p in range(9) for i in range(5)], SCHEMA).repartition(3)
+    with_joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spatial.overlaps(frame)
+        assert found.count() == 36
+        found.collect()
+        found.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_joins)
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert "Generate" not in plan and "ReusedExchange" in plan
+
+
 def test_one_hot_page_is_spread(spark):
     """All boxes of the table on one page: no task gets much more than another,
     and the rows put on the grid grow with the boxes."""
