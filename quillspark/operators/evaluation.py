@@ -16,22 +16,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .spatial import intersection, joined_area, touching
+from .spatial import BOX, intersection, joined_area, touching
+
+
+def _met(truth: DataFrame, found: DataFrame, page: str, order: str, halves: int = 1) -> DataFrame:
+    """(page, truth, found, ignore): the pairs that may match, and those where a
+    detection lies mostly on a box to be ignored."""
+    pairs = touching(truth.select(page, order, *BOX, "ignore"), found.select(page, order, *BOX), [page])
+    own = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
+    ignore = F.col("a.ignore")
+    pairs = pairs.where((ignore & (2 * intersection() > own)) | (~ignore & (2 * intersection() > halves * joined_area())))
+    return pairs.select(F.col(f"a.{page}").alias(page), F.col(f"a.{order}").alias("truth"), F.col(f"b.{order}").alias("found"), ignore.alias("ignore"))
+
+
+def _aside(met: DataFrame, page: str, order: str) -> DataFrame:
+    return met.where("ignore").select(page, F.col("found").alias(order)).distinct()
 
 
 def set_aside(truth: DataFrame, found: DataFrame, page: str = "page", order: str = "ord") -> DataFrame:
     """(page, ord) of the detections of which more than half lies on one box to be ignored."""
-    own = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
-    on = touching(truth.where("ignore"), found, [page]).where(2 * intersection() > own)
-    return on.select(F.col(f"b.{page}").alias(page), F.col(f"b.{order}").alias(order)).distinct()
+    return _aside(_met(truth.where("ignore"), found, page, order), page, order)
 
 
-def matches(truth: DataFrame, found: DataFrame, page: str = "page", order: str = "ord", halves: int = 1, rounds: list[int] | None = None) -> DataFrame:
+def matches(truth: DataFrame, found: DataFrame, page: str = "page", order: str = "ord", halves: int = 1, rounds: list[int] | None = None, met: DataFrame | None = None) -> DataFrame:
     """(page, truth, found): one-to-one matches of an IoU over a half (``halves``
-    / 2). ``rounds`` gets the number of matches that each round makes."""
-    care = found.join(set_aside(truth, found, page, order), [page, order], "left_anti")
-    pairs = touching(truth.where("NOT ignore"), care, [page]).where(2 * intersection() > halves * joined_area())
-    left = kept(pairs.select(F.col(f"a.{page}").alias(page), F.col(f"a.{order}").alias("truth"), F.col(f"b.{order}").alias("found")), "pairs")
+    / 2). ``rounds`` gets the number of matches that each round makes; ``met``
+    has the pairs, if they are known."""
+    if met is None:
+        met = kept(_met(truth, found, page, order, halves), "met")
+    left = met.where("NOT ignore").join(_aside(met, page, "found"), [page, "found"], "left_anti").select(page, "truth", "found")
     out = []
     while True:
         pair = F.struct("truth", "found")
@@ -64,8 +77,9 @@ def _quality(matched: Column, truth: Column, found: Column) -> list[Column]:
 
 def evaluated(truth: DataFrame, found: DataFrame, page: str = "page", order: str = "ord", matched: DataFrame | None = None) -> DataFrame:
     """(page, matched, truth, found, precision6, recall6, hmean6): what counts of each page."""
-    m = matches(truth, found, page, order) if matched is None else matched
-    care = found.join(set_aside(truth, found, page, order), [page, order], "left_anti")
+    met = kept(_met(truth, found, page, order), "met")
+    m = matches(truth, found, page, order, met=met) if matched is None else matched
+    care = found.join(_aside(met, page, order), [page, order], "left_anti")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     rows = truth.select(page, F.when(F.col("ignore"), none).otherwise(one).alias("t"), none.alias("f"), none.alias("m"))
     rows = rows.unionByName(found.select(page, none.alias("t"), none.alias("f"), none.alias("m")))
@@ -77,8 +91,9 @@ def evaluated(truth: DataFrame, found: DataFrame, page: str = "page", order: str
 def average_precision(truth: DataFrame, found: DataFrame, page: str = "page", order: str = "ord", matched: DataFrame | None = None) -> DataFrame:
     """(matched, truth, found, ap6): the average precision over the detections
     of all pages by falling ``conf``, of equal ones by page and order."""
-    m = matches(truth, found, page, order) if matched is None else matched
-    care = found.join(set_aside(truth, found, page, order), [page, order], "left_anti")
+    met = kept(_met(truth, found, page, order), "met")
+    m = matches(truth, found, page, order, met=met) if matched is None else matched
+    care = found.join(_aside(met, page, order), [page, order], "left_anti")
     hits = m.select(page, F.col("found").alias(order), F.lit(1).alias("hit"))
     rows = care.select(page, order, F.coalesce("conf", F.lit(0)).alias("conf")).join(hits, [page, order], "left").select(F.col("conf"), page, order, F.coalesce("hit", F.lit(0)).alias("hit"))
     by = [F.desc("conf"), F.asc(page), F.asc(order)]
