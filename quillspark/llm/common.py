@@ -85,6 +85,17 @@ def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_partition * parts, 4)
 
 
+#: Bytes of text of which a bucket gets its share.
+BUCKET_BYTES = 8 << 20
+
+
+def buckets_by_size(df: DataFrame, text: str, at_once: int = BUCKET_BYTES) -> int:
+    """Buckets that don't grow with the input: ``buckets_for``, and more where
+    partitions are large."""
+    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(buckets_for(df), -(-size // at_once))
+
+
 def bound_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python at most ``rows`` rows at once, for the rest of the session:
     texts are long, and both sides hold a batch in memory."""

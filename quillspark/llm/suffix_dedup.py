@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, buckets_for, mix, range_bucket, raw, six_bytes, slices, split_by
+from .common import Bitmap, buckets_by_size, mix, range_bucket, raw, six_bytes, slices, split_by
 
 LENGTH, GRAM = 50, 24
 #: Bits of the marks' bitmap: 32 MB at any size of input.
@@ -295,7 +295,7 @@ def _met(docs: DataFrame, key: str, text: str, length: int, make, schema) -> Dat
     """Documents met with their answers: ``make(batch, lost, first, texts)``
     turns a slice of them into output rows."""
     spark = docs.sparkSession
-    n = buckets_for(docs)
+    n = buckets_by_size(docs, text)
     home = "home"
     while home in docs.columns:
         home += "_"

@@ -150,3 +150,12 @@ def test_a_wrong_hash_does_no_harm(monkeypatch):
     texts = ["a a a a a a b a b a b a b c", "a b c d a b", "q q q q q q"]
     out = periodic.described(pa.array(texts), None)["runs"].to_pylist()
     assert [[tuple(x.values()) for x in runs] for runs in out] == [brute_runs(t.split()) for t in texts]
+
+
+def test_buckets_follow_the_size_of_the_texts(spark):
+    """One large partition makes as many buckets as many small ones: a bucket's share of the text is bounded."""
+    from quillspark.llm import common
+
+    docs = spark.createDataFrame([(i, "x" * 5000) for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert common.buckets_by_size(docs, "text", 1000) == 100
+    assert common.buckets_by_size(docs, "text") == common.buckets_for(docs) and common.buckets_by_size(docs.limit(0), "text") >= 1
