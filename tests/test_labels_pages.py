@@ -62,3 +62,12 @@ def test_actions(spark):
     rows = [("mit48", "ja", 200, "x", False), ("mit48", "ja", 100, "x", True), ("mit48", "ja", 100, "x", False), ("paddle", "en", 300, "x", True), ("paddle", "en", 600, " ", False), ("paddle", "zh", 900, "x", True), ("paddle", "ja", 499, "", True)]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, engine string, lang string, conf int, text string, has_mask boolean")
     assert [r.action for r in pages.handled(frame).orderBy("i").collect()] == ["translate", "erase", "keep", "erase", "erase", "keep", "keep"]
+
+
+def test_classes_are_counted_on_what_letters_leave(spark):
+    """Long classes never meet the letters, and no list of matches is made."""
+    text = "Ab, c!  1²\t\x00é مZ　(x)​"
+    counts = labels.character_counts(F.col("text"))
+    row = spark.createDataFrame([(text,), ("ab",), ("",), (" 1",)], "text string").select(*(c.alias(k) for k, c in counts.items())).collect()
+    assert tuple(row[0]) == (4, 7, 2, 2, 1, True) and [r.valuable for r in row[1:]] == [True, False, False]
+    assert "[A-Za-z]+" in str(counts["digits"]) and "regexp_count" not in str(labels.latin_label(F.col("text"), F.lit("ja")))
