@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions.glossary_pass import Glossary
 from quillspark.operators import replacing, terms
 from quillspark.plans import catalog
 from quillspark.sources.frames import frame
@@ -69,3 +70,32 @@ def test_the_query_equals_the_rule(spark):
     want = {x.doc_id: None if x.text is None else hashlib.md5(by_rule(x.text, glossary, "en").encode()).hexdigest() for x in frame(spark, data, "documents").select("doc_id", "text").collect()}
     assert {x.doc_id: x.replaced for x in catalog.QUERIES["q_glossary_replaced"](spark, data).collect()} == want
     assert sum(hashlib.md5((x.text or "").encode()).hexdigest() != want[x.doc_id] for x in frame(spark, data, "documents").collect()) > 50
+
+
+@pytest.mark.parametrize("lang", ["en", "ja"])
+def test_one_pass_equals_the_rule(lang):
+    """Terms with signs at their ends, of Han, that overlap themselves or make others."""
+    r = random.Random(3)
+    for k in range(60):
+        seps = r.choice([["", " ", "-"], [" "], [" ", "  "], [" ", ", "]])
+        pool = ["a", "b", "c", "A", "the", "cat"] if k % 2 else ["a", "ab", "Cat", "cat", "火", "影", "火影", "x$1", "\\E", "!!", "é", "É", "-"]
+        phrase = lambda: r.choice(seps).join(r.choice(pool) for _ in range(r.randint(1, 3)))  # noqa: B023,E731
+        glossary, order, mapping = [(i, phrase(), r.choice([phrase(), phrase(), "", "!"])) for i in range(r.choice([3, 10, 40]))], {}, {}
+        for i, s, t in glossary:
+            order.setdefault(s, i)
+            mapping[s] = t
+        own = Glossary([(s, mapping[s]) for s in sorted(mapping, key=lambda s: (-len(s), order[s]))], lang == "en")
+        for _ in range(20):
+            x = " ".join(phrase() for _ in range(r.randint(0, 10)))
+            assert own.replaced(x) == by_rule(x, glossary, lang)
+
+
+def test_texts_stay_where_they_are(spark):
+    """A glossary that a task can hold: the texts are not dealt out. Both ways give the same."""
+    data = "/root/testdata/sf0.001"
+    texts, glossary = frame(spark, data, "documents"), frame(spark, data, "word_terms")
+    out = replacing.replaced(texts, glossary, "en", "zh", "doc_id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    some = texts.where("doc_id < 40")
+    joined = replacing.replaced(some, glossary, "en", "zh", "doc_id", asked=[])
+    assert sorted(map(tuple, replacing.replaced(some, glossary, "en", "zh", "doc_id").collect())) == sorted(map(tuple, joined.collect()))
