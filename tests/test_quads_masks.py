@@ -189,3 +189,19 @@ def test_names_bounds_and_decoration(spark):
     assert one(quality.unwrapped(F.lit("```text\n译文：“你好”\n```"))) == "你好" and one(quality.unwrapped(F.lit(" plain "))) == "plain"
     assert one(quality.units_missing(F.lit("10 kg, 5°F"), F.lit("十公斤"))) and not one(quality.units_missing(F.lit("10 kg and 3 kgs"), F.lit("十公斤")))
     assert one(parsed(F.lit("<1>a</1>"), F.lit(1))) == ["a"]
+
+
+def test_only_texts_that_nfc_may_change_go_to_python(spark):
+    import re
+    import unicodedata
+
+    python = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", quality._unsettled()))
+    settled = re.compile(quality.SETTLED)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]):
+        unsettled = unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)
+        assert python.match(c) or not unsettled
+        assert not settled.fullmatch(c) or not python.match(c)
+    texts = ["plain", "“café”", "cafe\u0301", "\u1100\u1161\u11a8", "가\u11a8", "か\u3099", "\u2001", "\u212b", "\u0344", "a\u0323\u0307", "a\u0307\u0323", "", None, "漢字カナ가"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").select("id", quality.composed(F.col("text")).alias("t"), F.regexp_like(F.regexp_replace("text", quality.SETTLED, ""), F.lit(quality._unsettled())).alias("sent")).collect()
+    assert {x.id: x.t for x in got} == {i: None if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    assert [texts[x.id] for x in got if x.sent] == texts[2:11]
