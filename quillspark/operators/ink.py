@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 
 def swept(intervals: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """(*keys, a, b): the stretches, as long as they can be, that ``least`` of
@@ -44,6 +46,7 @@ def split_lines(lines: DataFrame, marks: DataFrame, keys: list[str]) -> DataFram
     parts, one for each other line (side null). Only level lines that are wide,
     flat and have two blanks in their text are parted; the gap keeps clear of the ends,
     and enough ink is left on both sides."""
+    lines, marks = dealt(lines, keys, 1), dealt(marks, keys, 1)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     blanks = F.length(F.trim("text")) - F.length(F.replace(F.trim("text"), F.lit(" "), F.lit("")))
     wide = lines.where((F.coalesce("direction", F.lit("h")) == "h") & (w >= 80) & (h >= 8) & (w >= 6 * h) & (blanks >= 2)).select(*keys, w.alias("w"), h.alias("h"))

@@ -5,6 +5,7 @@ import re
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import splits
 
@@ -105,3 +106,24 @@ def test_separated(spark, rows):
         cut += left is not None
         want |= {r[:2]: None if left is None else "0" if r[1] in left else "1" for r in group}
     assert {(r.page, r.ord): r.half for r in got} == want and cut >= 4
+
+
+def test_partitions_go_by_the_size_of_the_tables(spark, tmp_path):
+    """A task has as much to sort however large the tables are; small ones stay as they are."""
+    from quillspark.sources.frames import frame
+    from quillspark.sources.shared import dealt
+
+    r = spark.range(2_000_000).select("id", F.md5(F.col("id").cast("string")).alias("x"))
+    r.coalesce(1).write.parquet(str(tmp_path / "large"))
+    large = spark.read.parquet(str(tmp_path / "large"))
+    size = sum(p.stat().st_size for p in (tmp_path / "large").glob("*.parquet"))
+    assert dealt(large, ["id"]).rdd.getNumPartitions() == -(-size // (4 << 20)) > 4
+    assert dealt(large.limit(5), ["id"], 1000).rdd.getNumPartitions() == 1
+    regions = frame(spark, "/root/testdata/sf0.1", "turn_regions")
+    assert "REPARTITION_BY_NUM" not in regions._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        regions = frame(spark, "/root/testdata/sf0.1", "turn_regions")
+        assert "REPARTITION_BY_NUM" in regions._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
