@@ -7,11 +7,10 @@ Classes. Exchange clustering first works on the ``TOP`` most frequent training
 words, each an item of its own, and on items for the shapes of all other words
 (their last letters, the punctuation after them, and whether they have other
 characters): items move between ``CLASSES`` classes as long as that raises the
-training text's class-bigram likelihood. Then each further training word with a
-share of at least 1/``HOT`` of the tokens is moved by the same gain, taken from
-its own neighbours' classes over all training text, in hash-range buckets. Only
-words that are rarer still, or unseen, have their shape's class. So each word
-has exactly one class.
+training text's class-bigram likelihood. Then each further training word, however
+rare, is moved by the same gain, taken from its own neighbours' classes over all
+training text, in hash-range buckets. Only unseen words have their shape's class.
+So each word has exactly one class.
 
 Probabilities. P(token | class) = (c + 0.5) / (T + 0.5 (V + 1)), with c the
 token's count, T and V the class's training tokens and distinct tokens; one
@@ -22,9 +21,10 @@ of the final classes over all training tokens. Before a text stands an end.
 Counts are exact over all training tokens. Distinct words are counted by
 64-bit hash in packed hash-range buckets; words with a share of at least
 1/``HOT`` of the tokens (so ``HOT`` words at most) go to every task with their
-class, and the other tokens' counts are looked up in the buckets, where each
-task sends a word once per text. What the driver gets is bounded: hot words, the
-item-bigram table, and totals per class.
+class and count. Those of the other words are looked up in the buckets, where each
+task sends a word once a slice; the pairs of tokens that have such a word wait at
+the slice's home for the answers. ``HOT`` sets what travels, not what comes out. What
+the driver gets is bounded: hot words, the item-bigram table, and totals per class.
 
 Defined cases: a null or empty text has the end only. A very long text is a
 slice of its own, whole. A null doc_id isn't held out, and is learned from.
@@ -166,44 +166,19 @@ def word_counts(train: DataFrame, text: str, n: int) -> DataFrame:
     return train.select(text).mapInArrow(send, "bucket int, hashes binary, counts binary, shapes binary").groupBy("bucket").applyInArrow(merge, "bucket int, hashes binary, counts binary, shapes binary, total long")
 
 
-def per_value(counts: DataFrame, shared, n_values: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct training tokens of each value of the
-    words that ``shared`` (a broadcast Known) tells."""
-
-    def add(batches):
-        known = shared.value
-        tokens_, distinct = np.zeros(n_values, np.int64), np.zeros(n_values, np.int64)
-        for b in batches:
-            for h, c, s in zip(*(b.column(x).to_pylist() for x in ("hashes", "counts", "shapes"))):
-                value = known.value_of(np.frombuffer(h, np.uint64), np.frombuffer(s, "<u2").astype(np.int64))
-                # sums of whole numbers under 2**53 are exact as floats
-                tokens_ += np.bincount(value, weights=np.frombuffer(c, np.int64), minlength=n_values).astype(np.int64)
-                distinct += np.bincount(value, minlength=n_values)
-        some = np.flatnonzero(distinct)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(tokens_[some]), pa.array(distinct[some])], ["item", "t", "v"])
-
-    rows = counts.select("hashes", "counts", "shapes").mapInArrow(add, "item long, t long, v long").groupBy("item").agg(F.sum("t"), F.sum("v")).collect()
-    t, v = np.zeros(n_values, np.int64), np.zeros(n_values, np.int64)
-    for i, a, b in rows:
-        t[i], v[i] = a, b
-    return t, v
-
-
-def hot_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the words with a count of ``least`` or more."""
+def top_words(counts: DataFrame) -> list[int]:
+    """Hashes of the ``TOP`` most frequent words, the end left out."""
 
     def pick(batches):
         for b in batches:
             for h, c in zip(b.column("hashes").to_pylist(), b.column("counts").to_pylist()):
                 h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
-                keep = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], ["hashes", "counts"])
+                at = np.lexsort((h, -c))[: TOP + 1]
+                # as signed numbers in the same order
+                yield pa.RecordBatch.from_arrays([pa.array((h[at] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(c[at])], ["h", "c"])
 
-    rows = counts.select("hashes", "counts").mapInArrow(pick, "hashes binary, counts binary").collect()
-    h = np.frombuffer(b"".join(bytes(r["hashes"]) for r in rows), np.uint64)
-    c = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+    rows = counts.select("hashes", "counts").mapInArrow(pick, "h long, c long").orderBy(F.desc("c"), "h").limit(TOP + 1).collect()
+    return [h for h in (r["h"] + (1 << 63) for r in rows) if h != END_HASH][:TOP]
 
 
 _ROWS = 32  # rows of the item-bigram table that travel together
@@ -300,21 +275,23 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return cls
 
 
-def own_classes(train: DataFrame, text: str, shared, hot, gains, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and classes of the hot words outside the top: each goes to the
-    class that the likelihood gains most by, given its neighbours' classes.
+def moved(train: DataFrame, text: str, shared, hot, gains, n: int) -> DataFrame:
+    """(bucket, hashes, classes), packed, of the words outside the top: each goes
+    to the class that the likelihood gains most by, given its neighbours' classes.
 
-    ``shared`` tells the classes so far, ``hot`` the words to move, and
+    ``shared`` tells the classes so far, ``hot`` the words to move (None: all), and
     ``gains`` has a row for each class that stands before a word, then for each
     that follows, and a column for each class that the word may go to. Tasks send
     how often a word has a neighbour class, once a slice, to the word's bucket.
     """
 
     def send(batches):
-        voc, movable = Vocabulary(shared.value), hot.value
+        voc, movable = Vocabulary(shared.value), hot and hot.value
         for b in slices(batches, text, LEARN_BYTES):
             number = voc.numbers(*tokens(b.column(text))[:2])
-            moves = (movable.find(voc.hashes) >= 0) & (voc.known.find(voc.hashes) < 0)
+            moves = voc.known.find(voc.hashes) < 0
+            if movable:
+                moves &= movable.find(voc.hashes) >= 0
             cls = voc.values[number]
             at = np.flatnonzero(moves[number])  # never an end, so a token follows
             before = np.where(at > 0, cls[at - 1], 0)
@@ -339,14 +316,55 @@ def own_classes(train: DataFrame, text: str, shared, hot, gains, n: int) -> tupl
             x, y = np.searchsorted(cell, [a * 2 * CLASSES, (a + step) * 2 * CLASSES])
             own = np.bincount(cell[x:y] - a * 2 * CLASSES, weights=times[x:y], minlength=min(step, len(words) - a) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
             best[a : a + step] = np.argmax(own @ gains.value, axis=1)
-        return pa.table({"hashes": pa.array([words.tobytes()], pa.binary()), "classes": pa.array([best.astype("<u2").tobytes()], pa.binary())})
+        return pa.table({"bucket": t["bucket"].slice(0, 1), "hashes": pa.array([words.tobytes()], pa.binary()), "classes": pa.array([best.astype("<u2").tobytes()], pa.binary())})
 
     sent = train.mapInArrow(send, "bucket int, hashes binary, many binary, places binary, times binary")
-    rows = sent.groupBy("bucket").applyInArrow(choose, "hashes binary, classes binary").collect()  # HOT words at most
+    return sent.groupBy("bucket").applyInArrow(choose, "bucket int, hashes binary, classes binary")
+
+
+def own_classes(train: DataFrame, text: str, shared, hot, gains, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and classes of the ``hot`` words, as ``moved`` has them."""
+    rows = moved(train, text, shared, hot, gains, n).collect()
     join = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
     return join("hashes", np.uint64), join("classes", "<u2").astype(np.int64)
 
 
+def classed(counts: DataFrame, moves: DataFrame, shared) -> DataFrame:
+    """(bucket, hashes, counts, classes), packed and sorted by hash: all training
+    words with their class. ``shared`` tells the classes of the words that didn't move."""
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, c, s = _cat(left, "hashes", np.uint64), _cat(left, "counts", np.int64), _cat(left, "shapes", "<u2").astype(np.int64)
+        cls = shared.value.value_of(h, s)
+        cls[np.searchsorted(h, _cat(right, "hashes", np.uint64))] = _cat(right, "classes", "<u2")
+        return pa.table({"bucket": left["bucket"].slice(0, 1), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("hashes", h), ("counts", c), ("classes", cls.astype("<u2")))}})
+
+    return counts.groupBy("bucket").cogroup(moves.groupBy("bucket")).applyInArrow(put, "bucket int, hashes binary, counts binary, classes binary")
+
+
+def totals(table: DataFrame, least: int) -> tuple[np.ndarray, ...]:
+    """Training tokens and distinct training tokens of each class; hashes, classes
+    and counts of the words with a count of ``least`` or more."""
+
+    def add(batches):
+        tokens_, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for b in batches:
+            for row in zip(*(b.column(x).to_pylist() for x in ("hashes", "counts", "classes"))):
+                h, c, cls = (np.frombuffer(x, kind) for x, kind in zip(row, (np.uint64, np.int64, "<u2")))
+                # sums of whole numbers under 2**53 are exact as floats
+                tokens_ += np.bincount(cls, weights=c, minlength=CLASSES).astype(np.int64)
+                distinct += np.bincount(cls, minlength=CLASSES)
+                keep = c >= least
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[keep].tobytes()], pa.binary()) for x in (h, cls, c)), *(pa.array([None], pa.binary()) for _ in "tv")], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array([None], pa.binary()) for _ in names[:3]), *(pa.array([x.tobytes()], pa.binary()) for x in (tokens_, distinct))], names)
+
+    names = ["hashes", "classes", "counts", "t", "v"]
+    rows = table.select("hashes", "counts", "classes").mapInArrow(add, "hashes binary, classes binary, counts binary, t binary, v binary").collect()
+    join = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows if r[c] is not None), kind)
+    t, v = (join(c, np.int64).reshape(-1, CLASSES).sum(0) for c in "tv")
+    return t, v, join("hashes", np.uint64), join("classes", "<u2").astype(np.int64), join("counts", np.int64)
+
+
 def move_gains(cc: np.ndarray) -> np.ndarray:
     """What the class-bigram likelihood gains by one token of a word in class k
     (columns) that follows, or stands before, a token of each class (rows): the
@@ -358,21 +376,120 @@ def move_gains(cc: np.ndarray) -> np.ndarray:
     return gains
 
 
-def class_bigrams(train: DataFrame, text: str, shared) -> np.ndarray:
-    """How often class b follows class a in training texts."""
+def waiting(voc: Vocabulary, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's tokens the codes of each and of the one before: its class, or
+    ``CLASSES`` and the place in the slice's words that aren't known; where
+    either is such a word; and these words' numbers."""
+    code, rare = voc.values[number].astype(np.int64), voc.count[number] == 0
+    own = number[rare]
+    words = np.flatnonzero(np.bincount(own, minlength=1))
+    place = np.zeros(len(voc.hash), np.int64)
+    place[words] = np.arange(len(words))
+    code[rare] = CLASSES + place[own]
+    before = np.zeros_like(code)
+    before[1:] = code[:-1]  # texts end with the end, and before the first stands one
+    return before, code, np.flatnonzero((code >= CLASSES) | (before >= CLASSES)), words
 
-    def send(batches):
+
+_SENT = "bucket int, home int, part int, piece int, words binary, hashes binary, pairs binary, many binary, fall binary, stats binary"
+_BACK = "home int, part int, piece int, words binary, classes binary, counts binary, pairs binary, many binary, fall binary, stats binary"
+
+
+def asked(voc: Vocabulary, words: np.ndarray, n: int, part: int, piece: int, before: np.ndarray, code: np.ndarray, many: np.ndarray, stats: np.ndarray):
+    """Batches of ``_SENT``: a slice's pairs that wait, to its home, and its words, to their buckets."""
+    home, kind = (part * 7919 + piece) % n, _code_kind(len(words))
+    at_home = [np.concatenate([before, code]).astype(kind), many.astype("<u4"), voc.values[words].astype("<u2"), stats]
+    out, hashes = [(home, None, None, *at_home)], voc.hashes[words]
+    for bucket, at in split_by(range_bucket(hashes, n)):
+        out.append((bucket, at.astype("<u4"), hashes[at], None, None, None, None))
+    for bucket, *arrays in out:
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (bucket, home, part, piece)), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in arrays)], _names(_SENT))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _code_kind(words: int) -> str:
+    return "<u2" if CLASSES + words < 1 << 16 else "<u4"
+
+
+def answered(sent: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of ``_BACK``: the classes and counts of the words that ``table`` (of ``classed``)
+    has, for the slices that asked; what waits at home as it is."""
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, count, cls = _cat(right, "hashes", np.uint64), _cat(right, "counts", np.int64), _cat(right, "classes", "<u2")
+        out = []
+        for home, part, piece, words, hashes, *at_home in zip(*(left[c].to_pylist() for c in _names(_SENT)[1:])):
+            if hashes is None:
+                out.append((home, part, piece, None, None, None, *at_home))
+            elif len(known):
+                w, h = np.frombuffer(words, "<u4"), np.frombuffer(hashes, np.uint64)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                out.append((home, part, piece, w[hit].tobytes(), cls[at[hit]].tobytes(), count[at[hit]].tobytes(), None, None, None, None))
+        cols = list(zip(*out)) if out else [[]] * 10
+        return pa.table({c: pa.array(x, pa.int32() if c in ("home", "part", "piece") else pa.binary()) for c, x in zip(_names(_BACK), cols)})
+
+    return sent.groupBy("bucket").cogroup(table.select("bucket", "hashes", "counts", "classes").groupBy("bucket")).applyInArrow(look_up, _BACK)
+
+
+def resolved(t: pa.Table):
+    """Of each slice at home its waiting pairs: class before, class, count, whether the
+    token's word was asked for; how many a text has; the texts' stats."""
+    rows, answers = [], {}
+    for part, piece, words, classes, counts, *at_home in zip(*(t[c].to_pylist() for c in _names(_BACK)[1:])):
+        if words is None:
+            rows.append(((part, piece), at_home))
+        else:
+            answers.setdefault((part, piece), []).append((words, classes, counts))
+    for key, (pairs, many, fall, stats) in rows:
+        fall = np.frombuffer(fall, "<u2")
+        value, count = np.concatenate([np.arange(CLASSES), fall]), np.zeros(CLASSES + len(fall), np.int64)
+        for words, classes, counts in answers.pop(key, ()):
+            at = CLASSES + np.frombuffer(words, "<u4").astype(np.int64)
+            value[at], count[at] = np.frombuffer(classes, "<u2"), np.frombuffer(counts, np.int64)
+        before, code = np.frombuffer(pairs, _code_kind(len(fall))).reshape(2, -1).astype(np.int64)
+        yield value[before], value[code], count[code], code >= CLASSES, np.frombuffer(many, "<u4"), stats
+
+
+def class_bigrams(train: DataFrame, text: str, shared, table: DataFrame | None = None, n: int = 1) -> np.ndarray:
+    """How often class b follows class a in training texts. Words that ``shared``
+    doesn't count have the class that ``table`` tells; without it, none is asked for."""
+    whole = table is None
+
+    def pack(total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+    def add(batches):
         voc, total = Vocabulary(shared.value), np.zeros(CLASSES * CLASSES, np.int64)
         for b in slices(batches, text, SCORE_BYTES):
             number = voc.numbers(*tokens(b.column(text))[:2])
             cls = voc.values[number]
             total += np.bincount(np.concatenate([[0], cls[:-1]]) * CLASSES + cls, minlength=CLASSES * CLASSES)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+        yield pack(total)
+
+    def send(batches):
+        voc, part, none = Vocabulary(shared.value), TaskContext.get().partitionId(), np.zeros(0, np.int64)
+        for piece, b in enumerate(slices(batches, text, LEARN_BYTES)):
+            before, code, at, words = waiting(voc, voc.numbers(*tokens(b.column(text))[:2]))
+            told = np.ones(len(code), bool)
+            told[at] = False
+            own = np.bincount(before[told] * CLASSES + code[told], minlength=CLASSES * CLASSES)
+            yield from asked(voc, words, n, part, piece, before[at], code[at], none, own)
+
+    def finish(t: pa.Table) -> pa.Table:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for before, cls, _, _, _, own in resolved(t):
+            total += np.frombuffer(own, np.int64) + np.bincount(before * CLASSES + cls, minlength=CLASSES * CLASSES)
+        return pa.Table.from_batches([pack(total)])
 
+    rows = train.mapInArrow(add, "at long, n long") if whole else answered(train.mapInArrow(send, _SENT), table).groupBy("home").applyInArrow(finish, "at long, n long")
     out = np.zeros(CLASSES * CLASSES, np.int64)
-    for at, n in train.mapInArrow(send, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-        out[at] = n
+    for at, times in rows.groupBy("at").agg(F.sum("n")).collect():
+        out[at] = times
     return out.reshape(CLASSES, CLASSES)
 
 
@@ -387,35 +504,39 @@ class Model:
         self.room = np.log10(tokens_of + 0.5 * (distinct_of + 1))
 
 
-def learn(train: DataFrame, text: str, counts: DataFrame, n_train: int, n: int) -> tuple[Model, int]:
-    """The model of the training texts, and the number of distinct tokens."""
+def learned(train: DataFrame, text: str, counts: DataFrame, n_train: int, n: int) -> tuple[Model, int, DataFrame]:
+    """The model of the training texts, the number of distinct tokens, and the
+    table of all of them with their classes."""
     spark = train.sparkSession
-    hot, hot_counts = hot_words(counts, max(1, -(-n_train // HOT)))
-    ranked = [int(h) for h in hot[np.lexsort((hot, -hot_counts))][: TOP + 1] if int(h) != END_HASH][:TOP]
-    top = np.array([END_HASH, *ranked], np.uint64)
+    least = max(1, -(-n_train // HOT))
+    top = np.array([END_HASH, *top_words(counts)], np.uint64)
     items = Known(top, np.arange(len(top)), 1 + TOP + np.arange(SHAPES))
     bigrams = item_bigrams(train, text, spark.sparkContext.broadcast(items))
     cls = exchange(bigrams)
     shapes = cls[1 + TOP :]
     one = np.zeros((N_ITEMS, CLASSES))
     one[np.arange(N_ITEMS), cls] = 1
-    # hot words and their counts: HOT of them; the classes so far: TOP of them
+    # the classes so far: TOP of them
     so_far = spark.sparkContext.broadcast(Known(top, cls[: len(top)], shapes))
-    movable = spark.sparkContext.broadcast(Known(hot, np.zeros(len(hot), np.int8), shapes))
-    words, classes = own_classes(train, text, so_far, movable, spark.sparkContext.broadcast(move_gains(one.T @ bigrams @ one)), n)
-    of_hot = Known(np.concatenate([top, words]), np.concatenate([cls[: len(top)], classes]), shapes)
+    moves = moved(train, text, so_far, None, spark.sparkContext.broadcast(move_gains(one.T @ bigrams @ one)), n)
+    table = written(classed(counts, moves, so_far), "classes")
+    tokens_of, distinct_of, hot, classes, hot_counts = totals(table, least)
     told = np.union1d(hot, np.array([END_HASH], np.uint64))  # an end may be no hot word; its class is its own all the same
-    times = np.zeros(len(told), np.int64)
+    times, own = np.zeros(len(told), np.int64), np.zeros(len(told), np.int64)
     times[np.searchsorted(told, hot)] = hot_counts  # 0: looked up in the buckets
-    known = Known(told, of_hot.values[of_hot.find(told)], shapes, times)
+    own[np.searchsorted(told, hot)] = classes
+    known = Known(told, own, shapes, times)  # hot words and their counts: HOT of them
     shared = spark.sparkContext.broadcast(known)
-    tokens_of, distinct_of = per_value(counts, shared, CLASSES)
-    return Model(known, class_bigrams(train, text, shared), tokens_of, distinct_of), int(distinct_of.sum())
+    bigrams = class_bigrams(train, text, shared, table if least > 1 else None, n)
+    return Model(known, bigrams, tokens_of, distinct_of), int(distinct_of.sum()), table
+
+
+def learn(train: DataFrame, text: str, counts: DataFrame, n_train: int, n: int) -> tuple[Model, int]:
+    """The model of the training texts, and the number of distinct tokens."""
+    return learned(train, text, counts, n_train, n)[:2]
 
 
 _STATS = np.dtype([("doc", "<i8"), ("null", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("sum", "<f8"), ("model", "<f8")])
-_SENT = "bucket int, home int, part int, rows binary, hashes binary, times binary, stats binary"
-_BACK = "home int, part int, rows binary, sums binary, known binary, stats binary"
 
 
 def score(docs: DataFrame, held_out, train_docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -428,23 +549,22 @@ def score(docs: DataFrame, held_out, train_docs: DataFrame, key: str = "doc_id",
     train = train_docs.select(text)
     counts = written(word_counts(train, text, n), "words")
     n_train = counts.agg(F.sum("total")).first()[0] or 0
-    learned, n_distinct = learn(train, text, counts, n_train, n)
-    model = spark.sparkContext.broadcast(learned)
+    own, n_distinct, table = learned(train, text, counts, n_train, n)
+    model = spark.sparkContext.broadcast(own)
+    step, room = own.step, own.room
     per_base = float(np.log10(n_train + 0.5 * (n_distinct + 1)))
 
     def send(batches):
         m = model.value
-        voc = Vocabulary(m.known)
-        part, row, piece = TaskContext.get().partitionId(), 0, 0
-        for b in slices(batches, text, SCORE_BYTES):
+        voc, part = Vocabulary(m.known), TaskContext.get().partitionId()
+        for piece, b in enumerate(slices(batches, text, SCORE_BYTES)):
             words, number, size = tokens(b.column(text))
             number = voc.numbers(words, number)
             doc = np.repeat(np.arange(len(size)), size)
-            cls = voc.values[number]
-            before = np.zeros_like(cls)
-            before[1:] = cls[:-1]  # texts end with the end's class, 0
+            before, code, at, asks = waiting(voc, number)
             count = voc.count[number]
-            known = count > 0
+            known, told = count > 0, np.ones(len(code), bool)
+            told[at] = False
             stats = np.zeros(len(size), _STATS)
             stats["null"] = np.asarray(b.column(key).is_null())
             stats["doc"] = np.asarray(b.column(key).fill_null(0), dtype=np.int64)
@@ -452,54 +572,19 @@ def score(docs: DataFrame, held_out, train_docs: DataFrame, key: str = "doc_id",
             stats["n"] = size
             stats["known"] = np.bincount(doc[known], minlength=len(size))
             stats["sum"] = np.bincount(doc[known], weights=np.log10(count[known] + 0.5), minlength=len(size))
-            stats["model"] = np.bincount(doc, weights=m.step[before, cls] - m.room[cls], minlength=len(size))
-            home = (part * 7919 + piece) % n
-            rows = np.arange(row, row + len(size), dtype="<u4")
-            empty = np.zeros(0, np.uint8)
-            out = [(home, rows, empty, empty, stats)]
-            pairs, times = np.unique(number[~known] | doc[~known] << 32, return_counts=True)
-            h, d = voc.hashes[pairs & 0xFFFFFFFF], pairs >> 32
-            for bucket, at in split_by(range_bucket(h, n)):
-                out.append((bucket, rows[d[at]], h[at], times[at].astype("<u4"), empty))
-            for bucket, *arrays in out:
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (bucket, home, part)), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], ["bucket", "home", "part", "rows", "hashes", "times", "stats"])
-            row, piece = row + len(size), piece + 1
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, count = _cat(right, "hashes", np.uint64), _cat(right, "counts", np.int64)
-        out = []
-        for home, part, rows, hashes, times, stats in zip(*(left[c].to_pylist() for c in ("home", "part", "rows", "hashes", "times", "stats"))):
-            if stats:
-                out.append((home, part, rows, b"", b"", stats))
-                continue
-            r, h, k = np.frombuffer(rows, "<u4"), np.frombuffer(hashes, np.uint64), np.frombuffer(times, "<u4").astype(np.int64)
-            c = np.zeros(len(h), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                c = np.where(known[at] == h, count[at], 0)
-            some, of = np.unique(r, return_inverse=True)
-            sums = np.bincount(of, weights=k * np.log10(c + 0.5), minlength=len(some))
-            seen = np.bincount(of, weights=k * (c > 0), minlength=len(some)).astype(np.int64)
-            out.append((home, part, some.tobytes(), sums.tobytes(), seen.tobytes(), b""))
-        cols = list(zip(*out)) if out else [[]] * 6
-        return pa.table({c: pa.array(x, pa.int32() if c in ("home", "part") else pa.binary()) for c, x in zip(("home", "part", "rows", "sums", "known", "stats"), cols)})
+            stats["model"] = np.bincount(doc[told], weights=m.step[before[told], code[told]] - m.room[code[told]], minlength=len(size))
+            yield from asked(voc, asks, n, part, piece, before[at], code[at], np.bincount(doc[at], minlength=len(size)), stats)
 
     def finish(t: pa.Table) -> pa.Table:
-        keys, stats, more = [], [], []
-        for part, rows, sums, seen, stat in zip(*(t[c].to_pylist() for c in ("part", "rows", "sums", "known", "stats"))):
-            k = np.frombuffer(rows, "<u4").astype(np.int64) | part << 32
-            if stat:
-                keys.append(k)
-                stats.append(np.frombuffer(stat, _STATS))
-            else:
-                more.append((k, np.frombuffer(sums, "<f8"), np.frombuffer(seen, "<i8")))
-        k, s = np.concatenate(keys), np.concatenate(stats)
-        order = np.argsort(k)
-        k, s = k[order], s[order].copy()
-        for rows, sums, seen in more:
-            at = np.searchsorted(k, rows)
-            s["sum"][at] += sums  # rows of one blob are distinct
-            s["known"][at] += seen
+        out = []
+        for before, cls, count, rare, many, stats in resolved(t):
+            s = np.frombuffer(stats, _STATS).copy()
+            doc, size = np.repeat(np.arange(len(s)), many), len(s)
+            s["model"] += np.bincount(doc, weights=step[before, cls] - room[cls], minlength=size)
+            s["sum"] += np.bincount(doc[rare], weights=np.log10(count[rare] + 0.5), minlength=size)
+            s["known"] += np.bincount(doc[count > 0], minlength=size)
+            out.append(s)
+        s = np.concatenate([np.zeros(0, _STATS), *out])
         doc = pa.array(s["doc"], mask=s["null"] > 0)
         return pa.table(
             {
@@ -509,8 +594,7 @@ def score(docs: DataFrame, held_out, train_docs: DataFrame, key: str = "doc_id",
         )
 
     sent = docs.select(F.col(key).cast("long").alias(key), text, held_out.alias("held_out")).mapInArrow(send, _SENT)
-    back = sent.groupBy("bucket").cogroup(counts.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(look_up, _BACK)
-    return back.groupBy("home").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answered(sent, table).groupBy("home").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

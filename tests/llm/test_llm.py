@@ -427,6 +427,21 @@ def test_class_lm_is_the_plain_model(spark):
         assert gain[moved[int(hashed([w])[0])]] >= gain.max() - 1e-9
 
 
+def test_class_lm_has_no_word_beyond_its_cap(spark, monkeypatch):
+    """How many words every task holds changes no class and no score."""
+    r = random.Random(5)
+    words = [f"{r.choice('abcdefgh')}{i:x}{r.choice(['', ',', '.'])}" for i in range(2400)]
+    docs = spark.createDataFrame([(i, " ".join(words[int(2400 * r.random() ** 2)] for _ in range(r.randint(0, 120)))) for i in range(300)] + [(300, "unseen here"), (301, None)], "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 6 == 0
+    got = []
+    for hot in (2_000_000, 3000, 60):
+        monkeypatch.setattr(class_lm, "HOT", hot)
+        got.append({x.doc_id: tuple(x)[1:] for x in class_lm.score(docs, held, docs.where(~held)).collect()})
+    for other in got[1:]:
+        assert got[0].keys() == other.keys()
+        assert all(got[0][i][:4] == other[i][:4] and all(abs(a - b) < 1e-6 for a, b in zip(got[0][i][4:], other[i][4:])) for i in got[0])
+
+
 def brute_top_k(rows, is_query, k=5):
     """(query_id, rank, vec_id, score) by Python's integers."""
     good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
