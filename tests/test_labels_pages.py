@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions import labels
-from quillspark.operators import pages
+from quillspark.operators import cascade, pages
 
 
 def column(spark, rows, schema, made):
@@ -71,3 +71,16 @@ def test_classes_are_counted_on_what_letters_leave(spark):
     row = spark.createDataFrame([(text,), ("ab",), ("",), (" 1",)], "text string").select(*(c.alias(k) for k, c in counts.items())).collect()
     assert tuple(row[0]) == (4, 7, 2, 2, 1, True) and [r.valuable for r in row[1:]] == [True, False, False]
     assert "[A-Za-z]+" in str(counts["digits"]) and "regexp_count" not in str(labels.latin_label(F.col("text"), F.lit("ja")))
+
+
+def test_a_hint_is_worked_out_once(spark):
+    """Blanks are taken out once a text, not once a hint word and once a rule; what
+    stops a pass, ranks a crop or filters the best asks for one hint."""
+    hint, again = str(labels.region_hint(F.col("text"), F.lit("ja"))), labels.BLANKS
+    assert hint.count(f"[{again}]+") == 1 and hint.count("contains") == 2
+    for one in (cascade.sufficient, cascade.crop_rank):
+        assert str(one(F.col("text"), F.col("conf"), F.col("lang"))).count("contains") == 2
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a 漢 字", "です漢字", "", None, "Hello you", "的"])], "page int, ord int, text string")
+    rows = rows.withColumn("hint", labels.region_hint(F.col("text"), F.lit("ja")))
+    plan = cascade.page_hints(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter ") == 1  # the hints are in none
