@@ -35,6 +35,22 @@ def test_masks_equal_cells(spark):
     assert spark.range(1).select(layout.mask(F.lit(None).cast(BOXES)).isNull()).first()[0]
 
 
+def test_cut_masks_are_the_masks_rows(spark):
+    """A cut mask has its boxes' rows only, and meets others as the whole one does."""
+    r, layout, rows = random.Random(4), rasters.Layout(700, 90, 4), []
+    for i in range(60):
+        box = lambda: (lambda x, y: (x, y, x + r.randrange(300), y + r.randint(1, 40)))(r.randrange(-20, 690), r.randrange(-30, 95))
+        rows.append((i, [box() for _ in range(r.randint(0, 3))], [box() for _ in range(r.randint(0, 2))]))
+    frame = spark.createDataFrame(rows, f"i int, p {BOXES}, q {BOXES}").select("p", *(f(F.col(c)).alias(n + c) for c in "pq" for n, f in (("m", layout.mask), ("c", layout.cut))))
+    n = layout.words * layout.rows
+    for x in frame.select("*", rasters.ones(rasters.both(F.col("mp"), F.col("mq"))).alias("n"), rasters.ones(rasters.met(F.col("cp"), F.col("cq"))).alias("m")).collect():
+        assert x.n == x.m
+        for whole, cut in ((x.mp, x.cp), (x.mq, x.cq)):
+            assert [0] * cut.at + cut.words + [0] * (n - cut.at - len(cut.words)) == whole or not any(whole) and not any(cut.words)
+        assert len(x.cp.words) <= layout.words * sum(-(-b.y1 // 4) - b.y0 // 4 for b in x.p) or len(x.p) > 1
+    assert spark.range(1).select(layout.cut(F.lit(None).cast(BOXES)).isNull()).first()[0]
+
+
 def pair(spark, a, b, dark=(), masks=(None, None), ways=("h", "h")):
     region = lambda i, box, way, mask: (0, i, *box, way, mask)
     schema = "struct<page: int, ord: int, x0: int, y0: int, x1: int, y1: int, direction: string, mask: array<bigint>>"
