@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import glossary_pass
 from quillspark.functions.glossary_pass import Glossary
 from quillspark.operators import replacing, terms
 from quillspark.plans import catalog
@@ -99,3 +100,38 @@ def test_texts_stay_where_they_are(spark):
     some = texts.where("doc_id < 40")
     joined = replacing.replaced(some, glossary, "en", "zh", "doc_id", asked=[])
     assert sorted(map(tuple, replacing.replaced(some, glossary, "en", "zh", "doc_id").collect())) == sorted(map(tuple, joined.collect()))
+
+
+@pytest.mark.parametrize("lang", ["en", "ja"])
+def test_few_terms_equal_the_rule(lang, monkeypatch):
+    """Few terms are sought in the bytes: no text is taken apart, also with letters, signs
+    and marks beyond ASCII beside the terms."""
+    r, cases = random.Random(4), []
+    for k in range(60):
+        seps = r.choice([["", " ", "-"], [" "], [" ", "…", "“"], [" ", ", "]])
+        pool = ["a", "b", "A", "the", "The", "cat"] if k % 2 else ["a", "ab", "Cat", "火", "火影", "x$1", "\\E", "!!", "é", "É", "’", "𝒜", "-", "_", "7"]
+        phrase = lambda p: r.choice(seps).join(r.choice(p) for _ in range(r.randint(1, 3)))  # noqa: B023,E731
+        own = [p for p in pool if lang == "ja" or p.isascii() or p[0] == "火"]
+        while True:
+            glossary, order, mapping = [(i, phrase(own), r.choice([phrase(pool), ""])) for i in range(r.choice([1, 5, 40]))], {}, {}
+            if lang == "ja" or all(s.isascii() or re.search(terms.CJK, s) for _, s, _ in glossary):
+                break
+        for i, s, t in glossary:
+            order.setdefault(s, i)
+            mapping[s] = t
+        texts = [" ".join(phrase(pool) for _ in range(r.randint(0, 10))) for _ in range(20)]
+        cases.append((glossary, [(s, mapping[s]) for s in sorted(mapping, key=lambda s: (-len(s), order[s]))], texts))
+    with monkeypatch.context() as m:
+        m.setattr(glossary_pass, "_Chain", None)
+        for glossary, pairs, texts in cases:
+            own = glossary_pass.pass_of(pairs, lang == "en")
+            assert [own(x.encode()).decode() for x in texts] == [by_rule(x, glossary, lang) for x in texts]
+
+
+def test_few_terms_leave_letters_like_ascii_to_the_chain():
+    """The long s, the dotless i and the Kelvin sign are an s, an i and a k in other case."""
+    for source, text in (("sea", "the \u017fea"), ("ink", "an \u0131n\u212a"), ("ink", "an \u0130nk")):
+        few, own = glossary_pass.Few([(source, "X")], True), glossary_pass.pass_of([(source, "X")], True)
+        assert not few.takes(text.encode()) and own(text.encode()) == text.split(" ")[0].encode() + b" X"
+    # as a target, one would make a match for a later term
+    assert glossary_pass.pass_of([("long", "\u017fea"), ("sea", "X")], True)(b"a long sea") == b"a X X"
