@@ -135,3 +135,24 @@ def test_few_terms_leave_letters_like_ascii_to_the_chain():
         assert not few.takes(text.encode()) and own(text.encode()) == text.split(" ")[0].encode() + b" X"
     # as a target, one would make a match for a later term
     assert glossary_pass.pass_of([("long", "\u017fea"), ("sea", "X")], True)(b"a long sea") == b"a X X"
+
+
+@pytest.mark.parametrize("lang", ["en", "ja"])
+def test_words_that_no_term_joins_are_apart(lang, monkeypatch):
+    """Only words that a term may join, now or after a replacement, go through a chain together."""
+    r, sizes, chain = random.Random(6), [], glossary_pass._Chain
+    monkeypatch.setattr(glossary_pass, "_Chain", lambda g, text, *rank: sizes.append(len(text.split())) or chain(g, text, *rank))
+    monkeypatch.setattr(glossary_pass, "MEMO", 20)
+    for _ in range(20):
+        pool = [f"w{i}" for i in range(60)] + ["The", "the", "É"]
+        phrase = lambda n: r.choice([" ", " ", "-"]).join(r.choice(pool) for _ in range(r.randint(1, n)))  # noqa: B023,E731
+        glossary, order, mapping = [(i, phrase(3), r.choice([phrase(2), f"<{phrase(1)}>"])) for i in range(70)], {}, {}
+        for i, s, t in glossary:
+            order.setdefault(s, i)
+            mapping[s] = t
+        own = Glossary([(s, mapping[s]) for s in sorted(mapping, key=lambda s: (-len(s), order[s]))], lang == "en")
+        for _ in range(20):
+            x = " ".join(phrase(3) for _ in range(40))
+            assert own.replaced(x) == by_rule(x, glossary, lang)
+    # texts have 80 words
+    assert sum(sizes) / len(sizes) < 6
