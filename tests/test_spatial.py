@@ -66,6 +66,36 @@ def test_neighbours_equal_all_pairs(boxes, made):
     assert sorted(tuple(r) for r in spatial.adjacent_texts(boxes).collect()) == sorted(want)
 
 
+def test_neighbours_of_a_full_page_are_dealt_out_once(spark, capsys):
+    """One exchange serves both sides and both axes, and a box is on few squares; a direction may be missing."""
+    r = random.Random(9)
+    made = [(0, i, x, y, x + r.choice([0, 30, 120]), y + r.randrange(0, 40), r.choice(["h", "v", None])) for i in range(1500) for x, y in [(r.randrange(-50, 1000), r.randrange(0, 4000))]]
+    frame = spark.createDataFrame(made, "page long, ord long, x0 long, y0 long, x1 long, y1 long, direction string").repartition(3)
+    with_joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spatial.adjacent_texts(frame)
+        got = found.collect()
+        found.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_joins)
+    want = [(0, a[1], b[1], a[6] or b[6] or "h") for a, b in pairs_of(made) if greedy.adjacent(a[2:6], b[2:6], a[6] or b[6] or "h")]
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted(want)
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 1 and "ReusedExchange" in plan
+
+
+def test_squares_grow_where_boxes_are_few_above_each_other(spark):
+    strip = frame(spark, "/root/testdata/sf0.01", "strip")
+    page = spatial._crowded([(strip, spatial._plain)], ["page"]).first()
+    put = spatial._spread(strip, {c: F.col(c) for c in spatial.BOX}, {a: F.lit(page[f"s{a}"]) for a in "xy"}, {a: F.lit(page[f"o{a}"]) for a in "xy"})
+    assert put.count() < 1.5 * strip.count()
+    # all boxes over each other: squares of twice their size, no more
+    heap = spark.range(100).selectExpr("0 AS page", "0 AS x0", "0 AS y0", "40 + id % 2 AS x1", "30 AS y1")
+    page = spatial._crowded([(heap, spatial._plain)], ["page"]).first()
+    assert (page.sx, page.sy) == (81, 60)
+
+
 def test_few_boxes_meet_on_their_page(spark, capsys):
     """No box is put on squares where no page has many; a table that meets itself is dealt out once."""
     frame = spark.createDataFrame([(p, i, 300 * i, 0, 300 * i + 500, 900, "h", "", "", "") for p in range(9) for i in range(5)], SCHEMA).repartition(3)
